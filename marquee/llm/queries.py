@@ -43,3 +43,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), True, 2, 1024)
+
+
+@query
+def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.simhash_golay import hexadecimal, near_duplicate_groups
+
+    groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
