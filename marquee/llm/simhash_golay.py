@@ -2,11 +2,12 @@
 
 The 64 bits are split into segments of 22, 21 and 21 bits, each the low bits of a 23-bit word. The
 binary Golay code (23, 12) is perfect: each word decodes to exactly one of 4096 codewords, at most 3
-bits away. If two fingerprints differ in at most 4 bits, then some two of their segments differ in
-at most 2 bits together, so a pair of segment words half-way lies within one bit of both
-fingerprints. Each fingerprint therefore has, for each two segments, as keys the codeword indices
-of its segment words and of those with one bit flipped (about ten distinct keys of 24 bits); linked
-fingerprints share a key, and a shared key is verified on all 64 bits.
+bits away. If two fingerprints differ in at most 4 bits, some fingerprint half-way is within two
+bits of both; those two bits lie in one segment, or one each in two. Each fingerprint therefore has
+as keys the codeword indices of its three segments, 36 bits together, for itself and for everything
+within two bits. Most flips stay within a codeword's reach, so that is about 130 distinct keys and
+not 2081. Linked fingerprints share a key, others hardly ever do, at any number of documents; a
+shared key is verified on all 64 bits.
 """
 
 from __future__ import annotations
@@ -56,23 +57,33 @@ class Golay:
         return (words ^ self.error[self.high[words >> 11] ^ (words & 2047)]) >> 11
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Each row's distinct values, repeated at its end up to the longest row."""
+    rows = np.sort(rows, axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    place = np.cumsum(new, axis=1) - 1
+    out = np.repeat(rows[:, -1:], place[:, -1].max(initial=0) + 1, axis=1)
+    row, column = np.nonzero(new)
+    out[row, place[row, column]] = rows[row, column]
+    return out
+
+
 def fuzzy_keys(fingerprints: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     """(row of the fingerprint, key): the distinct keys of each fingerprint."""
-    own, near = [], []
+    own, one, two = [], [], []
     for low, bits in SEGMENTS:
-        words = (fingerprints >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
+        words = (fingerprints >> np.uint64(low)).astype(np.int64)[:, None] & ((1 << bits) - 1)
+        flip = 1 << np.arange(bits)
+        i, j = np.triu_indices(bits, 1)
         own.append(golay.index(words))
-        near.append(golay.index(words[:, None] ^ (1 << np.arange(bits))[None, :]))
-    rows, keys = [], []
-    for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        both = [(own[i] << 12 | own[j])[:, None], near[i] << 12 | own[j][:, None], own[i][:, None] << 12 | near[j]]
-        all_keys = np.sort(np.concatenate(both, axis=1) | k << 24, axis=1)
-        new = np.ones(all_keys.shape, bool)
-        new[:, 1:] = all_keys[:, 1:] != all_keys[:, :-1]
-        row, _ = np.nonzero(new)
-        rows.append(row)
-        keys.append(all_keys[new])
-    return np.concatenate(rows), np.concatenate(keys)
+        one.append(_distinct(np.concatenate([own[-1], golay.index(words ^ flip)], axis=1)))
+        two.append(_distinct(golay.index(words ^ (flip[i] | flip[j]))))
+    keys = [a[:, :, None, None] << 24 | b[:, None, :, None] << 12 | c[:, None, None, :] for a, b, c in ((one[0], one[1], own[2]), (one[0], own[1], one[2]), (own[0], one[1], one[2]), (two[0], own[1], own[2]), (own[0], two[1], own[2]), (own[0], own[1], two[2]))]
+    keys = np.sort(np.concatenate([k.reshape(len(fingerprints), -1) for k in keys], axis=1), axis=1)
+    new = np.ones(keys.shape, bool)
+    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    return np.nonzero(new)[0], keys[new]
 
 
 #: For each byte value, its bits from the highest to the lowest as eight bytes of a 64-bit word.
@@ -136,18 +147,18 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     joins up without its pairs; then pairs under a key are formed only where the key still holds
     different components, and only between those.
     """
-    schema = pa.schema([("key", pa.int32()), ("fingerprint", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("fingerprint", pa.int64())])
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
         for b in batches:
             all_prints = b.column(0).to_numpy().view(np.uint64)
-            for a in range(0, len(all_prints), 5000):
-                prints = all_prints[a : a + 5000]
+            for a in range(0, len(all_prints), 1000):
+                prints = all_prints[a : a + 1000]
                 rows, keys = fuzzy_keys(prints, golay)
-                yield batch(schema, [keys.astype(np.int32), prints[rows].view(np.int64)])
+                yield batch(schema, [keys, prints[rows].view(np.int64)])
 
-    keys = distinct.select("fingerprint").mapInArrow(keyed, "key int, fingerprint long")
+    keys = distinct.select("fingerprint").mapInArrow(keyed, "key long, fingerprint long")
     shared = keys.groupBy("key").agg(F.min("fingerprint").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     keys = materialize(keys.join(shared, "key").select("key", "fingerprint", "pivot"), "keys")
     to_pivot = keys.filter((F.col("fingerprint") != F.col("pivot")) & near(F.col("fingerprint"), F.col("pivot")))
