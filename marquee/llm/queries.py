@@ -84,3 +84,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) A
        sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AND 20 * coalesce(words.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
+
+
+@query
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.sentence_spans import deduplicate_spans
+
+    return deduplicate_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.common import crc32_mod
+    from marquee.llm.langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 4) == 2
+    return predict(docs, fit(docs.filter(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
