@@ -101,3 +101,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_mod("doc_id", 4) == 2
     return predict(docs, fit(docs.filter(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.common import crc32_mod
+    from marquee.llm.quality_crf import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 3) == 1
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels").filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "bad_lines")
