@@ -112,3 +112,11 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_mod("doc_id", 3) == 1
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels").filter(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "bad_lines")
+
+
+@query
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.matroska import feature, media_column, read_media
+
+    read = read_media(media_column(table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"))
