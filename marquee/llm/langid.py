@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize, steps
+from marquee.llm.common import batch, materialize, steps, string_parts
 
 UNDETERMINED = "und"
 LONGEST = 5
@@ -89,6 +89,44 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     return Model(languages, _log_frequencies(words, "word", languages, size), _log_frequencies(grams, "gram", languages, size))
 
 
+def _predictions(column: pa.Array, model: Model | None, cache: dict[str, np.ndarray]) -> tuple[list, np.ndarray]:
+    """Language and score of every text. cache: words that were scored before, of bounded number."""
+    languages = np.array([*(model.languages if model else []), UNDETERMINED], object)
+    offsets = string_parts(column)[1]
+    found, scores = [], [np.zeros(0)]
+    for lo, hi in steps(offsets):
+        texts = pc.fill_null(column.slice(lo, hi - lo), "")
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pM]+", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        sums = np.zeros((hi - lo, len(languages) - 1))
+        real = np.zeros(hi - lo)
+        if model:
+            if len(cache) > _WORDS_CACHED:
+                cache.clear()
+            for w in words:
+                if w not in cache:
+                    cache[w] = model.word(w)
+            table = np.array([cache[w] for w in words], np.float64).reshape(len(words), -1)
+            letters = np.array([any(map(str.isalpha, w)) for w in words], float)
+            table *= letters[:, None]
+            row = np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy()))
+            place = coded.indices.to_numpy()
+            real = np.bincount(row, letters[place], hi - lo)
+            for j in range(table.shape[1]):
+                sums[:, j] = np.bincount(row, table[place, j], hi - lo)
+        best, posterior = np.full(hi - lo, len(languages) - 1), np.zeros(hi - lo)
+        some = real > 0
+        if some.any():
+            evidence = sums[some] / real[some, None] * np.minimum(real[some, None], 50)
+            p = np.exp(evidence - evidence.max(axis=1, keepdims=True))
+            best[some] = evidence.argmax(axis=1)
+            posterior[some] = p.max(axis=1) / p.sum(axis=1)
+        found += languages[best].tolist()
+        scores.append(posterior)
+    return found, np.concatenate(scores)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs``.
 
@@ -100,39 +138,26 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        languages = np.array([*(model.languages if model else []), UNDETERMINED], object)
         cache: dict[str, np.ndarray] = {}
         for b in batches:
-            lengths = np.frombuffer(b.column(1).cast(pa.large_string()).buffers()[1], np.int64)[: b.num_rows + 1]
-            for lo, hi in steps(lengths):
-                texts = pc.fill_null(b.column(1).slice(lo, hi - lo), "")
-                lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pM]+", " "), " ")
-                coded = lists.flatten().dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                sums = np.zeros((hi - lo, len(languages) - 1))
-                real = np.zeros(hi - lo)
-                if model:
-                    if len(cache) > _WORDS_CACHED:
-                        cache.clear()
-                    for w in words:
-                        if w not in cache:
-                            cache[w] = model.word(w)
-                    table = np.array([cache[w] for w in words], np.float64).reshape(len(words), -1)
-                    letters = np.array([any(map(str.isalpha, w)) for w in words], float)
-                    table *= letters[:, None]
-                    row = np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy()))
-                    place = coded.indices.to_numpy()
-                    real = np.bincount(row, letters[place], hi - lo)
-                    for j in range(table.shape[1]):
-                        sums[:, j] = np.bincount(row, table[place, j], hi - lo)
-                best, posterior = np.full(hi - lo, len(languages) - 1), np.zeros(hi - lo)
-                some = real > 0
-                if some.any():
-                    evidence = sums[some] / real[some, None] * np.minimum(real[some, None], 50)
-                    p = np.exp(evidence - evidence.max(axis=1, keepdims=True))
-                    best[some] = evidence.argmax(axis=1)
-                    posterior[some] = p.max(axis=1) / p.sum(axis=1)
-                yield batch(schema, [b.column(0).slice(lo, hi - lo), languages[best].tolist(), posterior])
+            found, scores = _predictions(b.column(1), shared.value, cache)
+            yield batch(schema, [b.column(0), found, scores])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+
+
+def keep_recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told with a score of at least
+    ``least``. Null and letterless texts go. Without a model, all texts with a letter stay."""
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, np.ndarray] = {}
+        for b in batches:
+            found, scores = _predictions(b.column(at), shared.value, cache)
+            yield b.filter(pa.array((scores >= least) & (np.array(found, object) != UNDETERMINED)))
+
+    return docs.mapInArrow(told, docs.schema)

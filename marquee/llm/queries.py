@@ -120,3 +120,18 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     read = read_media(media_column(table(spark, sf_dir, "documents")))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"))
+
+
+@query
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.html_layout import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.quotes import reply_order
+
+    ordered = reply_order(table(spark, sf_dir, "conversations"))
+    return ordered.withColumn("quoted", F.array_join("quoted", "\n\n"))

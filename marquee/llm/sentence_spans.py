@@ -115,6 +115,20 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
 
 
+def remaining(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int]:
+    """What is left of a text without the sentences in ``gone``, its sentences, and those removed."""
+    raw = (text or "").encode()
+    ends = sentence_ends(raw)
+    if not gone:
+        return text, len(ends), 0
+    drop = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(drop, [g["first"] for g in gone], 1)
+    np.add.at(drop, [g["end"] for g in gone], -1)
+    stays = np.cumsum(drop)[:-1] == 0
+    left = b"".join(raw[s:e] for s, e, stay in zip([0, *ends], ends, stays) if stay)
+    return left.decode(), len(ends), int((~stays).sum())
+
+
 def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with text cut to the sentences outside ``ranges``, and n_sentences,
     n_removed. Texts without ranges stay as they are, null texts null."""
@@ -124,19 +138,10 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
         for b in batches:
             texts, out, n, removed = b.column(1).to_pylist(), [], [], []
             for text, gone in zip(texts, b.column(2).to_pylist()):
-                raw = (text or "").encode()
-                ends = sentence_ends(raw)
-                n.append(len(ends))
-                if not gone:
-                    out.append(text)
-                    removed.append(0)
-                    continue
-                drop = np.zeros(len(ends) + 1, np.int64)
-                np.add.at(drop, [g["first"] for g in gone], 1)
-                np.add.at(drop, [g["end"] for g in gone], -1)
-                stays = np.cumsum(drop)[:-1] == 0
-                out.append(b"".join(raw[s:e] for s, e, stay in zip([0, *ends], ends, stays) if stay).decode())
-                removed.append(int((~stays).sum()))
+                left, sentences, cuts = remaining(text, gone)
+                out.append(left)
+                n.append(sentences)
+                removed.append(cuts)
             yield batch(schema, [b.column(0), out, n, removed])
 
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
@@ -152,3 +157,25 @@ def deduplicate_spans(docs: DataFrame) -> DataFrame:
     text under two doc_ids is a repeat. An empty table stays empty. Other columns are not read.
     """
     return remove_ranges(docs, repeated_ranges(docs))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, and repeated passages cut from text; n_chars,
+    if there, is the length of what is left. No row goes."""
+    ranges = repeated_ranges(docs)
+    tagged = docs.withColumn("_key", text_key())
+    r = ranges.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "ranges")
+    joined = tagged.join(r, (tagged["_key"] == r["_text_key"]) & tagged["doc_id"].cast("long").eqNullSafe(r["_doc_id"]), "left").select(*docs.columns, "ranges")
+    text_at, ranges_at = docs.columns.index("text"), len(docs.columns)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [remaining(t, gone)[0] for t, gone in zip(b.column(text_at).to_pylist(), b.column(ranges_at).to_pylist())]
+            arrays = [pa.array(texts, b.schema.field(i).type) if i == text_at else b.column(i) for i in range(ranges_at)]
+            yield pa.RecordBatch.from_arrays(arrays, names=docs_columns)
+
+    docs_columns = docs.columns
+    out = joined.mapInArrow(cut, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out
