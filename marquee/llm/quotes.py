@@ -36,7 +36,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
         lines.append((m[0].count(">"), line[m.end() :]) if m else (0, line))
     said, found, level_open = [], [], -1
     for k, (level, line) in enumerate(lines):
-        lead = level == 0 and k + 1 < len(lines) and lines[k + 1][0] > 0 and _LEAD.fullmatch(line)
+        lead = k + 1 < len(lines) and lines[k + 1][0] > level and _LEAD.fullmatch(line)
         if level == 0 and not lead:
             said.append(line)
         if not line.strip() or lead:
@@ -70,23 +70,24 @@ def normal(text: Column) -> Column:
 def quotation_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent_conv, parent_turn of each message of parsed() with a quotation that is found.
 
-    The quoted passages of the lowest level are looked up, the first in the text first. Originals
+    The quoted passages of the lowest level are looked up; the first in the text that is found counts. Originals
     are aggregated by hash before the join: for a passage that very many messages hold, one row of
     bounded size for each conversation and hash, and one for each hash.
     """
     cut = messages.select("conv_id", "turn", F.posexplode("passages").alias("at", "p"))
     cut = materialize(cut.select("conv_id", "turn", "at", F.col("p.level").alias("level"), normal(F.col("p.text")).alias("said")).withColumn("hash", F.xxhash64("said")), "passages")
     quoted = cut.filter("level > 0")
-    outer = quoted.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "at", "hash", "said")).alias("q")).select("conv_id", "turn", "q.hash", "q.said")
+    lowest = quoted.groupBy("conv_id", "turn").agg(F.min("level").alias("level"))
+    outer = quoted.join(lowest, ["conv_id", "turn", "level"]).select("conv_id", "turn", "at", "hash", "said")
     wanted = outer.select("hash", "said").distinct()
     own = cut.filter("level = 0").join(wanted, ["hash", "said"], "left_semi").select("conv_id", "turn", "hash", "said").distinct()
     first = own.groupBy("hash", "said").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     here = outer.join(own.withColumnRenamed("turn", "from_turn"), ["conv_id", "hash", "said"]).filter(F.col("from_turn") < F.col("turn"))
-    here = here.groupBy("conv_id", "turn").agg(F.max("from_turn").alias("near"))
-    every = outer.join(first, ["hash", "said"], "left").join(here, ["conv_id", "turn"], "left")
-    other = F.when((F.col("first.conv_id") != F.col("conv_id")), F.col("first"))
-    linked = every.select("conv_id", "turn", F.when(F.col("near").isNotNull(), F.col("conv_id")).otherwise(other["conv_id"]).alias("parent_conv"), F.coalesce("near", other["turn"]).alias("parent_turn"))
-    return linked.filter("parent_conv is not null")
+    here = here.groupBy("conv_id", "turn", "at").agg(F.max("from_turn").alias("near"))
+    every = outer.join(first, ["hash", "said"]).join(here, ["conv_id", "turn", "at"], "left").filter((F.col("first.conv_id") != F.col("conv_id")) | F.col("near").isNotNull())
+    parent = F.when(F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn"))).otherwise(F.struct("first.conv_id", "first.turn"))
+    chosen = every.groupBy("conv_id", "turn").agg(F.min(F.struct(F.col("at"), parent.alias("parent"))).alias("c"))
+    return chosen.select("conv_id", "turn", F.col("c.parent.conv_id").alias("parent_conv"), F.col("c.parent.turn").alias("parent_turn"))
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
