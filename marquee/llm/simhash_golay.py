@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marquee.llm.common import batch, materialize, string_parts, text_key
 from marquee.llm.components import smallest_reachable
@@ -158,9 +159,12 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
                 rows, keys = fuzzy_keys(prints, golay)
                 yield batch(schema, [keys, prints[rows].view(np.int64)])
 
-    keys = distinct.select("fingerprint").mapInArrow(keyed, "key long, fingerprint long")
-    shared = keys.groupBy("key").agg(F.min("fingerprint").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    keys = materialize(keys.join(shared, "key").select("key", "fingerprint", "pivot"), "keys")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = distinct.select("fingerprint").repartition(tasks).mapInArrow(keyed, "key long, fingerprint long")
+    # Running frames: a key's fingerprints stream past, whatever their number.
+    order = Window.partitionBy("key").orderBy("fingerprint")
+    placed = keys.select("key", "fingerprint", F.first("fingerprint").over(order).alias("pivot"), F.lead("fingerprint").over(order).alias("next"))
+    keys = materialize(placed.filter((F.col("fingerprint") != F.col("pivot")) | F.col("next").isNotNull()).drop("next"), "keys")
     to_pivot = keys.filter((F.col("fingerprint") != F.col("pivot")) & near(F.col("fingerprint"), F.col("pivot")))
     links = materialize(to_pivot.select(F.col("pivot").alias("a"), F.col("fingerprint").alias("b")).distinct(), "links")
     labels = smallest_reachable(links)
