@@ -110,7 +110,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     join, so that a passage in very many documents is no group that a task holds."""
     found = span_hashes(docs)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first")
-    first = found.groupBy("hash").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").select("hash", "least")
+    first = found.groupBy("hash").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select("hash", "least")
     later = found.join(first, "hash").filter(place != F.col("least"))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
 
