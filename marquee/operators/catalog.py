@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,11 +29,20 @@ def ensure_source(sources: DataFrame, wanted: DataFrame) -> DataFrame:
     return sources.unionByName(with_ids(new, sources).select(sources.columns))
 
 
-def with_ids(rows: DataFrame, table: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
-    """``rows``, a batch of staging size, with ids after the largest of ``table``."""
+def with_ids(rows: DataFrame, table: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``rows``, each distinct, with ids that go on without gaps from the largest of ``table``. Rows are
+    numbered within hash buckets, and buckets by their counts, so no task orders all rows."""
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rank = F.row_number().over(Window.orderBy(*(order or rows.columns)))
-    return rows.withColumn("id", rank.cast("long")).crossJoin(F.broadcast(top)).withColumn("id", F.col("id") + F.col("top")).drop("top")
+    tagged = rows.withColumn("_bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)))
+    counts = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*rows.columns))
+    placed = tagged.withColumn("_rank", rank).join(F.broadcast(before), "_bucket")
+    return placed.select(*rows.columns, (F.col("_rank") + F.col("_before") + top.scalar()).cast("long").alias("id"))
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
 
 
 def source_id(sources: DataFrame, wanted: DataFrame) -> DataFrame:
