@@ -58,6 +58,12 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def with_identity(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns of ``docs``), own_id and own_key, so that helper columns clash
+    with none that ``docs`` has."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"))
+
+
 def same_row(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> Column:
     """Null-safe equality of the key columns."""
     cond = F.lit(True)

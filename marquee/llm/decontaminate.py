@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, byte_words, materialize, mix, range_hashes, steps, string_parts, text_key
+from marquee.llm.common import batch, byte_words, materialize, mix, range_hashes, steps, string_parts, text_key, with_identity
 
 #: ASCII bytes below 0x80 that belong to words: digits and lower-case letters. All others belong too.
 _WORD = np.zeros(256, bool)
@@ -179,6 +179,6 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated; all other rows stay, with all columns."""
-    bad = contamination(docs, benchmark).filter(is_contaminated()).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct()
-    tagged = docs.withColumn("_key", text_key())
-    return tagged.join(bad, tagged["doc_id"].cast("long").eqNullSafe(bad["_doc_id"]) & (tagged["_key"] == bad["_text_key"]), "left_anti").drop("_key")
+    bad = contamination(docs, benchmark).filter(is_contaminated()).select("doc_id", "text_key").distinct()
+    tagged = with_identity(docs)
+    return tagged.join(bad, tagged["own_id"].eqNullSafe(bad["doc_id"]) & (tagged["own_key"] == bad["text_key"]), "left_anti").select("row.*")

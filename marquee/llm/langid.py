@@ -27,6 +27,10 @@ TRAIN_DOCS = 1000
 #: Most frequent words, and n-grams of each length, that the model has for each language.
 MODEL_WORDS, MODEL_GRAMS = 20_000, 8_000
 _WORDS_CACHED = 200_000
+#: The n-grams of w of k characters. Long words are taken in overlapping parts, as each substring
+#: is counted from the start of its string.
+GRAMS = """flatten(transform(transform(sequence(0, (length(w) - k) div 500), j -> substring(w, 500 * j + 1, 499 + k)),
+    part -> transform(sequence(1, length(part) - k + 1), i -> substring(part, i, k))))"""
 
 
 @dataclass
@@ -77,7 +81,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     words = counts.filter("n > 1").withColumn("r", F.row_number().over(by_lang)).filter(F.col("r") <= MODEL_WORDS).select("lang", "word", "n").toPandas()
     marked = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
     sized = marked.select("lang", "n", "w", F.explode(F.array(*map(F.lit, range(1, LONGEST + 1)))).alias("k")).filter(F.length("w") >= F.col("k"))
-    grams = sized.select("lang", "n", "k", F.explode(F.expr("transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))")).alias("gram"))
+    grams = sized.select("lang", "n", "k", F.explode(F.expr(GRAMS)).alias("gram"))
     grams = grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     by_size = Window.partitionBy("lang", "k").orderBy(F.col("n").desc(), "gram")
     grams = grams.withColumn("r", F.row_number().over(by_size)).filter(F.col("r") <= MODEL_GRAMS).select("lang", "gram", "n").toPandas()

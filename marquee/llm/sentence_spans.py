@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import batch, mix, powers, steps, string_parts, text_key
+from marquee.llm.common import batch, mix, powers, steps, string_parts, text_key, with_identity
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -162,10 +162,9 @@ def deduplicate_spans(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, and repeated passages cut from text; n_chars,
     if there, is the length of what is left. No row goes."""
-    ranges = repeated_ranges(docs)
-    tagged = docs.withColumn("_key", text_key())
-    r = ranges.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "ranges")
-    joined = tagged.join(r, (tagged["_key"] == r["_text_key"]) & tagged["doc_id"].cast("long").eqNullSafe(r["_doc_id"]), "left").select(*docs.columns, "ranges")
+    ranges, tagged = repeated_ranges(docs), with_identity(docs)
+    joined = tagged.join(ranges, (tagged["own_key"] == ranges["text_key"]) & tagged["own_id"].eqNullSafe(ranges["doc_id"]), "left").select("row.*", "ranges")
+    joined = joined.toDF(*(f"c{i}" for i in range(len(docs.columns))), "ranges")
     text_at, ranges_at = docs.columns.index("text"), len(docs.columns)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

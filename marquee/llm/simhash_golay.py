@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize, string_parts, text_key
+from marquee.llm.common import batch, materialize, string_parts, text_key, with_identity
 from marquee.llm.components import smallest_reachable
 
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -203,12 +203,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     once if that row repeats (of several texts under that doc_id, the first by text hash)."""
     rows = near_duplicate_groups(docs).groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("best")
-    kept = rows.groupBy("component_id").agg(best).select(*(F.col(f"best.{c}").alias(f"_{c}") for c in ("doc_id", "text_key", "n")))
-    tagged = docs.withColumn("_key", text_key())
-    found = tagged["doc_id"].cast("long").eqNullSafe(kept["_doc_id"]) & (tagged["_key"] == kept["_text_key"])
-    stay = tagged.join(kept, found)
-    once = stay.filter("_n = 1").select(*docs.columns)
-    return once.unionByName(stay.filter("_n > 1").dropDuplicates(["doc_id", "_key"]).select(*docs.columns))
+    kept = rows.groupBy("component_id").agg(best).select("best.doc_id", "best.text_key", "best.n")
+    tagged = with_identity(docs)
+    stay = tagged.join(kept, tagged["own_id"].eqNullSafe(kept["doc_id"]) & (tagged["own_key"] == kept["text_key"]))
+    once = stay.filter("n = 1").select("row.*")
+    return once.unionByName(stay.filter("n > 1").dropDuplicates(["own_id", "own_key"]).select("row.*"))
 
 
 def hexadecimal(fingerprint: Column) -> Column:
