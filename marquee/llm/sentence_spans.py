@@ -1,32 +1,67 @@
 """Substring deduplication over sliding spans of sentences.
 
-A text is cut after sentence ends and line feeds; sentences of over LONG words are cut further,
-every PIECE words. A span is a run of at least MIN_SENTENCES consecutive sentences with at least
-MIN_WORDS words that loses either property without its first or without its last sentence's end:
-one starts at each sentence and one ends at each. So two copies of a passage have the same spans,
-which cover the whole passage, wherever it stands. Spans are hashed with ASCII lower case and
-white space collapsed, grouped over all documents, and every sentence under a span that is not the
-first of its hash, by doc_id and place, is removed.
+A text is cut after sentence ends and line feeds, and inside sentences of over WINDOW words after
+the word pair of least hash, the last of equals, of each WINDOW in a row (winnowing). So cuts
+depend on the words around them alone, not on where a sentence starts, no piece is over WINDOW
+words, and a word put in or left out changes no cut WINDOW words or more away. Pieces count as
+sentences from here on.
+
+A span is a run of at least MIN_SENTENCES consecutive sentences with at least MIN_WORDS words that
+loses either property without its first or without its last sentence's end: one starts at each
+sentence and one ends at each. As WINDOW is below MIN_WORDS, every run of MIN_WORDS words has the
+sentences. Two copies of a passage, wherever they stand, are cut alike but for at most WINDOW
+words at each end, and have the same spans in between: a passage of 2 * WINDOW + MIN_WORDS words
+has one at least. Spans are hashed with ASCII lower case and white space collapsed, grouped over
+all documents, and every sentence under a span that is not the first of its hash, by doc_id and
+place, is removed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marquee.llm.common import batch, mix, powers, steps, string_parts, text_key, with_identity
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
-LONG = 24
-PIECE = 8
+#: Words of a sentence in a row of which the pair of least hash ends a piece.
+WINDOW = 15
 _END = re.compile(rb"(?:[.!?]+[\"')\]]*(?=\s)|\n)\s*")
 _WORD = re.compile(rb"\S+\s*")
+_MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+_HIGH, _LOW = np.array([0xFFFFFFFF00000000, 0xFFFFFFFF], np.uint64)
+
+
+def piece_ends(text: bytes, start: int, stop: int) -> list[int]:
+    """Where pieces of the sentence from start to stop end, but for its own end."""
+    sentence = text[start:stop]
+    words = sentence.lower().split()
+    n = len(words)
+    if n <= WINDOW:
+        return []
+    sums = np.fromiter(map(crc32, words), np.uint64, n)
+    # of equal pairs, the last is the least
+    least = ((sums[:-1] + sums[1:] * _MIX[0]) * _MIX[1] & _HIGH) | np.arange(n - 1, 0, -1, dtype=np.uint64)
+    seen = 1
+    while seen < WINDOW:
+        more = min(seen, WINDOW - seen)
+        least = np.minimum(least[:-more], least[more:])
+        seen += more
+    places = (n - 1 - (least & _LOW).astype(np.int64)).tolist()
+    if len(sentence.rstrip()) == sum(map(len, words)) + n - 1:  # single white space between words
+        ends = list(accumulate((len(w) + 1 for w in words), initial=start))[1:]
+    else:
+        ends = [m.end() for m in _WORD.finditer(text, start, stop)]
+    return [ends[k] for k in dict.fromkeys(places)]
 
 
 def sentence_ends(text: bytes) -> list[int]:
@@ -37,10 +72,8 @@ def sentence_ends(text: bytes) -> list[int]:
     for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
         if stop == start:
             continue
-        if stop - start > 2 * LONG:
-            words = text.count(b" ", start, stop) + 1
-            if words > LONG:
-                ends += [m.end() for k, m in enumerate(_WORD.finditer(text, start, stop)) if k % PIECE == PIECE - 1 and m.end() < stop]
+        if stop - start > 2 * WINDOW:
+            ends += piece_ends(text, start, stop)
         ends.append(stop)
         start = stop
     return ends
@@ -106,12 +139,10 @@ def span_hashes(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and ranges (array of first, end in sentences) for documents with a span that
-    is not the first of its hash. The hash groups are aggregated to their first member before the
-    join, so that a passage in very many documents is no group that a task holds."""
-    found = span_hashes(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first")
-    first = found.groupBy("hash").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select("hash", "least")
-    later = found.join(first, "hash").filter(place != F.col("least"))
+    is not the first of its hash. A running rank after one shuffle by hash tells them: the places of
+    a passage in very many documents stream past in order, those that are equal as one."""
+    order = Window.partitionBy("hash").orderBy(F.col("doc_id").isNull(), "doc_id", "text_key", "first")
+    later = span_hashes(docs).withColumn("rank", F.rank().over(order)).filter("rank > 1")
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
 
 

@@ -204,6 +204,41 @@ def test_spans_match_brute_force():
         assert got <= {(a, b) for a, b in want} and {a for a, _ in got} == {a for a, _ in want} and {b for _, b in got} == {b for _, b in want}
 
 
+def test_passages_at_every_offset_of_unpunctuated_text(spark):
+    from marquee.llm.sentence_spans import MIN_WORDS, WINDOW, deduplicate_spans
+
+    rng = random.Random(6)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, other, edited = fresh(51), fresh(120), fresh(120)
+    texts = [fresh(k) + passage + fresh(60 - k) for k in range(50)] + [other, other[:60] + fresh(1) + other[60:], edited, edited[:60] + edited[61:]]
+    docs = spark.createDataFrame([(i, rng.choice([" ", "  ", "\t"]).join(t) + rng.choice(["", " ", "\n"])) for i, t in enumerate(texts)], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"].split() for r in deduplicate_spans(docs).collect()}
+    seen = set()
+    for i, words in enumerate(texts):
+        runs = [tuple(words[k : k + MIN_WORDS]) for k in range(len(words) - MIN_WORDS + 1)]
+        repeated = {w for run in runs if run in seen for w in run}
+        seen |= set(runs)
+        gone = set(words) - set(left[i])
+        assert gone <= repeated and bool(gone) == bool(repeated)
+        assert len(repeated) - len(gone) <= 2 * WINDOW * (1 if i < 50 else 2)
+        assert left[i] == [w for w in words if w not in gone]
+
+
+def test_white_space_does_not_change_the_cut():
+    from marquee.llm.sentence_spans import WINDOW, sentence_ends
+
+    rng = random.Random(7)
+    for n in (WINDOW, WINDOW + 1, 24, 25, 200):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+        cuts = set()
+        for text in (gap.join(words) + end for gap in (" ", "  ", "\t") for end in ("", " ", "\n", "  \n ")):
+            ends = sentence_ends(text.encode())
+            cuts.add(tuple(len(text[a:b].split()) for a, b in zip([0, *ends], ends)))
+        assert len(cuts) == 1 and sum(*cuts) == n and max(*cuts) <= WINDOW and (len(*cuts) > 1) == (n > WINDOW)
+    constant = ("word " * 500).encode()
+    assert max(len(constant[a:b].split()) for a, b in zip([0, *sentence_ends(constant)], sentence_ends(constant))) <= WINDOW
+
+
 def test_span_edges(edge, none):
     from marquee.llm.sentence_spans import deduplicate_spans, without_repeats
 
