@@ -161,6 +161,44 @@ def test_lists_and_tables():
     assert page_text("<div>" * 5000 + "deep").strip() == "deep"
 
 
+@pytest.mark.parametrize(
+    ("page", "words"),
+    [
+        ("<table><tr><form><td>a<td>b</form></table>", "a b"),
+        ("<table><tbody><td>a<td>b</table>", "a b"),
+        ("<table><td>a<tr><td>b</table>", "a b"),
+        ("<table><tbody><form><tr><td>a</form></table>", "a"),
+        ("<table><tr>loose <a>link</a> <div>block</div><td>a</table>", "loose link block a"),
+        ("<table><tbody>loose<tr><td>a <table><tr>inner<td>b</table></table>", "loose a inner b"),
+        ("<table><colgroup>x<col><tr><td>a</table>", "x a"),
+        ("<table><tr><table><tr><td>a</table>b", "a b"),
+        ("<table><tr><select><option>no</select><script>no()</script><td>a</table>", "a"),
+        ("<span aria-hidden=true>shown</span>", "shown"),
+        ("x<textarea rows=2>\nfirst &amp;\n  second</textarea>y", "x first & second y"),
+    ],
+)
+def test_text_between_cells_stays(page, words):
+    from marquee.llm.html_layout import page_text
+
+    assert page_text(page).split() == words.split()
+
+
+def test_all_words_of_tag_soup_stay():
+    from marquee.llm.html_layout import page_text
+
+    tags = "table table tr tr td td th tbody thead tfoot caption colgroup col form div a p ul li b span dl dt button pre center h1 textarea fieldset".split()
+    for seed in range(1000):
+        rng, words, page = random.Random(seed), [], ""
+        for k in range(rng.randrange(1, 40)):
+            tag = rng.choice(tags)
+            if rng.random() < 0.3:
+                words.append(f"w{k}")
+                page += f" w{k} "
+            else:
+                page += f"</{tag}>" if rng.random() < 0.4 else f"<{tag}>" + "</textarea>" * (tag == "textarea")
+        assert sorted(page_text(page).split()) == sorted(words + [w for w in page_text(page).split() if w == "-"]), page
+
+
 def test_html_edges(spark):
     from marquee.llm.html_layout import extract
 
