@@ -1,9 +1,10 @@
 """Conversations rebuilt from quotations.
 
 The leading ``>`` marks of a line give its quote level; consecutive lines of a level are a passage.
-Passages are normalised (marks off, white space collapsed, lower case) and hashed; messages' own
-passages are the originals. A reply's parent is the message that its outermost quotation is from:
-the latest earlier one in its conversation, or else the first in any other. A message follows the
+Passages, their lines and their sentences are normalised (marks off, white space collapsed, lower
+case) and hashed; those that messages say themselves are the originals, so a quotation of a part of
+a passage is found as well. A reply's parent is the message that its outermost quotation with an
+original is from: the latest earlier one in its conversation, or else the first in any other. A message follows the
 root of its chain of parents, and what is left of it after the quotes is what it says.
 """
 
@@ -23,6 +24,8 @@ _MARKS = re.compile(r"[ \t]{0,3}(?:>[ \t]?)+")
 _LINE_END = re.compile(r"\r\n|\r|\n")
 #: A line that introduces a quotation, right before it.
 _LEAD = re.compile(r".{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s?:\s*", re.I)
+#: Between sentences.
+_SENTENCE = r"(?<=[.!?][\"')\]]{0,3})\s+|(?<=[。！？])"
 #: Turns of roots that are ranked together; a conversation's later roots are other groups.
 ROOTS_PER_GROUP = 1024
 
@@ -70,23 +73,31 @@ def normal(text: Column) -> Column:
 def quotation_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent_conv, parent_turn of each message of parsed() with a quotation that is found.
 
-    The quoted passages of the lowest level are looked up; the first in the text that is found counts. Originals
-    are aggregated by hash before the join: for a passage that very many messages hold, one row of
-    bounded size for each conversation and hash, and one for each hash.
+    Quoted passages of all levels, and their lines and sentences, are looked up. Of those found, the
+    lowest level counts, in it whole passages before parts, then the first in the text; parts that
+    only another conversation has come last. Originals are aggregated by hash before the join: for a
+    passage that very many messages hold, one row for each conversation and hash, and one with the
+    first two conversations for each hash, as one of them is not the reply's own.
     """
-    cut = messages.select("conv_id", "turn", F.posexplode("passages").alias("at", "p"))
-    cut = materialize(cut.select("conv_id", "turn", "at", F.col("p.level").alias("level"), normal(F.col("p.text")).alias("said")).withColumn("hash", F.xxhash64("said")), "passages")
-    quoted = cut.filter("level > 0")
-    lowest = quoted.groupBy("conv_id", "turn").agg(F.min("level").alias("level"))
-    outer = quoted.join(lowest, ["conv_id", "turn", "level"]).select("conv_id", "turn", "at", "hash", "said")
-    wanted = outer.select("hash", "said").distinct()
-    own = cut.filter("level = 0").join(wanted, ["hash", "said"], "left_semi").select("conv_id", "turn", "hash", "said").distinct()
-    first = own.groupBy("hash", "said").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    here = outer.join(own.withColumnRenamed("turn", "from_turn"), ["conv_id", "hash", "said"]).filter(F.col("from_turn") < F.col("turn"))
-    here = here.groupBy("conv_id", "turn", "at").agg(F.max("from_turn").alias("near"))
-    every = outer.join(first, ["hash", "said"]).join(here, ["conv_id", "turn", "at"], "left").filter((F.col("first.conv_id") != F.col("conv_id")) | F.col("near").isNotNull())
-    parent = F.when(F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn"))).otherwise(F.struct("first.conv_id", "first.turn"))
-    chosen = every.groupBy("conv_id", "turn").agg(F.min(F.struct(F.col("at"), parent.alias("parent"))).alias("c"))
+    text = F.col("p.text")
+    units = F.array_distinct(F.transform(F.concat(F.array(text), F.split(text, "\n"), F.split(text, _SENTENCE)), normal))
+    cut = messages.select("conv_id", "turn", F.posexplode("passages").alias("at", "p")).select("conv_id", "turn", "at", F.col("p.level").alias("level"), F.posexplode(units).alias("place", "said"))
+    cut = cut.filter("said != ''").withColumn("hash", F.xxhash64("said"))
+    quoted = materialize(cut.filter("level > 0"), "quotes")
+    wanted = quoted.select("hash", "said").distinct()
+    own = materialize(cut.filter("level = 0").join(wanted, ["hash", "said"], "left_semi").select("conv_id", "turn", "hash", "said").distinct(), "originals")
+    by_conv = own.groupBy("hash", "said", "conv_id").agg(F.min("turn").alias("turn"))
+    order = Window.partitionBy("hash", "said").orderBy("conv_id")
+    two = by_conv.withColumn("r", F.row_number().over(order)).filter("r <= 2").select("hash", "said", F.struct("conv_id", "turn").alias("m"))
+    firsts = two.groupBy("hash", "said").agg(F.min("m").alias("first"), F.max("m").alias("second"))
+    here = quoted.join(own.withColumnRenamed("turn", "from_turn"), ["conv_id", "hash", "said"]).filter(F.col("from_turn") < F.col("turn"))
+    here = here.groupBy("conv_id", "turn", "hash", "said").agg(F.max("from_turn").alias("near"))
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).when(F.col("second.conv_id") != F.col("conv_id"), F.col("second"))
+    parent = F.when(F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn"))).otherwise(other)
+    every = quoted.join(firsts, ["hash", "said"]).join(here, ["conv_id", "turn", "hash", "said"], "left").withColumn("parent", parent).filter("parent is not null")
+    part = F.col("place") > 0
+    rank = F.struct((part & F.col("near").isNull()).alias("far"), "level", part.alias("part"), "at", "place", "parent")
+    chosen = every.groupBy("conv_id", "turn").agg(F.min(rank).alias("c"))
     return chosen.select("conv_id", "turn", F.col("c.parent.conv_id").alias("parent_conv"), F.col("c.parent.turn").alias("parent_turn"))
 
 

@@ -510,6 +510,27 @@ def test_quotations_become_threads(spark):
     assert chat_lines(reply_order(rows)).count() == len(m) and reply_order(rows.limit(0)).count() == 0
 
 
+def test_quotations_of_deeper_levels_and_of_parts_link(spark):
+    from marquee.llm.quotes import reply_order
+
+    long = "The bridge is closed today. Take the ferry instead!\nIt leaves at nine."
+    m = [
+        (1, 0, "Where can one cross the river?"),
+        (1, 1, long),
+        (1, 2, "> > Where can one cross the river?\n> An edited answer.\nStill open?"),  # a deeper level
+        (1, 3, "> Take the ferry instead!\nThanks."),  # a sentence
+        (1, 4, "> It leaves at nine.\nToo early."),  # a line
+        (1, 5, "> Take the ferry instead!\n> It leaves at nine.\n> Words of nobody.\nNoted."),  # some of the parts
+        (2, 0, "> A common remark.\nWhich one?"),  # its own conversation has it later, the third earlier
+        (2, 1, "A common remark."),
+        (3, 4, "A common remark."),
+    ]
+    rows = spark.createDataFrame([(c, t, "user", x) for c, t, x in m], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in reply_order(rows).collect()}
+    want = {(1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (1, 1), (1, 5): (1, 1), (2, 0): (3, 4)}
+    assert got == {(c, t): want.get((c, t), (None, None)) for c, t, _ in m}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
