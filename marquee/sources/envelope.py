@@ -1,4 +1,4 @@
-"""Captured bodies in hashed JSON envelopes, and their replay."""
+"""Captured bodies in hashed JSON envelopes, and parts of their replay."""
 
 from __future__ import annotations
 
