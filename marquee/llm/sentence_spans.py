@@ -139,8 +139,8 @@ def span_hashes(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and ranges (array of first, end in sentences) for documents with a span that
-    is not the first of its hash. A running rank after one shuffle by hash tells them: the places of
-    a passage in very many documents stream past in order, those that are equal as one."""
+    is not the first of its hash. A running rank after one shuffle by hash tells them, equal places as
+    one. All places of a passage meet in one task, which sorts them and spills what memory doesn't hold."""
     order = Window.partitionBy("hash").orderBy(F.col("doc_id").isNull(), "doc_id", "text_key", "first")
     later = span_hashes(docs).withColumn("rank", F.rank().over(order)).filter("rank > 1")
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
