@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\p{Z}\x{85}]+"
+_SPACE = r"[\s\p{Z}\x{85}]"
 #: Venues whose slug follows from words in their name.
 VENUE_RULES = {"sidney-and-matilda": ("sidney", "matilda"), "yellow-arch": ("yellow", "arch")}
+#: Labels of the canonical fields.
+FIELD_LABELS = {
+    "name": "Name",
+    "venue_slug": "Venue slug",
+    "start_at": "Start",
+    "end_at": "End",
+    "genre": "Genre",
+    "status": "Status",
+    "description": "Description",
+    "source_name": "Source name",
+    "source_url": "Source URL",
+}
 #: The phrases that name an import run in notes, in order of priority.
 RUN_PHRASES = ("manual ingest run ", "import run ")
 
 
 def trim(x: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(x, rf"^{_SPACE}|{_SPACE}$", "")
+    """Without white space of any kind at the ends. A run inside is tried once, from its start."""
+    return F.regexp_replace(x, rf"^{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
 
 
 def collapse(x: Column) -> Column:
     """Trimmed, each run of white space as one space."""
-    return F.regexp_replace(trim(x), _SPACE, " ")
+    return F.trim(F.regexp_replace(x, rf"{_SPACE}++", " "))
 
 
 def folded(x: Column) -> Column:
@@ -47,13 +59,25 @@ def first_non_empty(*xs: Column) -> Column:
 
 
 def strip_tags(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?is)<[^>]+>", " ")
+    return F.regexp_replace(x, r"<[^<>]++>", " ")
 
 
 def blank_label(x: Column) -> Column:
     return F.when(trim(x) == "", F.lit("(blank)")).otherwise(x)
 
 
+def field_label(field: Column) -> Column:
+    """The label of a canonical field; another name is its own label."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in FIELD_LABELS.items() for x in pair)), field), field)
+
+
+def strict_id(path: Column, prefix: str) -> Column:
+    """The positive id that alone follows ``prefix`` in a path, in plain digits; else null."""
+    rest = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path)))
+    found = F.when(rest.rlike(r"\A[0-9]+\z"), rest.try_cast("bigint"))
+    return F.when(found > 0, found)
+
+
 def count_label(n: Column, one: str, many: str) -> Column:
     return F.concat_ws(" ", n.cast("string"), F.when(n == 1, F.lit(one)).otherwise(F.lit(many)))
 

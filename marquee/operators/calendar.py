@@ -40,9 +40,15 @@ def displayed(events: DataFrame) -> DataFrame:
 
 
 def by_local_date(events: DataFrame) -> DataFrame:
-    """local_date and its events, in display order."""
-    row = F.struct("start_at", "slug", *(c for c in events.columns if c not in ("start_at", "slug")))
-    return events.groupBy(local_day(F.col("start_at")).alias("local_date")).agg(F.array_sort(F.collect_list(row)).alias("events")).orderBy("local_date")
+    """Events with local_date, days in order and each day's events in display order. The sort deals a
+    day with very many events over several tasks."""
+    return events.withColumn("local_date", local_day(F.col("start_at"))).orderBy("local_date", "start_at", "slug")
+
+
+def day_lines(events: DataFrame) -> DataFrame:
+    """local_date, n and slugs (in display order) of each day; only start and slug are gathered."""
+    row = F.array_sort(F.collect_list(F.struct("start_at", "slug")))
+    return events.groupBy(local_day(F.col("start_at")).alias("local_date")).agg(F.count("*").alias("n"), F.transform(row, lambda e: e["slug"]).alias("slugs")).orderBy("local_date")
 
 
 def events_page(star: DataFrame, venues: DataFrame, window: str, venue: str, today: date) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.text import first_non_empty, origin_run_id, slug, trim
-from marquee.functions.time import parse_rfc3339
+from marquee.functions.text import field_label, first_non_empty, origin_run_id, slug, trim
+from marquee.functions.time import parse_rfc3339, rfc3339
+from marquee.operators.catalog import ensure_source, latest, with_ids
 from marquee.operators.runs import positive
 
 #: The canonical fields, in order.
@@ -81,13 +84,14 @@ def load_group(groups: DataFrame, candidates: DataFrame, choices: DataFrame, gro
 
 
 def numbered(candidates: DataFrame, groups: DataFrame) -> DataFrame:
-    """Candidates (group_id, ordinal and fields) with a 1-based position, their blank source taken
-    from the group; error where the name is blank."""
+    """Candidates (group_id, ordinal and fields), trimmed, with a 1-based position, their blank source
+    taken from the group; error where the name is blank."""
     g = groups.select(F.col("id").alias("group_id"), F.col("source_name").alias("_name"), F.col("source_url").alias("_url"))
     joined = candidates.join(g, "group_id").withColumn("position", F.col("ordinal") + 1)
-    for c, own in (("source_name", "_name"), ("source_url", "_url")):
-        joined = joined.withColumn(c, F.when(trim(F.col(c)) == "", F.col(own)).otherwise(F.col(c)))
-    return joined.withColumn("error", F.when(trim(F.col("name")) == "", "blank name")).drop("_name", "_url")
+    own = {"source_name": "_name", "source_url": "_url"}
+    texts = [c for c in ("external_id", *FIELDS, "provenance") if c in candidates.columns]
+    joined = joined.withColumns({c: F.coalesce(F.nullif(trim(F.col(c)), F.lit("")), own[c]) if c in own else trim(F.col(c)) for c in texts})
+    return joined.withColumn("error", F.when(F.col("name") == "", "blank name")).drop("_name", "_url")
 
 
 def checked_choices(wanted: DataFrame, groups: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -104,17 +108,112 @@ def resolved_events(checked: DataFrame, groups: DataFrame, now: Column) -> DataF
     agg = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS]
     wide = checked.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("field").alias("fields"), F.max("error").alias("choice_error"), *agg)
     g = groups.select(F.col("id").alias("group_id"), F.col("source_name").alias("_name"), F.col("source_url").alias("_url"))
-    w = wide.join(g, "group_id")
-    for f in FIELDS:
-        w = w.withColumn(f, trim(F.coalesce(f, F.lit(""))))
+    w = wide.join(g, "group_id", "left")
+    w = w.withColumns({f: trim(F.coalesce(f, F.lit(""))) for f in FIELDS})
+    w = w.withColumns({"source_name": first_non_empty(F.col("source_name"), F.col("_name")), "source_url": first_non_empty(F.col("source_url"), F.col("_url"))})
     start, end = parse_rfc3339(F.col("start_at")), parse_rfc3339(F.col("end_at"))
-    missing = F.array_join(F.filter(F.array(*(F.when(F.col(f) == "", F.lit(f)) for f in FIELDS[:4])), lambda x: x.isNotNull()), ", ")
-    error = F.when(F.col("choice_error").isNotNull(), F.col("choice_error")).when((F.col("n") != len(FIELDS)) | (F.col("fields") != len(FIELDS)), "not every field once").when(missing != "", F.concat(F.lit("missing "), missing)).when(start.isNull() | end.isNull(), "malformed time")
-    name, url = first_non_empty(F.col("source_name"), F.col("_name")), first_non_empty(F.col("source_url"), F.col("_url"))
-    out = w.select("group_id", "name", "venue_slug", start.alias("start_at"), end.alias("end_at"), "genre", "status", "description", name.alias("source_name"), url.alias("source_url"), F.lit("live").alias("origin"), now.alias("last_checked_at"), error.alias("error"))
+    needed = (*FIELDS[:4], "source_name", "source_url")
+    missing = F.array_join(F.filter(F.array(*(F.when(F.col(f) == "", F.lit(f)) for f in needed)), lambda x: x.isNotNull()), ", ")
+    error = (
+        F.when((F.col("n") != len(FIELDS)) | (F.col("fields") != len(FIELDS)), "not every field once")
+        .when(F.col("choice_error").isNotNull(), F.col("choice_error"))
+        .when(missing != "", F.concat(F.lit("missing "), missing))
+        .when(start.isNull() | end.isNull(), "malformed time")
+        .when((slug(F.col("name")) == "") | (slug(F.col("venue_slug")) == ""), "no slug")
+    )
+    out = w.select("group_id", "name", "venue_slug", start.alias("start_at"), end.alias("end_at"), "genre", "status", "description", "source_name", "source_url", F.lit("live").alias("origin"), now.alias("last_checked_at"), error.alias("error"))
     return out.withColumn("slug", live_slug(F.col("name"), F.col("venue_slug"), F.col("start_at")))
 
 
+class Store(NamedTuple):
+    """groups (id, status, updated_at, ...), choices (group_id, field, candidate_id, value,
+    updated_at), venues (id, slug), sources (id, name, url) and events (id, slug, venue_id,
+    source_id, ...), as they are after the operations so far."""
+
+    groups: DataFrame
+    choices: DataFrame
+    venues: DataFrame
+    sources: DataFrame
+    events: DataFrame
+
+
+def _upserted_choices(choices: DataFrame, good: DataFrame, now: Column) -> DataFrame:
+    """Of choices for a field of a group, the new one counts."""
+    new = good.select("group_id", "field", "candidate_id", "value", now.alias("updated_at"))
+    own = choices.select("group_id", "field", "candidate_id", "value", "updated_at")
+    log = own.withColumn("_version", F.lit(0)).unionByName(new.withColumn("_version", F.lit(1)))
+    return latest(log, ["group_id", "field"], "_version").drop("_version")
+
+
+def _touched(groups: DataFrame, ids: DataFrame, now: Column, status: str | None = None) -> DataFrame:
+    """``groups`` with updated_at, and status if given, of those in ``ids`` (group_id)."""
+    hit = ids.select(F.col("group_id").alias("id"), F.lit(True).alias("_hit"))
+    new = {"updated_at": now} | ({"status": F.lit(status)} if status else {})
+    joined = groups.join(hit, "id", "left")
+    return joined.select(*(F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in groups.columns))
+
+
+def save_draft(store: Store, candidates: DataFrame, wanted: DataFrame, now: Column) -> tuple[Store, DataFrame]:
+    """The store with the choices ``wanted`` (group_id, field, candidate_id), and group_id and error of
+    each group asked for. A group takes all of its choices or, if any is in error, none."""
+    checked = checked_choices(wanted, store.groups, candidates)
+    outcome = checked.groupBy("group_id").agg(F.max("error").alias("error"))
+    fine = outcome.filter("error is null").select("group_id")
+    good = checked.join(fine, "group_id", "left_semi").dropDuplicates(["group_id", "field"])
+    return store._replace(choices=_upserted_choices(store.choices, good, now), groups=_touched(store.groups, fine, now)), outcome
+
+
+def resolve(store: Store, candidates: DataFrame, wanted: DataFrame, now: Column) -> tuple[Store, DataFrame]:
+    """The store with the events of the groups that ``wanted`` (group_id, field, candidate_id) resolves,
+    and group_id, slug and error of each group asked for.
+
+    A group is resolved whole or not at all: its choices are saved, its event goes in under its slug (in
+    place of the one that has it) with its venue and source, which is made where it is missing, and
+    the group is closed. Of two groups with one slug, the one with the larger id counts.
+    """
+    checked = checked_choices(wanted, store.groups, candidates)
+    events = publishable(resolved_events(checked, store.groups, now), store.venues)
+    outcome = events.select("group_id", "slug", "error")
+    good = events.filter("error is null")
+    sources = ensure_source(store.sources, good.select(F.col("source_name").alias("name"), F.col("source_url").alias("url")))
+    ids = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("url").alias("source_url"))
+    rows = latest(good.drop("error"), ["slug"], "group_id").join(ids, ["source_name", "source_url"])
+    own = store.events.select("slug", F.col("id").alias("_id"))
+    placed = rows.join(own, "slug", "left").withColumns({c: rfc3339(F.col(c)) for c in ("start_at", "end_at")})
+    columns = [c for c in store.events.columns if c != "id"]
+    have = [F.col(c) if c in placed.columns else F.lit(None).alias(c) for c in columns]
+    old = placed.filter("_id is not null").select(F.col("_id").alias("id"), *have)
+    new = with_ids(placed.filter("_id is null").select(*have), store.events)
+    kept = store.events.join(rows.select("slug"), "slug", "left_anti")
+    events_now = kept.select("id", *columns).unionByName(old).unionByName(new.select("id", *columns))
+    fine = outcome.filter("error is null").select("group_id")
+    choices = _upserted_choices(store.choices, checked.join(fine, "group_id", "left_semi"), now)
+    return store._replace(groups=_touched(store.groups, fine, now, "resolved"), choices=choices, sources=sources, events=events_now.select(*store.events.columns)), outcome
+
+
+def candidate_label(position: Column, external_id: Column) -> Column:
+    own = F.when(F.coalesce(external_id, F.lit("")) != "", F.concat(F.lit(" ("), external_id, F.lit(")"))).otherwise("")
+    return F.concat(F.lit("Candidate "), position.cast("string"), own)
+
+
+def review_summary(candidates: DataFrame, choices: DataFrame) -> DataFrame:
+    """part, group_id, ordinal, label, value and candidate of what a review shows beside its fields:
+    canonical (each field of a duplicate, chosen or not), preview (the chosen fields) and single (the
+    fields of a lone candidate). choices: group_id, field, candidate_id, value."""
+    size = candidates.groupBy("group_id").agg(F.count("*").alias("n"))
+    fields = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(f).alias("field")) for i, f in enumerate(FIELDS)))
+    each = size.select("group_id", "n", F.explode(fields).alias("f")).select("group_id", "n", "f.*")
+    who = candidates.select("group_id", F.col("id").alias("candidate_id"), candidate_label(F.col("position"), F.col("external_id")).alias("candidate"))
+    told = choices.select("group_id", "field", "candidate_id", "value").join(who, ["group_id", "candidate_id"], "left").withColumn("candidate", F.coalesce("candidate", F.lit("Unknown candidate")))
+    rows = each.join(told, ["group_id", "field"], "left").withColumn("label", field_label(F.col("field")))
+    columns = ("group_id", "ordinal", "label", "value", "candidate")
+    canonical = rows.filter("n > 1").select(F.lit("canonical").alias("part"), *columns)
+    preview = rows.filter("candidate_id is not null").select(F.lit("preview").alias("part"), *columns)
+    lone = unpivoted(candidates).join(size.filter("n = 1"), "group_id")
+    single = lone.select(F.lit("single").alias("part"), "group_id", "ordinal", field_label(F.col("field")).alias("label"), "value", F.lit(None).cast("string").alias("candidate"))
+    return canonical.unionByName(preview).unionByName(single)
+
+
 def live_slug(name: Column, venue: Column, start: Column) -> Column:
     return F.concat_ws("-", F.lit("live"), slug(name), slug(venue), F.date_format(start, "yyyyMMddHHmmss"))
 

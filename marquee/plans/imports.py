@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators import runs
+from marquee.operators import replay, runs
 from marquee.plans import model
 from marquee.plans.registry import query
 from marquee.sources import envelope, extract
@@ -43,7 +44,7 @@ tot AS (SELECT run_id, links, own, CAST(coalesce(sum(c), 0) AS BIGINT) AS candid
 """
 
 
-@query(f"{_TOTALS} SELECT run_id, CAST(links AS INT) AS links, candidates, skips, errors FROM tot")
+@query(f"{_TOTALS} SELECT run_id, links, candidates, skips, errors FROM tot")
 def run_totals(spark, sf_dir):
     return runs.totals(model.run_reports(spark, sf_dir), model.calendars(spark, sf_dir))
 
@@ -68,11 +69,22 @@ def _sealed(spark, sf_dir):
     return envelope.seal(envelope.capture(files)).select("page_id", "url", "payload")
 
 
-@query("SELECT page_id, url, sha256(html) AS sha256, octet_length(encode(html)) AS body_bytes, CASE WHEN page_id % 5 = 0 THEN 'hash mismatch' END AS error FROM pages")
+@query("""SELECT page_id, url, CASE WHEN page_id % 7 > 1 THEN sha256(html) END AS sha256, CASE WHEN page_id % 7 > 0 THEN octet_length(encode(html)) END AS body_bytes,
+CASE WHEN page_id % 7 > 0 THEN false END AS truncated, CASE WHEN page_id % 7 = 0 THEN 'malformed envelope' WHEN page_id % 7 = 1 THEN 'malformed body' WHEN page_id % 7 = 2 THEN 'unsupported version' WHEN page_id % 7 = 3 THEN 'hash mismatch' END AS error FROM pages""")
 def envelope_roundtrip(spark, sf_dir):
-    broken = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("payload", '"sha256":"[0-9a-f]{4}', '"sha256":"zzzz')).otherwise(F.col("payload"))
+    """Written and read, with four kinds of damage."""
+    kind, text = F.col("page_id") % 7, F.col("payload")
+    broken = F.when(kind == 0, F.substring(text, 1, 40)).when(kind == 1, F.regexp_replace(text, '"body_base64":"', '"body_base64":"%')).when(kind == 2, F.regexp_replace(text, '"version":1', '"version":3')).when(kind == 3, F.regexp_replace(text, '"sha256":"[0-9a-f]{4}', '"sha256":"zzzz')).otherwise(text)
     read = envelope.unseal(_sealed(spark, sf_dir).withColumn("payload", broken))
-    return read.select("page_id", "url", F.sha2("body", 256).alias("sha256"), F.col("metadata.body_bytes").cast("long").alias("body_bytes"), "error")
+    return read.select("page_id", "url", F.sha2("body", 256).alias("sha256"), F.col("metadata.body_bytes").cast("long").alias("body_bytes"), "truncated", "error")
+
+
+@query("SELECT page_id, sha256(encode(html)[1:1000]) AS sha256, least(octet_length(encode(html)), 1000) AS n, octet_length(encode(html)) > 1000 AS truncated FROM pages")
+def captured_bodies(spark, sf_dir):
+    """Bodies of over a thousand bytes are cut and say so."""
+    p = model.table(spark, sf_dir, "pages")
+    rows = envelope.capture(p.select("page_id", F.encode("html", "UTF-8").alias("content")), 1000)
+    return rows.select("page_id", F.sha2("body", 256).alias("sha256"), F.length("body").cast("long").alias("n"), "truncated")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'Metadata unavailable' ELSE '200 OK' END AS status_label, CASE WHEN page_id % 7 > 0 THEN url END AS final_url FROM pages")
@@ -81,9 +93,99 @@ def run_detail(spark, sf_dir):
     return envelope.run_detail(_sealed(spark, sf_dir).withColumn("payload", newer)).select("page_id", "status_label", F.col("metadata.final_url").alias("final_url"))
 
 
-@query(r"""SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a\s*>')) AS a FROM pages) GROUP BY page_id""")
+@query("""WITH part AS (SELECT page_id, unnest(string_split(html, '<a ')) AS p, generate_subscripts(string_split(html, '<a '), 1) AS i FROM pages),
+link AS (SELECT page_id, i, substr(p, strpos(p, 'href="') + 6) AS h FROM part WHERE i > 1 AND strpos(p, 'href="') > 0 AND strpos(p, '</a>') > 0)
+SELECT page_id, count(*) AS n, string_agg(substr(h, 1, strpos(h, '"') - 1), ' ' ORDER BY i) AS hrefs FROM link GROUP BY page_id""")
 def anchor_links(spark, sf_dir):
-    return extract.anchors(model.table(spark, sf_dir, "pages"), "page_id").groupBy("page_id").agg(F.count("*").alias("n"))
+    """The anchors of each page; the SQL cuts the text at tags that these pages write in one way."""
+    found = extract.anchors(model.table(spark, sf_dir, "pages"), "page_id")
+    hrefs = F.array_sort(F.collect_list(F.struct("position", "href")))
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.array_join(F.transform(hrefs, lambda x: x["href"]), " ").alias("hrefs"))
+
+
+@query("""WITH link AS (
+  SELECT o_orderkey AS id, 0 AS spot, 'https://s.test/cal/' || o_orderkey || '.ics?name=a&kind=b' AS link FROM orders
+  UNION ALL SELECT o_orderkey, 1, 'https://s.test/e/' || o_orderkey || '/two.ics' FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_orderkey, 2, 'https://s.test/e/three?format=ICAL' FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 3, 'https://s.test/e/' || o_orderkey || '/it''s.ics' FROM orders WHERE o_orderkey % 5 = 0
+), placed AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY spot) - 1 AS INT) AS position, link FROM link WHERE id % 7 > 0)
+SELECT id, position, link, CAST(NULL AS VARCHAR) AS reason FROM placed WHERE position < 3 UNION ALL SELECT o_orderkey, 0, NULL, 'bad page URL ''https://[s.test/''' FROM orders WHERE o_orderkey % 7 = 0""")
+def ics_links(spark, sf_dir):
+    """Calendar links of a page for each order, with other labels, repeats, relative links and a limit."""
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    whole = F.concat(F.lit('<p><a class="x" href="/cal/'), text, F.lit('.ics?name=a&amp;kind=b">Google <b>Calendar</b>\n ICS</a>'))
+    page = F.concat_ws(
+        "",
+        F.lit("<html><a name=top>ICS</a><a href=/no.ics>ICS</a>"),
+        whole,
+        F.lit('<a href="/no">Apple Calendar ICS</a>'),
+        F.when(key % 2 == 0, "<A HREF='two.ics'> google calendar&#32;ICS </A>"),
+        whole,
+        F.when(key % 3 == 0, "<a href=../three?format=ICAL>ICS</a>"),
+        F.when(key % 5 == 0, '<a title="a > b" href="it\'s.ics">Google Calendar ICS</a>'),
+    )
+    url = F.when(key % 7 == 0, "https://[s.test/").otherwise(F.concat(F.lit("https://s.test/e/"), text, F.lit("/")))
+    pages = model.table(spark, sf_dir, "orders").select(key.alias("id"), url.alias("url"), page.alias("html"))
+    return extract.ics_links(pages, "id", 3)
+
+
+@query("""SELECT o_orderkey AS id, 'candidate' AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 'Outer' ELSE 'Inner' END AS summary, CASE WHEN o_orderkey % 7 = 0 THEN 'https://p.test/o' WHEN o_orderkey % 4 = 0 THEN 'http://[bad' ELSE 'https://p.test/w/i' END AS url, CAST(NULL AS VARCHAR) AS reason FROM orders
+UNION ALL SELECT o_orderkey, 'skip', 'No start', NULL, 'missing event start time' FROM orders
+UNION ALL SELECT o_orderkey, 'error', NULL, NULL, CASE WHEN o_orderkey % 7 = 0 THEN 'bad start time of ''Inner''' ELSE 'bad event URL ''http://[bad''' END FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'calendar', NULL, 'https://p.test/w/', NULL FROM orders""")
+def source_page(spark, sf_dir):
+    """One candidate of a page for each order whose events nest, with bad times and addresses."""
+    key = F.col("o_orderkey")
+    inner = F.concat(F.lit('{"@type":[["Event"]],"name":"Inner","location":"Hall","endDate":"2026-05-10T23:00","startDate":"'), F.when(key % 7 == 0, "0001-01-01T00:00:00+01:00").otherwise("2026-05-10T19:30"), F.lit('","url":"'), F.when(key % 4 == 0, "http://[bad").otherwise("i"), F.lit('"}'))
+    outer = F.concat(F.lit('{"@type":"Event","name":"Outer","location":{"name":"Hall"},"startDate":"2026-05-10T19:30","endDate":"2026-05-10T23:00","url":"/o","@graph":['), inner, F.lit(',{"@type":"event","name":"No start"}]}'))
+    page = F.concat(F.lit("<script type='application/ld+json'>"), outer, F.lit("</script><script type=application/ld+json>no data</script>"))
+    pages = model.table(spark, sf_dir, "orders").select(key.alias("id"), F.lit("source_page").alias("page_mode"), F.lit("https://p.test/w/").alias("page_url"), F.encode(page, "UTF-8").alias("body"))
+    return extract.source_page_rows(pages, ("id",), 1).select("id", "kind", "summary", "url", "reason")
+
+
+def _replayed(spark, sf_dir) -> replay.Report:
+    stored = model.stored_snapshots(spark, sf_dir).persist()  # stands for a stored table
+    return replay.replay(model.runs(spark, sf_dir), stored, model.run_sources(spark), 50, keep=DataFrame.persist)
+
+
+_REPORT = ("run_id", "refused", "links", "snapshots", "candidates", "skips", "errors", "status", "notes")
+
+
+@query(f"{model.REPLAYED} SELECT {', '.join(c if c in ('run_id', 'refused') else f'CASE WHEN refused IS NULL THEN {c} END AS {c}' for c in _REPORT)} FROM replayed")
+def replay_totals(spark, sf_dir):
+    """Every run replayed from its stored envelopes: totals, status and notes, or why it is refused."""
+    return _replayed(spark, sf_dir).runs.select(*_REPORT)
+
+
+@query(f"""{model.REPLAYED} SELECT cal.id AS run_id, n AS calendar, url, c AS candidates, s AS skips, error FROM (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INT) AS n, url, c, s, error FROM cal) cal JOIN replayed ON replayed.run_id = cal.id WHERE refused IS NULL""")
+def replay_run(spark, sf_dir):
+    """The calendars of the replayed runs."""
+    return replay.calendars(_replayed(spark, sf_dir).lines).select("run_id", F.col("ordinal").cast("int").alias("calendar"), "url", "candidates", "skips", F.col("first_error").alias("error"))
+
+
+@query(f"""{model.REPLAYED}, gig AS (SELECT cal.id, n, 'u' || cal.id % 5 || '-' || unnest(range(1, c + 1)) AS uid FROM cal JOIN replayed ON run_id = cal.id WHERE refused IS NULL AND status = 'succeeded' AND n > 0)
+SELECT id AS run_id, uid, CASE WHEN count(*) = 1 THEN 'New listing review: Show' ELSE 'Duplicate review: Show' END AS title, 'Linked desk' AS source_name, count(*) AS n_candidates FROM gig GROUP BY id, uid
+UNION ALL SELECT cal.id, 'Show ' || unnest(range(1, c + 1)), 'New listing review: Show ' || unnest(range(1, c + 1)), 'Paged desk', 1 FROM cal JOIN replayed ON run_id = cal.id WHERE refused IS NULL AND status = 'succeeded' AND n = 0""")
+def replay_groups(spark, sf_dir):
+    """Review groups of the runs that the replay finds good."""
+    found = replay.review_groups(_replayed(spark, sf_dir), model.run_sources(spark).select(F.col("key").alias("source"), "staged_as"))
+    name = F.when(F.col("key").startswith("uid"), F.substring_index("key", "\0", -1)).otherwise(F.initcap(F.split_part("key", F.lit("\0"), F.lit(2))))
+    return found.select("run_id", name.alias("uid"), "title", "source_name", "n_candidates")
+
+
+@query(f"""{model.SQL} SELECT id, started_at, CASE WHEN id % 3 = 0 AND id % 5 > 0 THEN '2026-04-19T09:00:00Z' ELSE finished_at END AS finished_at, CASE WHEN id % 3 = 0 AND id % 5 > 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 3 = 0 AND id % 5 > 0 THEN 'n' || id END AS notes, CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN 'run status is required' END AS error FROM run
+UNION ALL SELECT -1 - id, NULL, NULL, NULL, NULL, 'run not found' FROM run WHERE id % 10 = 0""")
+def finish_runs(spark, sf_dir):
+    """Runs after a third of them finish; blank statuses and unknown runs are errors."""
+    own = model.runs(spark, sf_dir).withColumn("notes", F.lit(None).cast("string"))
+    key = F.col("id")
+    done = own.filter("id % 3 = 0").select("id", F.when(key % 5 == 0, "  ").otherwise(" failed ").alias("status"), F.concat(F.lit("n"), key.cast("string")).alias("notes"))
+    lost = own.filter("id % 10 = 0").select((-key - 1).alias("id"), F.lit("failed").alias("status"), F.lit("x").alias("notes"))
+    log = runs.run_finishes(own, done.unionByName(lost), F.lit("2026-04-19T09:00:00Z"))
+    after = runs.finished(own, log).join(log.filter("error is not null").select("id", "error"), "id", "left")
+    unknown = log.filter("error = 'run not found'").select("id", *(F.lit(None).cast("string").alias(c) for c in ("started_at", "finished_at", "status", "notes")), "error")
+    return after.select("id", "started_at", "finished_at", "status", "notes", "error").unionByName(unknown)
 
 
 _LOCAL = "o_orderdate + to_hours(o_orderkey % 12 + 11)"

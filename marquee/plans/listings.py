@@ -97,20 +97,27 @@ def insert_new_groups(spark, sf_dir):
     return catalog.insert_new(o.filter("o_orderstatus = 'F' and o_orderkey % 2 = 0").select(key), o.filter("o_orderstatus = 'O'").select(key), "staging_key")
 
 
-@query(f"{model.SQL} SELECT count(*) AS n, count(DISTINCT id) AS ids, min(id) AS least, max(id) AS most FROM (SELECT id FROM source UNION ALL SELECT 24 + row_number() OVER () FROM (SELECT DISTINCT p_brand, p_type FROM part))")
+@query(f"{model.SQL} SELECT name, url, CASE WHEN id < 25 THEN id END AS known_id, count(*) OVER () AS n, true AS in_range, 1 AS with_id FROM (SELECT id, name, url FROM source UNION ALL SELECT DISTINCT 99, p_brand, p_type FROM part)")
 def ensure_source(spark, sf_dir):
+    """Old sources keep their ids; the new ones have ids of their own that go on without gaps."""
     own, p = model.sources(spark, sf_dir), model.table(spark, sf_dir, "part")
     wanted = p.select(F.col("p_brand").alias("name"), F.col("p_type").alias("url")).unionByName(own.select("name", "url"))
-    return catalog.ensure_source(own, wanted).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("least"), F.max("id").alias("most"))
-
-
-@query("""SELECT * FROM (VALUES ('matinee-noise-at-the-leadmill', 'leadmill', '2026-05-08T18:30:00Z', '2026-05-08T22:00:00Z', 'The Leadmill live music listings'),
-('neepsend-afterhours', 'yellow-arch', '2026-05-14T19:00:00Z', '2026-05-14T22:30:00Z', 'Yellow Arch what''s on'),
-('courtyard-wildcards', 'sidney-and-matilda', '2026-05-22T17:45:00Z', '2026-05-22T21:45:00Z', 'Sidney & Matilda listings'),
-('leadmill-late-room', 'leadmill', '2026-06-05T21:00:00Z', '2026-06-06T00:00:00Z', 'The Leadmill live music listings')) AS t(slug, venue_slug, start_at, end_at, source_name)""")
+    found = catalog.ensure_source(own, wanted)
+    n = found.agg(F.count("*").alias("n"))
+    per_id = found.groupBy("id").agg(F.count("*").cast("int").alias("with_id"))
+    return found.join(per_id, "id").crossJoin(n).select("name", "url", F.when(F.col("id") < 25, F.col("id")).alias("known_id"), "n", F.col("id").between(0, F.col("n") - 1).alias("in_range"), "with_id")
+
+
+@query("""SELECT *, CASE venue_slug WHEN 'leadmill' THEN 'https://leadmill.co.uk/events/live-music/' WHEN 'yellow-arch' THEN 'https://www.yellowarch.com/events/' ELSE 'https://www.sidneyandmatilda.com/' END AS source_url,
+CASE venue_slug WHEN 'leadmill' THEN 1 WHEN 'yellow-arch' THEN 2 ELSE 3 END AS venue_id, 'Listed' AS status, 'seed' AS origin, '2026-04-19T09:00:00Z' AS last_checked_at FROM (VALUES
+(1, 'matinee-noise-at-the-leadmill', 'leadmill', 'Matinee Noise', 'Indie / alt', '2026-05-08T18:30:00Z', '2026-05-08T22:00:00Z', 'The Leadmill live music listings'),
+(2, 'neepsend-afterhours', 'yellow-arch', 'Abbeydale Afterhours', 'Jazz / soul', '2026-05-14T19:00:00Z', '2026-05-14T22:30:00Z', 'Yellow Arch what''s on'),
+(3, 'courtyard-wildcards', 'sidney-and-matilda', 'Courtyard Wildcards', 'Punk / garage', '2026-05-22T17:45:00Z', '2026-05-22T21:45:00Z', 'Sidney & Matilda listings'),
+(4, 'leadmill-late-room', 'leadmill', 'Late Room', 'DJ / club', '2026-06-05T21:00:00Z', '2026-06-06T00:00:00Z', 'The Leadmill live music listings')) AS t(id, slug, venue_slug, name, genre, start_at, end_at, source_name)""")
 def seed_star(spark, sf_dir):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return catalog.events_star(seed.events(spark), seed.venues(spark), seed.sources(spark)).select("slug", "venue_slug", "start_at", "end_at", "source_name")
+    star = catalog.events_star(seed.events(spark), seed.venues(spark), seed.sources(spark))
+    return star.select(F.col("id").cast("int").alias("id"), "slug", "venue_slug", "name", "genre", "start_at", "end_at", "source_name", "source_url", F.col("venue_id").cast("int").alias("venue_id"), "status", "origin", "last_checked_at")
 
 
 def _page(spark, sf_dir, window, venue=""):
@@ -145,8 +152,8 @@ def venue_page(spark, sf_dir):
 @query(f"{model.SQL} SELECT CAST(local_day AS VARCHAR) AS local_date, count(*) AS n, string_agg(slug, ',' ORDER BY start_at, slug) AS slugs FROM star WHERE local_day >= {_DAY} AND local_day < {_DAY} + 7 GROUP BY ALL ORDER BY 1")
 def group_by_local_date(spark, sf_dir):
     star = _star(spark, sf_dir)
-    days = calendar.events_page(star, model.venues(spark, sf_dir), "week", "", TODAY)
-    return days.select(F.col("local_date").cast("string").alias("local_date"), F.size("events").cast("long").alias("n"), F.array_join(F.transform("events", lambda e: e["slug"]), ",").alias("slugs"))
+    days = calendar.day_lines(calendar.events_page(star, model.venues(spark, sf_dir), "week", "", TODAY))
+    return days.select(F.col("local_date").cast("string").alias("local_date"), "n", F.array_join("slugs", ",").alias("slugs"))
 
 
 @query(f"""{model.SQL}, coming AS (SELECT * FROM star WHERE local_day >= {_DAY})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marquee.functions.text import slug
 from marquee.functions.time import rfc3339
 from marquee.operators.reviews import FIELDS
+from marquee.sources.envelope import seal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,24 +91,28 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter("id % 3 = 0 or venue_id % 10 = 1")
+    """Some fields of most groups; every field of each tenth, from their first and last candidates in turn."""
+    e = events(spark, sf_dir)
     field = F.element_at(F.array(*map(F.lit, FIELDS)), (F.floor(F.col("id") / 3) % 9 + 1).cast("int"))
-    return e.groupBy(F.col("venue_id").alias("group_id"), field.alias("field")).agg(F.max("id").alias("candidate_id"))
+    some = e.filter("id % 3 = 0 and venue_id % 10 != 1").groupBy(F.col("venue_id").alias("group_id"), field.alias("field")).agg(F.max("id").alias("candidate_id"))
+    ends = e.filter("venue_id % 10 = 1").groupBy(F.col("venue_id").alias("group_id")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    every = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col("low" if i % 2 else "high").alias("candidate_id")) for i, f in enumerate(FIELDS)))).alias("c")
+    return some.unionByName(ends.select("group_id", every).select("group_id", "c.*"))
 
 
 def calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem")
     at = F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
-    many = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
-    error = F.when(F.col("l_returnflag") == "R", F.array(F.concat(F.lit("bad body "), at.cast("string")))).otherwise(F.array().cast("array<string>"))
+    bad = F.col("l_returnflag") == "R"
+    error = F.when(bad, F.concat(F.lit("bad body "), at.cast("string")))
     url = F.when(F.col("l_linenumber") == 2, "").otherwise(F.concat(F.lit("https://c.test/"), at.cast("string")))
-    return i.select(F.col("l_orderkey").alias("run_id"), at.alias("ordinal"), url.alias("url"), (F.col("l_linestatus") == "O").alias("has_snapshot"), many(F.col("l_quantity") % 4).alias("candidates"), many(F.col("l_linenumber") % 3).alias("skips"), error.alias("errors"))
+    return i.select(F.col("l_orderkey").alias("run_id"), at.alias("ordinal"), url.alias("url"), (F.col("l_linestatus") == "O").alias("has_snapshot"), (F.col("l_quantity").cast("long") % 4).alias("candidates"), (F.col("l_linenumber") % 3).cast("long").alias("skips"), bad.cast("long").alias("errors"), error.alias("first_error"))
 
 
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     error = F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit("page is gone"))).otherwise(F.array().cast("array<string>"))
-    return o.select(F.col("o_orderkey").alias("run_id"), F.array_repeat(F.lit("x"), (F.col("o_orderkey") % 6).cast("int")).alias("links"), error.alias("errors"))
+    return o.select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 6).alias("links"), error.alias("errors"))
 
 
 def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +137,55 @@ def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_sources(spark: SparkSession) -> DataFrame:
+    """Two sources as a registry has them: one whose page links calendars, one whose page has the events."""
+    rows = [("linked", "Linked", "https://linked.test/", "linked_ics", "Linked calendars", "Linked desk"), ("paged", "Paged", "https://paged.test/what/", "source_page", "", "Paged desk")]
+    return spark.createDataFrame(rows, "key string, name string, url string, page_mode string, calendar_name string, staged_as string")
+
+
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id (of a run), n, url and body of a calendar for each run and line number: c events, s cancelled
+    ones and, if bad, a stray end; gone, cut and http_500 say how it is stored."""
+    i = table(spark, sf_dir, "lineitem")
+    own = i.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n")).agg(
+        (F.min("l_quantity").cast("long") % 4).alias("c"), (F.max("l_returnflag") == "R").alias("bad"), (F.min("l_partkey") % 50 == 0).alias("gone"), (F.min("l_suppkey") % 20 == 0).alias("cut"))
+    url = F.concat(F.lit("https://c.test/"), F.col("id").cast("string"), F.lit("-"), F.col("n").cast("string"), F.lit(".ics"))
+    event = lambda k, more: F.concat(F.lit("BEGIN:VEVENT\r\nUID:u"), (F.col("id") % 5).cast("string"), F.lit("-"), k.cast("string"), F.lit("\r\nSUMMARY:Show\r\nDTSTART:20260501T19000"), F.col("n").cast("string"), F.lit(f"Z\r\n{more}END:VEVENT"))
+    upto = lambda n: F.sequence(F.lit(1), n.cast("int"))
+    shows = F.when(F.col("c") > 0, F.transform(upto(F.col("c")), lambda k: event(k, ""))).otherwise(F.array().cast("array<string>"))
+    off = F.when(F.col("n") % 3 > 0, F.transform(upto(F.col("n") % 3), lambda k: event(k, "STATUS:CANCELLED\r\n"))).otherwise(F.array().cast("array<string>"))
+    stray = F.when(F.col("bad"), F.array(F.lit("END:VEVENT"))).otherwise(F.array().cast("array<string>"))
+    body = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), shows, off, stray, F.lit("END:VCALENDAR"))
+    return own.select("id", "n", "gone", "cut", (F.col("n") == 5).alias("http_500"), url.alias("url"), F.encode(body, "UTF-8").alias("body"))
+
+
+def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, key of the source, url and body of the page of each run."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    anchor = F.concat(F.lit("<a href='"), F.col("url"), F.lit("'>Google Calendar ICS</a>"))
+    linked = linked_files(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", anchor.alias("a")))).alias("links"))
+    name = lambda k: F.concat(F.lit("Show "), k.cast("string"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    node = lambda k, end: F.struct(F.lit("Event").alias("@type"), name(k).alias("name"), F.concat(F.lit("e/"), k.cast("string")).alias("url"), F.lit("2026-05-10T19:30").alias("startDate"), end.alias("endDate"), F.lit("Hall").alias("location"))
+    events = F.concat(F.transform(upto(F.col("id") % 5), lambda k: node(k, F.lit("2026-05-10T23:00"))), F.transform(upto(F.col("id") % 3), lambda k: node(k, F.lit(""))))
+    data = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(events), F.lit("</script>"))
+    is_linked = F.col("id") % 2 == 0
+    body = F.when(is_linked, F.concat(F.lit("<html>"), F.coalesce(F.array_join(F.transform("links", lambda x: x["a"]), " "), F.lit("")))).otherwise(data)
+    return o.join(linked, "id", "left").select("id", F.when(is_linked, "linked").otherwise("paged").alias("source"), F.when(is_linked, "https://linked.test/").otherwise("https://paged.test/what/").alias("url"), F.encode(body, "UTF-8").alias("body"))
+
+
+def stored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes of the pages and calendars of all runs, with the source that each belongs to."""
+    pages = run_pages(spark, sf_dir).withColumn("source_name", F.initcap("source")).withColumn("truncated", F.col("id") % 13 == 0).withColumn("code", F.lit(200)).withColumn("n", F.lit(0))
+    files = linked_files(spark, sf_dir).filter("not gone and id % 2 = 0").withColumn("source_name", F.lit("Linked calendars")).withColumn("truncated", F.col("cut")).withColumn("code", F.when(F.col("http_500"), 500).otherwise(200))
+    columns = ("id", "n", "url", "source_name", "truncated", "code", "body")
+    rows = pages.select(*columns).unionByName(files.select(*columns))
+    rows = rows.select(F.col("id").alias("import_run_id"), (F.col("id") * 10 + F.col("n")).alias("id"), "source_name", F.col("url").alias("source_url"), "url", F.col("url").alias("final_url"), F.lit("").alias("status"), F.col("code").alias("status_code"), F.lit("").alias("content_type"), F.lit(-1).cast("long").alias("content_length"), F.lit("2026-04-19T09:00:00Z").alias("captured_at"), "truncated", "body")
+    sealed = seal(rows)
+    broken = F.when((F.col("import_run_id") % 11 == 0) & (F.col("id") % 10 == 0), F.regexp_replace("payload", '"sha256":"[0-9a-f]{4}', '"sha256":"zzzz')).otherwise(F.col("payload"))
+    return sealed.select("id", "import_run_id", "source_name", "source_url", "captured_at", broken.alias("payload"))
+
+
 def at(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%dT%H:%M:%SZ')"
 
@@ -170,7 +224,10 @@ SQL = rf"""WITH venue AS (
          '' AS description, CASE WHEN id % 2 = 0 THEN 'Feed' ELSE ' ' END AS source_name, '' AS source_url
   FROM listing
 ), choice AS (
-  SELECT venue_id AS group_id, [{_FIELD}][CAST((id // 3) % 9 + 1 AS INT)] AS field, max(id) AS candidate_id FROM listing WHERE id % 3 = 0 OR venue_id % 10 = 1 GROUP BY ALL
+  SELECT venue_id AS group_id, [{_FIELD}][CAST((id // 3) % 9 + 1 AS INT)] AS field, max(id) AS candidate_id FROM listing WHERE id % 3 = 0 AND venue_id % 10 <> 1 GROUP BY ALL
+  UNION ALL
+  SELECT group_id, [{_FIELD}][i] AS field, CASE WHEN i % 2 = 0 THEN low ELSE high END AS candidate_id
+  FROM (SELECT venue_id AS group_id, min(id) AS low, max(id) AS high FROM listing WHERE venue_id % 10 = 1 GROUP BY ALL), (SELECT unnest(range(1, 10)) AS i)
 ), counted AS (
   SELECT g.id, g.title, g.status, g.notes, g.updated_at, g.origin_run_id, count(DISTINCT c.id) AS candidate_count, count(DISTINCT d.field) AS draft_count
   FROM grp_run g LEFT JOIN candidate c ON c.group_id = g.id LEFT JOIN choice d ON d.group_id = g.id GROUP BY ALL
@@ -178,3 +235,31 @@ SQL = rf"""WITH venue AS (
   SELECT r.id, r.started_at, r.finished_at, r.status, count(s.id) AS snapshot_count FROM run r LEFT JOIN snapshot s ON s.import_run_id = r.id GROUP BY ALL
 )
 """
+#: What replay() finds in stored_snapshots(), worked out without reading a body.
+REPLAYED = f"""{SQL}, file AS (
+  SELECT l_orderkey AS id, l_linenumber AS n, CAST(min(l_quantity) AS BIGINT) % 4 AS c, l_linenumber % 3 AS s, max(l_returnflag) = 'R' AS bad, min(l_partkey) % 50 = 0 AS gone, min(l_suppkey) % 20 = 0 AS cut, l_linenumber = 5 AS http
+  FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL
+), page AS (
+  SELECT id, id % 2 = 0 AS linked, id % 13 = 0 AS cut, CASE WHEN status = 'running' THEN 'unfinished' WHEN trim(status) <> 'SUCCEEDED' THEN 'not succeeded' WHEN id % 11 = 0 THEN 'hash mismatch' WHEN id % 2 = 0 AND id % 13 > 0 AND id IN (SELECT id FROM file WHERE gone) THEN 'missing ICS snapshot' END AS refused FROM run
+), cal AS (
+  SELECT page.id, n, 'https://c.test/' || page.id || '-' || n || '.ics' AS url, CASE WHEN file.cut OR http THEN 0 ELSE c END AS c, CASE WHEN file.cut OR http THEN 0 ELSE s END AS s,
+         CASE WHEN file.cut THEN 'ICS response was truncated' WHEN http THEN 'ICS returned HTTP 500' WHEN bad THEN 'END:VEVENT without BEGIN:VEVENT' END AS error
+  FROM page JOIN file ON file.id = page.id WHERE refused IS NULL AND NOT page.cut
+  UNION ALL
+  SELECT id, 0, 'https://paged.test/what/', id % 5, id % 3, CASE WHEN id % 5 = 0 AND id % 3 = 0 THEN 'no schema.org Event objects found in application/ld+json' END FROM page WHERE refused IS NULL AND NOT linked AND NOT cut
+), per AS (
+  SELECT page.id, linked, page.cut, refused, count(n) AS n, CAST(coalesce(sum(c), 0) AS BIGINT) AS candidates, CAST(coalesce(sum(s), 0) AS BIGINT) AS skips, count(error) AS bad, coalesce(bool_or(error IS NULL AND c > 0), false) AS usable
+  FROM page LEFT JOIN cal ON cal.id = page.id GROUP BY ALL
+), said AS (
+  SELECT *, concat_ws('; ', CASE WHEN cut THEN 'source page response was truncated' END, CASE WHEN linked AND NOT cut AND n = 0 THEN 'no ICS links found' END,
+         CASE WHEN NOT usable AND linked THEN 'no ICS calendars parsed successfully' WHEN NOT usable THEN 'no listings parsed successfully' END) AS own,
+         CAST(cut AS INT) + CAST(linked AND NOT cut AND n = 0 AS INT) + CAST(NOT usable AS INT) + bad AS errors
+  FROM per
+), worst AS (
+  SELECT id, string_agg(url || ': ' || error, '; ' ORDER BY n) FILTER (r <= 3) AS line, count(*) AS bad FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS r FROM cal WHERE error IS NOT NULL) GROUP BY id
+), replayed AS (
+  SELECT said.id AS run_id, refused, CASE WHEN linked AND NOT cut THEN n ELSE 0 END AS links, 1 + CASE WHEN linked THEN n ELSE 0 END AS snapshots, candidates, skips, errors, CASE WHEN errors = 0 THEN 'succeeded' ELSE 'failed' END AS status,
+         concat_ws('; ', 'links=' || CASE WHEN linked AND NOT cut THEN n ELSE 0 END || ' candidates=' || candidates || ' skips=' || skips || ' errors=' || errors, nullif(own, ''), line, CASE WHEN worst.bad > 3 THEN '... and ' || (worst.bad - 3) || ' more calendar errors' END) AS notes
+  FROM said LEFT JOIN worst ON worst.id = said.id
+)
+"""

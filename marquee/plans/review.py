@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.functions.text import candidate_fingerprint, staging_key
+from marquee.functions.text import FIELD_LABELS, candidate_fingerprint, staging_key
 from marquee.functions.time import rfc3339
 from marquee.operators import reviews, staging
+from marquee.operators.catalog import events_star
 from marquee.plans import model
 from marquee.plans.registry import query
 
@@ -67,25 +68,82 @@ def review_detail(spark, sf_dir):
     return reviews.review_detail(candidates, choices).select("group_id", "field", "id", "position", "ordinal", "value", "chosen")
 
 
-@query(f"{model.SQL} SELECT c.group_id, c.id, c.position + 1 AS position, CASE WHEN trim(source_name) = '' THEN 'Desk' ELSE source_name END AS source_name, 'https://desk.test/' AS source_url, CAST(NULL AS VARCHAR) AS error FROM candidate c JOIN grp ON grp.id = c.group_id")
+@query(f"{model.SQL} SELECT c.group_id, c.id, c.position + 1 AS position, CASE WHEN c.id % 9 = 0 THEN '' ELSE name END AS name, CASE WHEN trim(source_name) = '' THEN 'Desk' ELSE source_name END AS source_name, 'https://desk.test/' AS source_url, CASE WHEN c.id % 9 = 0 THEN 'blank name' END AS error FROM candidate c JOIN grp ON grp.id = c.group_id")
 def numbered_candidates(spark, sf_dir):
     groups, candidates, _ = _three(spark, sf_dir)
-    return reviews.numbered(candidates.withColumn("ordinal", F.col("position")), groups).select("group_id", "id", "position", "source_name", "source_url", "error")
+    rows = candidates.withColumn("ordinal", F.col("position")).withColumn("name", F.when(F.col("id") % 9 == 0, " 　 ").otherwise(F.concat(F.lit(" "), "name")))
+    return reviews.numbered(rows, groups).select("group_id", "id", "position", "name", "source_name", "source_url", "error")
 
 
 _V = {f: f"max(c.{f}) FILTER (d.field = '{f}')" for f in reviews.FIELDS}
+_RESOLVED = f"""{model.SQL}, wide AS (SELECT d.group_id, max(g.status) AS state, count(*) AS n, {", ".join(f"trim(coalesce({v}, '')) AS {f}" for f, v in _V.items())}
+  FROM choice d JOIN candidate c ON c.group_id = d.group_id AND c.id = d.candidate_id JOIN grp g ON g.id = d.group_id GROUP BY d.group_id),
+resolved AS (SELECT group_id, name, venue_slug, nullif(start_at, '') AS start_at, nullif(end_at, '') AS end_at, genre, status, description, CASE WHEN source_name = '' THEN 'Desk' ELSE source_name END AS source_name,
+  CASE WHEN source_url = '' THEN 'https://desk.test/' ELSE source_url END AS source_url, 'live' AS origin, '2026-04-19T09:00:00Z' AS last_checked_at,
+  concat_ws('-', 'live', trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), venue_slug, nullif(regexp_replace(start_at, '[^0-9]', '', 'g'), '')) AS slug,
+  CASE WHEN n <> 9 THEN 'not every field once' WHEN state <> 'open' THEN 'group is closed' END AS error FROM wide)
+"""
+_NOW = "2026-04-19T09:00:00Z"
 
 
-@query(f"""{model.SQL}, wide AS (SELECT d.group_id, max(g.status) AS state, count(*) AS n, {", ".join(f"trim(coalesce({v}, '')) AS {f}" for f, v in _V.items())}
-  FROM choice d JOIN candidate c ON c.group_id = d.group_id AND c.id = d.candidate_id JOIN grp g ON g.id = d.group_id GROUP BY d.group_id)
-SELECT group_id, name, venue_slug, CASE WHEN source_name = '' THEN 'Desk' ELSE source_name END AS source_name, nullif(start_at, '') AS start_at,
-  CASE WHEN start_at <> '' THEN concat_ws('-', 'live', trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), venue_slug, regexp_replace(start_at, '[^0-9]', '', 'g')) ELSE concat_ws('-', 'live', trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), venue_slug) END AS slug,
-  CASE WHEN state <> 'open' THEN 'group is closed' WHEN n <> 9 THEN 'not every field once' END AS error FROM wide""")
+@query(f"{_RESOLVED} SELECT * FROM resolved")
 def survivorship(spark, sf_dir):
     groups, candidates, choices = _three(spark, sf_dir)
     checked = reviews.checked_choices(choices, groups, candidates)
-    events = reviews.resolved_events(checked, groups, F.lit("2026-04-19T09:00:00Z"))
-    return events.select("group_id", "name", "venue_slug", "source_name", rfc3339(F.col("start_at")).alias("start_at"), "slug", "error")
+    events = reviews.resolved_events(checked, groups, F.lit(_NOW))
+    return events.withColumns({c: rfc3339(F.col(c)) for c in ("start_at", "end_at")})
+
+
+def _store(spark, sf_dir) -> reviews.Store:
+    choices = model.choices(spark, sf_dir).withColumn("value", F.lit("old")).withColumn("updated_at", F.lit("2026-01-01T00:00:00Z"))
+    return reviews.Store(model.groups(spark, sf_dir), choices, model.venues(spark, sf_dir), model.sources(spark, sf_dir), model.events(spark, sf_dir))
+
+
+@query(f"""{_RESOLVED} SELECT e.slug, e.name, e.start_at, e.status, v.slug AS venue_slug, s.name AS source_name, s.url AS source_url FROM listing e JOIN venue v ON v.id = e.venue_id JOIN source s ON s.id = e.source_id
+UNION ALL SELECT slug, name, start_at, status, venue_slug, source_name, source_url FROM resolved WHERE error IS NULL""")
+def publish(spark, sf_dir):
+    """The catalogue after all groups that can be resolved are."""
+    choices = model.choices(spark, sf_dir)
+    store, _ = reviews.resolve(_store(spark, sf_dir), model.candidates(spark, sf_dir), choices, F.lit(_NOW))
+    star = events_star(store.events, store.venues, store.sources)
+    return star.select("slug", "name", "start_at", "status", "venue_slug", "source_name", "source_url")
+
+
+@query(f"{_RESOLVED} SELECT grp.id, CASE WHEN resolved.error IS NULL AND group_id IS NOT NULL THEN 'resolved' ELSE grp.status END AS status, CASE WHEN resolved.error IS NULL AND group_id IS NOT NULL THEN '{_NOW}' ELSE updated_at END AS updated_at FROM grp LEFT JOIN resolved ON group_id = grp.id")
+def resolve_groups(spark, sf_dir):
+    store, _ = reviews.resolve(_store(spark, sf_dir), model.candidates(spark, sf_dir), model.choices(spark, sf_dir), F.lit(_NOW))
+    return store.groups.select("id", "status", "updated_at")
+
+
+@query(f"""{model.SQL}, want AS (SELECT group_id, CASE WHEN group_id % 7 = 0 AND field = 'genre' THEN 'colour' ELSE field END AS field, candidate_id FROM choice),
+bad AS (SELECT DISTINCT w.group_id FROM want w JOIN grp ON grp.id = w.group_id WHERE grp.status <> 'open' OR field = 'colour'),
+fine AS (SELECT w.group_id, w.field, w.candidate_id, v.value FROM want w JOIN (SELECT group_id, id, unnest([{", ".join(f"'{f}'" for f in reviews.FIELDS)}]) AS field, unnest([{", ".join(reviews.FIELDS)}]) AS value FROM candidate) v ON v.group_id = w.group_id AND v.id = w.candidate_id AND v.field = w.field WHERE w.group_id NOT IN (SELECT group_id FROM bad))
+SELECT group_id, field, candidate_id, value, '{_NOW}' AS updated_at FROM fine
+UNION ALL SELECT group_id, field, 0, 'old', '2026-01-01T00:00:00Z' FROM choice WHERE group_id IN (SELECT group_id FROM bad)""")
+def save_draft(spark, sf_dir):
+    """Choices after a draft for every group: of groups with an error, none of theirs is saved."""
+    store = _store(spark, sf_dir)
+    store = store._replace(choices=store.choices.withColumn("candidate_id", F.lit(0).cast("long")))
+    field = F.when((F.col("group_id") % 7 == 0) & (F.col("field") == "genre"), "colour").otherwise(F.col("field"))
+    wanted = model.choices(spark, sf_dir).withColumn("field", field)
+    after, _ = reviews.save_draft(store, model.candidates(spark, sf_dir), wanted, F.lit(_NOW))
+    return after.choices
+
+
+_LABEL = "CASE d.field " + " ".join(f"WHEN '{f}' THEN '{x}'" for f, x in FIELD_LABELS.items()) + " END"
+
+
+@query(f"""{model.SQL}, size AS (SELECT group_id, count(*) AS n FROM candidate WHERE id % 4 = 0 GROUP BY group_id),
+fields AS (SELECT group_id, n, unnest([{", ".join(f"'{f}'" for f in reviews.FIELDS)}]) AS field, unnest(range(9)) AS ordinal FROM size),
+d AS (SELECT f.group_id, f.n, f.field, f.ordinal, choice.candidate_id, choice.candidate_id IS NOT NULL AS chosen, CASE WHEN c.id IS NOT NULL THEN 'Candidate ' || position || ' (' || external_id || ')' WHEN choice.candidate_id IS NOT NULL THEN 'Unknown candidate' END AS candidate,
+      CASE WHEN choice.candidate_id IS NOT NULL THEN 'v' || choice.candidate_id END AS value FROM fields f LEFT JOIN choice ON choice.group_id = f.group_id AND choice.field = f.field LEFT JOIN candidate c ON c.id = choice.candidate_id AND c.id % 4 = 0)
+SELECT 'canonical' AS part, group_id, CAST(ordinal AS INT) AS ordinal, {_LABEL} AS label, value, candidate FROM d WHERE n > 1 UNION ALL SELECT 'preview', group_id, CAST(ordinal AS INT), {_LABEL}, value, candidate FROM d WHERE chosen
+UNION ALL SELECT 'single', d.group_id, CAST(ordinal AS INT), {_LABEL}, CASE ordinal {" ".join(f"WHEN {i} THEN c.{f}" for i, f in enumerate(reviews.FIELDS))} END, NULL FROM d JOIN candidate c ON c.group_id = d.group_id AND c.id % 4 = 0 WHERE n = 1""")
+def review_summary(spark, sf_dir):
+    """What a review shows beside its fields; a quarter of the candidates, so that some groups have one."""
+    _, candidates, choices = _three(spark, sf_dir)
+    value = F.concat(F.lit("v"), F.col("candidate_id").cast("string"))
+    return reviews.review_summary(candidates.filter("id % 4 = 0"), choices.withColumn("value", value))
 
 
 @query(f"{model.SQL} SELECT l.id, v.slug AS venue_slug, v.id AS venue_id, CASE WHEN v.id IS NULL THEN 'no such venue' END AS error FROM (SELECT id, 'customer-' || lpad(CAST(venue_id + CASE WHEN id % 10 = 0 THEN 100000000 ELSE 0 END AS VARCHAR), 9, '0') AS vs FROM listing) l LEFT JOIN venue v ON v.slug = l.vs")
@@ -118,12 +176,30 @@ def group_staging_key(spark, sf_dir):
     return c.groupBy("group_id").agg(staging_key(F.collect_list("fp")).alias("staging_key"))
 
 
-@query(rf"""{model.SQL}, c AS (SELECT venue_id % 100 AS run_id, venue_id % 5 AS calendar, id AS candidate, CASE WHEN id % 3 = 0 THEN 'uid-' || id % 40 ELSE '' END AS external_id, CASE WHEN id % 17 = 0 THEN '' ELSE 'Big   Show ' || id % 20 END AS name,
+_CLUSTERS = rf"""{model.SQL}, c AS (SELECT venue_id % 100 AS run_id, venue_id % 5 AS calendar, id AS candidate, CASE WHEN id % 3 = 0 THEN 'uid-' || id % 40 ELSE '' END AS external_id, CASE WHEN id % 17 = 0 THEN '' ELSE 'Big   Show ' || id % 20 END AS name,
   CASE WHEN id % 2 = 0 THEN 'yellow-arch' ELSE 'the-leadmill' END AS venue_slug, '2026-05-0' || (id % 9 + 1) || 'T19:00:00Z' AS start_at, '' AS end_at, '' AS genre, CASE WHEN id % 5 = 0 THEN 'Listed' ELSE 'Tentative' END AS status, '' AS description FROM listing),
 f AS (SELECT *, CASE WHEN external_id <> '' THEN 'uid ' || external_id ELSE concat_ws(' ', 'fallback', lower(name), start_at, venue_slug) END AS key, sha256({_PARTS}) AS fp, regexp_replace(name, ' +', ' ', 'g') AS collapsed FROM c WHERE external_id <> '' OR name <> '')
-SELECT run_id, count(*) AS members, min(calendar * 1000000000 + candidate) AS first, concat_ws(': ', CASE WHEN count(*) = 1 THEN 'New listing review' ELSE 'Duplicate review' END, first(collapsed ORDER BY calendar, candidate) FILTER (collapsed <> '')) AS title, {_KEY} AS staging_key
-FROM f GROUP BY run_id, key""")
+SELECT run_id, count(*) AS n_candidates, min(calendar * 1000000000 + candidate) AS first, concat_ws(': ', CASE WHEN count(*) = 1 THEN 'New listing review' ELSE 'Duplicate review' END, first(collapsed ORDER BY calendar, candidate) FILTER (collapsed <> '')) AS title,
+  'Feed' AS source_name, 'https://c.test/' || min(calendar) AS source_url, 'Created from manual ingest ' || CASE WHEN run_id > 0 THEN 'run ' || run_id || ' ' ELSE '' END || 'review staging.' AS notes, {_KEY} AS staging_key
+FROM f GROUP BY run_id, key
+"""
+
+
+@query(_CLUSTERS)
 def cluster(spark, sf_dir):
     found = staging.clustered(model.run_candidates(spark, sf_dir))
     first = F.col("ordinal.calendar") * 1000000000 + F.col("ordinal.candidate")
-    return found.select("run_id", F.size("candidates").cast("long").alias("members"), first.alias("first"), "title", "staging_key")
+    return found.select("run_id", "n_candidates", first.alias("first"), "title", "source_name", "source_url", "notes", "staging_key")
+
+
+@query(f"""SELECT run_id, first, n_candidates, CASE WHEN run_id % 2 = 0 OR nth > 1 THEN 'reused' ELSE 'created' END AS result, staging_key FROM (
+SELECT *, row_number() OVER (PARTITION BY staging_key ORDER BY run_id, first) AS nth, count(*) FILTER (run_id % 2 = 0) OVER (PARTITION BY staging_key) AS old FROM ({_CLUSTERS})) WHERE old = 0 OR run_id % 2 = 0
+UNION ALL SELECT run_id, first, n_candidates, 'reused', staging_key FROM (SELECT *, count(*) FILTER (run_id % 2 = 0) OVER (PARTITION BY staging_key) AS old FROM ({_CLUSTERS})) WHERE old > 0 AND run_id % 2 = 1""")
+def stage_groups(spark, sf_dir):
+    """All clusters staged where the groups of every other run exist already."""
+    found = staging.clustered(model.run_candidates(spark, sf_dir))
+    old = found.filter("run_id % 2 = 0").select("staging_key").distinct()
+    groups = old.withColumn("id", F.xxhash64("staging_key"))
+    done = staging.staged(groups, found)
+    first = F.col("ordinal.calendar") * 1000000000 + F.col("ordinal.candidate")
+    return done.select("run_id", first.alias("first"), "n_candidates", "result", "staging_key")

@@ -1,8 +1,8 @@
-"""Captured bodies in hashed JSON envelopes, and parts of their replay."""
+"""Captured bodies in hashed JSON envelopes; marquee.operators.replay reads runs back from them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
@@ -11,6 +11,11 @@ METADATA = "struct<url: string, final_url: string, status: string, status_code:
 ENVELOPE = f"struct<version: int, metadata: {METADATA}, sha256: string, truncated: boolean, body_base64: string>"
 
 
+def landed_files(spark: SparkSession, path: str) -> DataFrame:
+    """url (the file's path) and content of the files in a folder or glob, calendars and pages alike."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), "content")
+
+
 def capture(files: DataFrame, limit: int = MAX_BODY) -> DataFrame:
     """body and truncated of rows with content (as spark.read.format("binaryFile") gives them)."""
     return files.withColumn("truncated", F.length("content") > limit).withColumn("body", F.substring("content", 1, limit)).drop("content")
@@ -31,7 +36,7 @@ def unseal(snapshots: DataFrame) -> DataFrame:
         F.when(F.col("e").isNull() | F.col("e.version").isNull(), "malformed envelope")
         .when(F.col("e.version") != VERSION, "unsupported version")
         .when(F.col("body").isNull(), "malformed body")
-        .when(F.sha2("body", 256) != F.coalesce("e.sha256", F.lit("")), "hash mismatch")
+        .when(F.sha2("body", 256) != F.trim(F.coalesce("e.sha256", F.lit(""))), "hash mismatch")
     )
     return e.select(*snapshots.columns, F.col("e.metadata").alias("metadata"), F.col("e.truncated").alias("truncated"), "body", error.alias("error"))
 
@@ -44,22 +49,6 @@ def run_detail(snapshots: DataFrame) -> DataFrame:
     return e.select(*(c for c in snapshots.columns if c != "payload"), F.when(known, F.col("e.metadata")).alias("metadata"), F.when(known, status).otherwise("Metadata unavailable").alias("status_label"))
 
 
-def page_snapshot(decoded: DataFrame, registry: DataFrame) -> DataFrame:
-    """run, n and source key: the run's page snapshot is certain only where n is 1."""
-    match = (decoded["source_name"] == registry["name"]) & (decoded["source_url"] == registry["url"]) & (decoded["metadata.url"] == registry["url"])
-    hits = decoded.join(registry, match, "left").groupBy("import_run_id").agg(F.count("key").alias("n"), F.first("key", ignorenulls=True).alias("source_key"))
-    return hits.withColumn("error", F.when(F.col("n") != 1, F.lit("not exactly one page snapshot")))
-
-
-def linked_snapshots(links: DataFrame, decoded: DataFrame) -> DataFrame:
-    """``links`` (import_run_id, link) with the body of their snapshot by URL or final URL; error
-    where there is none or more than one."""
-    keys = decoded.select("import_run_id", "body", F.explode(F.array_distinct(F.array("metadata.url", "metadata.final_url"))).alias("link")).filter("link is not null and link != ''")
-    by = keys.groupBy("import_run_id", "link").agg(F.count("*").alias("n"), F.first("body").alias("body"))
-    error = F.when(F.col("n").isNull(), "no snapshot").when(F.col("n") > 1, "several snapshots")
-    return links.join(by, ["import_run_id", "link"], "left").withColumn("error", error).drop("n")
-
-
 def replayable(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Run id and why it can't be replayed (null if it can)."""
     n = snapshots.groupBy(F.col("import_run_id").alias("id")).agg(F.count("*").alias("n"))

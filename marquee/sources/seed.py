@@ -28,9 +28,10 @@ EVENTS = [
     (4, "leadmill-late-room", 1, 1, "Late Room", datetime(2026, 6, 5, 22, 0), datetime(2026, 6, 6, 1, 0), "DJ / club", "A late-room dance set."),
 ]
 CHECKED = datetime(2026, 4, 19, 10, 0)
+# The sources that runs read.
 REGISTRY = [
-    {"key": "sidney-and-matilda", "name": "Sidney & Matilda listings", "url": "https://www.sidneyandmatilda.com/", "page_mode": "linked_ics", "staged_as": "Sidney & Matilda manual ingest"},
-    {"key": "yellow-arch", "name": "Yellow Arch listings", "url": "https://www.yellowarch.com/events/", "page_mode": "source_page", "staged_as": "Yellow Arch manual ingest"},
+    {"key": "sidney-and-matilda", "name": "Sidney & Matilda listings", "url": "https://www.sidneyandmatilda.com/", "page_mode": "linked_ics", "staged_as": "Sidney & Matilda manual ingest", "calendar_name": "Sidney & Matilda Google Calendar ICS", "run_notes": "manual Sidney & Matilda snapshot + ICS parse report"},
+    {"key": "yellow-arch", "name": "Yellow Arch listings", "url": "https://www.yellowarch.com/events/", "page_mode": "source_page", "staged_as": "Yellow Arch manual ingest", "calendar_name": "", "run_notes": "manual Yellow Arch source-page parse report"},
 ]
 
 
@@ -54,6 +55,20 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in REGISTRY], ", ".join(f"{k} string" for k in REGISTRY[0]))
 
 
+def staged_names(spark: SparkSession) -> DataFrame:
+    """source and staged_as: what review groups of a source are named after. Blank is the first source."""
+    r = registry(spark)
+    return r.select(F.col("key").alias("source"), "staged_as").unionByName(r.filter(F.col("key") == REGISTRY[0]["key"]).select(F.lit("").alias("source"), "staged_as"))
+
+
+def bootstrapped(venues_now: DataFrame, events_now: DataFrame, sources_now: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables, with the seed in them if there is neither a venue nor an event."""
+    spark = venues_now.sparkSession
+    if not venues_now.isEmpty() or not events_now.isEmpty():
+        return venues_now, events_now, sources_now
+    return venues(spark), events(spark), sources(spark)
+
+
 def source_config(key: str) -> dict[str, str]:
     """The source of a key; blank is the first, an unknown key an error."""
     wanted = key.strip() or REGISTRY[0]["key"]

@@ -6,6 +6,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marquee.functions.text import blank_label, count_label, origin_run_id, slug, trim, venue_slug
@@ -13,6 +14,7 @@ from marquee.functions.time import from_local, parse_rfc3339, rfc3339
 from marquee.operators import calendar, catalog, reviews, runs, staging
 from marquee.sources import envelope, extract, seed
 
+# A calendar with a case of each kind.
 ICS = b"""BEGIN:VCALENDAR
 BEGIN:VEVENT
 UID:utc-1
@@ -76,12 +78,58 @@ def test_broken_calendars():
 
 
 def test_links(spark):
-    page = """<a href="/one.ics?name=S&amp;kind=live">Google Calendar ICS</a><a href='https://c.test/two.ics'> Google <b>Calendar</b>
-    ICS </a><a href="/three?FORMAT=x&format=ICAL">ICS</a><a href="/four.ics">ICS</a><a href="/one.ics?name=S&amp;kind=live">Google Calendar ICS</a><a href="/five.ics">Apple Calendar ICS</a>"""
-    pages = spark.createDataFrame([(1, "https://s.test/events/", page), (2, "https://s.test/", None)], "id long, url string, html string")
-    links = lambda n: [r["link"] for r in extract.ics_links(pages, "id", n).orderBy("position").collect()]
-    assert links(10) == ["https://s.test/one.ics?name=S&kind=live", "https://c.test/two.ics", "https://s.test/three?FORMAT=x&format=ICAL"]
-    assert links(1) == ["https://s.test/one.ics?name=S&kind=live"]
+    page = """<a name=top>ICS</a><a class="x" href="/one.ics?name=S&amp;kind=live">Google Calendar ICS</a><a href='https://c.test/two.ics'> google <b>Calendar</b>
+    ICS </a><a href=/three?FORMAT=x&format=ICAL>ics</a><a href="/four.ics">ICS</a><a href="/one.ics?name=S&amp;kind=live">Google Calendar ICS</a><a href="/five.ics">Apple Calendar ICS</a>
+    <a title='a > b' href="it's.ics">Google Calendar ICS</a><a href="http://[bad">Google Calendar ICS</a><a href="/open.ics">Google Calendar ICS"""
+    pages = spark.createDataFrame([(1, "https://s.test/events/", page), (2, "https://s.test/", None), (3, "https://[s", page), (4, "https://s.test/", "")], "id long, url string, html string")
+    links = lambda n: [r["link"] for r in extract.ics_links(pages.filter("id != 3"), "id", n).orderBy("position").collect()]
+    whole = ["https://s.test/one.ics?name=S&kind=live", "https://c.test/two.ics", "https://s.test/three?FORMAT=x&format=ICAL", "https://s.test/events/it's.ics"]
+    assert links(10) == whole and links(1) == whole[:1] and links(3) == whole[:3]
+    assert [r["reason"] for r in extract.ics_links(pages.filter("id = 3"), "id", 5).collect()] == ["bad page URL 'https://[s'"]
+
+
+HOSTILE = {
+    "open tags": "<a " * 350_000,
+    "quotes": "<a x=\"" * 170_000,
+    "quoted ends": '<a x=">" ' * 110_000,
+    "declarations": "<!" * 500_000,
+    "comments": "<!--" * 250_000,
+    "less-than": "<" * 1_000_000,
+    "digits": "&#" + "1" * 1_000_000 + ";",
+    "zeros": "&#" + "0" * 1_000_000 + "65;",
+    "anchors": "<a href=x>" * 100_000,
+    "spaces": "<a" + " " * 1_000_000 + ">",
+    "scripts": '<script type="application/ld+json">' * 28_000,
+    "equals": "<a x=" * 200_000 + ">",
+    "deep data": '<script type="application/ld+json">' + "[" * 900_000 + "</script>",
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    from time import process_time
+
+    from marquee.functions.markup import Scanner, attributes, links, plain
+
+    page = HOSTILE[name]
+    start = process_time()
+    n = len(list(Scanner(page).tags()))
+    list(links(page))
+    plain(page)
+    attributes(page)
+    extract.parse_ics_links(page, "https://x.test/", 50)
+    extract.parse_jsonld(page, "https://x.test/", 5)
+    assert process_time() - start < 12 and n >= 0  # six readings of a page of 1 MB
+
+
+def test_scanner_reads_like_a_browser():
+    from marquee.functions.markup import Scanner, attributes, unescape
+
+    tags = lambda text: [(t.name, t.closing, t.rest) for t in Scanner(text).tags()]
+    assert tags("<p>1 < 2<!-- <b> --><A HREF='>'></a ><![x]><i") == [("p", False, ""), ("a", False, " HREF='>'"), ("a", True, " ")]
+    assert tags('<a x="y>z</a>') == [("a", False, ' x="y'), ("a", True, "")]
+    assert attributes(" a=1 A=2 b c = 'x y' d=\"q\"") == {"a": ("1", False), "b": ("", False), "c": ("x y", True), "d": ("q", True)}
+    assert unescape("&lt;&#65;&#x41;&#0000000065;&#99999999999;") == "<AAA\ufffd"
 
 
 def script(body):
@@ -96,11 +144,27 @@ def test_schema_org():
     assert (found[0]["summary"], found[0]["url"], found[0]["start_at"], found[0]["end_at"]) == ("A & B", "https://p.test/e/", "2026-05-10T18:30:00Z", "2026-05-10T22:00:00Z")
     assert found[1]["reason"] == "missing event start time"
     assert [r["kind"] for r in extract.parse_jsonld(script('{"@graph": []}'), "", 5)] == ["error"]
-    assert [r["reason"] for r in extract.parse_jsonld("<p>", "", 5)] == ["no JSON-LD data"]
+    assert [r["reason"] for r in extract.parse_jsonld("<p>", "", 5)] == ["no application/ld+json event data found"]
     bad = extract.parse_jsonld(script(event.replace("2026-05-10T23:00", "2026-05-10")), "", 5)
     assert bad[0]["kind"] == "error"
 
 
+def test_schema_org_order_and_broken_values():
+    inner = '{"@type": [["Event"]], "name": "inner", "startDate": "2026-05-10T19:30", "endDate": "2026-05-10T23:00", "location": "Hall", "url": "http://[bad"}'
+    outer = '{"@type": "Event", "name": "outer", "startDate": "0001-01-01T00:00:00+01:00", "endDate": "2026-05-10T23:00", "location": "Hall", "@graph": [' + inner + "]}"
+    found = extract.parse_jsonld(script(outer), "https://p.test/", 1)
+    assert [(r["kind"], r.get("summary")) for r in found] == [("error", None), ("candidate", "inner"), ("error", None)] and found[1]["url"] == "http://[bad"
+    assert "start time of 'outer'" in found[2]["reason"]
+    assert [r["kind"] for r in extract.parse_jsonld(script(inner.replace("inner", "a\\ud800b")), "https://p.test/", 1)] == ["error", "candidate"]
+    for text in ("[" * 100_000, "NaN", "{", '{"a": ' * 5000 + "1" + "}" * 5000):
+        rows = extract.parse_jsonld(script(text), "", 5)
+        assert {r["kind"] for r in rows} == {"error"}
+    unquoted = "<script type=application/ld+json>" + inner + "</script>"
+    assert [r["reason"] for r in extract.parse_jsonld(unquoted, "", 5)] == ["no application/ld+json event data found"]
+    assert extract.parse_ics(b"BEGIN:VEVENT\nSUMMARY:a\nDTSTART:00010101T000000\nEND:VEVENT")[0]["kind"] in ("skip", "candidate")
+    assert extract.parse_ics(b"BEGIN:VEVENT\nSUMMARY:a\nDTSTART:99991231T235959\nDTEND:00000101T000000Z\nEND:VEVENT")[0]["reason"].startswith("malformed DTEND")
+
+
 @pytest.mark.parametrize(("name", "expected"), [("  ", ""), ("Sidney & Matilda", "sidney-and-matilda"), ("Yellow Arch Studios", "yellow-arch"), ("Rivelin Works", "rivelin-works"), ("The Leadmill", "the-leadmill")])
 def test_venue_slug(spark, name, expected):
     assert one(spark, venue_slug(F.lit(name))) == expected
@@ -154,8 +218,9 @@ def test_calendar_windows(spark):
     assert names(calendar.in_window(calendar.at_venue(events, "leadmill", venues), "week", today)) == ["tonight", "friday"]
     assert names(calendar.at_venue(events, "nowhere", venues)) == names(events)
     assert names(calendar.at_venue(events, "empty-room", venues)) == []
-    days = calendar.events_page(events, venues, "week", "", today).collect()
-    assert [r["local_date"] for r in days] == [date(2026, 4, 19), date(2026, 4, 20), date(2026, 4, 24)]
+    page = calendar.events_page(events, venues, "week", "", today)
+    days = [date(2026, 4, 19), date(2026, 4, 20), date(2026, 4, 24)]
+    assert [r["local_date"] for r in page.collect()] == days and [(r["local_date"], r["n"], r["slugs"]) for r in calendar.day_lines(page).collect()] == list(zip(days, (1, 1, 1), (["tonight"], ["tomorrow"], ["friday"])))
 
 
 def rows_of(spark, *candidates):
@@ -165,12 +230,40 @@ def rows_of(spark, *candidates):
 
 def test_clusters(spark):
     found = staging.clustered(rows_of(spark, {"uid": "a", "summary": "First listing"}, {"candidate": 1, "summary": "  Big   Night  "}, {"candidate": 2, "summary": "Singleton"}, {"calendar": 1, "uid": " a ", "summary": "Other", "start_at": "2027-01-01T00:00:00Z"}, {"calendar": 1, "candidate": 1, "summary": "big night"}, {"calendar": 1, "candidate": 2, "summary": " "})).collect()
-    assert [(r["title"], len(r["candidates"])) for r in found] == [("Duplicate review: First listing", 2), ("Duplicate review: Big Night", 2), ("New listing review: Singleton", 1)]
+    assert [(r["title"], r["n_candidates"]) for r in found] == [("Duplicate review: First listing", 2), ("Duplicate review: Big Night", 2), ("New listing review: Singleton", 1)]
     assert found[0]["notes"] == "Created from manual ingest run 42 review staging."
-    assert found[1]["candidates"][0]["name"] == "Big   Night" and found[0]["candidates"][0]["status"] == "Listed"
+    assert found[0]["source_url"] == "https://c.test/" and found[0]["source_name"] == "Feed"
     assert all(r["staging_key"].startswith("v1:") for r in found)
 
 
+def test_members_of_clusters(spark):
+    own = staging.members(rows_of(spark, {"summary": "  Big   Night  ", "candidate": 3}, {"summary": "big night", "calendar": 1, "candidate": 0, "url": "https://e.test/"})).orderBy("position").collect()
+    assert [(r["position"], r["name"], r["status"], r["source_url"]) for r in own] == [(1, "Big   Night", "Listed", "https://c.test/"), (2, "big night", "Listed", "https://e.test/")]
+    assert [r["provenance"] for r in own] == ["import run 42; calendar https://c.test/", "import run 42; calendar https://c.test/; URL https://e.test/"]
+
+
+def test_staging_creates_each_key_once(spark):
+    found = staging.clustered(rows_of(spark, {"uid": "a", "summary": "x"}, {"run_id": 43, "uid": "a", "summary": "x"}, {"uid": "b", "summary": "y", "candidate": 1}, {"run_id": 44, "uid": "c", "summary": "z", "source_name": " "}))
+    old = [r["staging_key"] for r in found.filter("key like '%b'").collect()]
+    groups = spark.createDataFrame([(7, old[0]), (8, None)], "id long, staging_key string")
+    done = staging.staged(groups, found)
+    got = {(r["run_id"], r["key"][-1]): (r["id"], r["result"], r["error"]) for r in done.collect()}
+    assert got == {(42, "a"): (9, "created", None), (43, "a"): (9, "reused", None), (42, "b"): (7, "reused", None), (44, "c"): (None, None, "review source name is required")}
+    assert [tuple(r) for r in staging.stage_totals(done).orderBy("run_id").collect()] == [(42, 1, 1, 2, 0), (43, 0, 1, 1, 0), (44, 0, 0, 1, 1)]
+    assert [(r["id"], r["status"], r["title"]) for r in staging.new_groups(done, F.lit("now")).collect()] == [(9, "open", "New listing review: x")]
+
+
+def test_fixture_groups(spark, tmp_path):
+    (tmp_path / "one.ics").write_bytes(ICS)
+    files = envelope.landed_files(spark, str(tmp_path / "*.ics")).withColumnRenamed("content", "body")
+    rows = extract.ics_candidates(files).filter("kind = 'candidate'").withColumnRenamed("ordinal", "candidate")
+    group, own = staging.fixture_group(rows, "a/one.ics")
+    assert (group.first()["title"], group.first()["source_url"]) == ("Fixture review: one.ics", "file:a/one.ics")
+    assert [(r["position"], r["external_id"], r["provenance"], r["source_url"]) for r in own.orderBy("position").collect()] == [(k + 1, u, f"fixture UID {u}", "file:a/one.ics") for k, u in enumerate(("utc-1", "london-1", "floating-1"))]
+    with pytest.raises(ValueError):
+        staging.fixture_group(rows.filter("false"), "a/one.ics")
+
+
 def test_staging_key_depends_on_content_alone(spark):
     key = lambda *c: staging.clustered(rows_of(spark, *c)).first()["staging_key"]
     a, b = {"uid": "a", "summary": "x"}, {"uid": "a", "summary": "y"}
@@ -208,19 +301,6 @@ def test_envelopes(spark):
     assert [r["error"] for r in envelope.unseal(made).collect()] == list(cases.values())
 
 
-def test_linked_snapshots(spark):
-    shots = spark.createDataFrame([(1, ("https://a/", "https://b/"), b"x"), (1, ("https://c/", "https://c/"), b"y"), (1, ("https://d/", ""), b"z"), (1, ("https://d/", None), b"z")], "import_run_id long, metadata struct<url: string, final_url: string>, body binary")
-    links = spark.createDataFrame([(1, u) for u in ("https://b/", "https://c/", "https://d/", "https://e/")], "import_run_id long, link string")
-    found = {r["link"]: r["error"] for r in envelope.linked_snapshots(links, shots).collect()}
-    assert found == {"https://b/": None, "https://c/": None, "https://d/": "several snapshots", "https://e/": "no snapshot"}
-
-
-def test_page_snapshot(spark):
-    decoded = spark.createDataFrame([(1, r["name"], r["url"], (r["url"],)) for r in seed.REGISTRY[:1]] + [(2, r["name"], r["url"], (r["url"],)) for r in seed.REGISTRY] + [(3, "x", "y", ("z",))], "import_run_id long, source_name string, source_url string, metadata struct<url: string>")
-    found = {r["import_run_id"]: (r["n"], r["error"]) for r in envelope.page_snapshot(decoded, seed.registry(spark)).collect()}
-    assert found == {1: (1, None), 2: (2, "not exactly one page snapshot"), 3: (0, "not exactly one page snapshot")}
-
-
 def test_source_registry():
     assert seed.source_config(" ")["key"] == "sidney-and-matilda" and seed.source_config("yellow-arch")["page_mode"] == "source_page"
     with pytest.raises(LookupError):
@@ -268,3 +348,143 @@ def test_stream_stages_each_envelope_once(spark, tmp_path):
         shots.write.mode("append").parquet(landed) if n and not (tmp_path / "landed").exists() else None
         stage_candidates(snapshot_stream(spark, landed), out, state).awaitTermination(120)
         assert spark.read.parquet(out).count() == n
+
+
+# Runs and replay
+
+LINKED, PAGED = seed.REGISTRY[0]["url"], seed.REGISTRY[1]["url"]
+PAGE = b'<a href="/one.ics">Google Calendar ICS</a> <a href="/two.ics">Google Calendar ICS</a>'
+EVENTS = b'<script type="application/ld+json">[{"@type":"Event","name":"a","location":"Yellow Arch","startDate":"2026-05-10T19:30","endDate":"2026-05-10T23:00"},{"@type":"Event","name":"b"}]</script>'
+FILE = "url string, final_url string, status_code int, truncated boolean, body binary"
+
+
+def landed(spark, *files):
+    rows = spark.createDataFrame([(u, f or u, c, t, bytearray(b)) for u, f, c, t, b in files], FILE)
+    return rows.withColumns({"status": F.lit(""), "content_type": F.lit(""), "content_length": F.lit(-1).cast("long"), "captured_at": F.lit("2026-04-19T09:00:00Z")})
+
+
+def ran(spark, *files, source="sidney-and-matilda", limit=0):
+    from marquee.operators import replay
+
+    wanted = spark.createDataFrame([(5, source)], "run_id long, source string")
+    return replay.ingest(wanted, landed(spark, *files), seed.registry(spark), limit)
+
+
+def test_runs_over_landed_files(spark):
+    one, two = LINKED + "one.ics", LINKED + "two.ics"
+    report = ran(spark, (LINKED, None, 200, False, PAGE), (one, None, 200, False, ICS), (two, None, 200, True, ICS))
+    r = report.runs.first()
+    assert (r["status"], r["snapshots"], r["links"], r["candidates"], r["skips"], r["errors"]) == ("failed", 3, 2, 3, 4, 1)
+    assert r["notes"] == f"links=2 candidates=3 skips=4 errors=1; {two}: ICS response was truncated"
+    notes = lambda *files, **k: ran(spark, *files, **k).runs.first()["notes"].split("; ")[1:]
+    assert notes((LINKED, None, 404, False, PAGE)) == ["source page returned HTTP 404"]
+    assert notes((LINKED, None, 200, True, PAGE)) == ["source page response was truncated"]
+    assert notes((one, None, 200, False, ICS)) == ["source page did not land"]
+    assert notes((LINKED, None, 200, False, b"<p>")) == ["no ICS links found"]
+    assert notes((LINKED, None, 200, False, PAGE), (one, None, 500, False, b"")) == ["no ICS calendars parsed successfully", f"{one}: ICS returned HTTP 500", f"{two}: ICS did not land"]
+    good = ran(spark, (PAGED, None, 200, False, EVENTS), source="yellow-arch", limit=1)
+    assert (good.runs.first()["status"], good.runs.first()["notes"]) == ("succeeded", "links=0 candidates=1 skips=1 errors=0")
+    for bad in (-1, 51):
+        with pytest.raises(ValueError):
+            ran(spark, limit=bad)
+
+
+def test_replay_gives_what_the_run_gave(spark):
+    from marquee.operators import replay
+
+    registry = seed.registry(spark)
+    one, two, moved = LINKED + "one.ics", LINKED + "two.ics", "https://moved.test/two.ics"
+    files = landed(spark, (LINKED, None, 200, False, PAGE), (one, None, 200, False, ICS), (two, moved, 200, False, ICS.replace(b"utc-1", b"utc-2")), (PAGED, None, 200, False, EVENTS))
+    wanted = spark.createDataFrame([(5, "sidney-and-matilda"), (6, "yellow-arch")], "run_id long, source string")
+    report = replay.ingest(wanted, files, registry, 10)
+    shots = replay.captured(report, files, registry).withColumn("id", F.row_number().over(Window.orderBy("import_run_id", "source_url")).cast("long"))
+    table = spark.createDataFrame([(5, "x", "succeeded"), (6, "x", " SUCCEEDED ")], "id long, finished_at string, status string")
+    again = replay.replay(table, shots, registry, 10)
+    columns = ["run_id", "source", "links", "snapshots", "candidates", "skips", "errors", "status", "notes"]
+    assert again.runs.select(columns).orderBy("run_id").collect() == report.runs.select(columns).orderBy("run_id").collect()
+    assert [(r["run_id"], r["links"], r["status"]) for r in again.runs.orderBy("run_id").collect()] == [(5, 2, "succeeded"), (6, 0, "succeeded")]
+    groups = [(r["run_id"], r["title"], r["source_name"]) for r in replay.review_groups(again, seed.staged_names(spark)).collect()]
+    desk = "Sidney & Matilda manual ingest"
+    assert groups == [(5, "New listing review: First", desk), (5, "Duplicate review: Second, with comma", desk), (5, "Duplicate review: Third", desk), (5, "New listing review: First", desk), (6, "New listing review: a", "Yellow Arch manual ingest")]
+    text = runs.as_json(again.runs.filter("run_id = 6")).first()["report"]
+    assert '"run_id" : 6' in text and "\n" in text
+
+
+REFUSED = {
+    "final url": None,
+    "json": "malformed envelope",
+    "base64": "malformed body",
+    "version": "unsupported version",
+    "hash": "hash mismatch",
+    "missing": "missing ICS snapshot",
+    "duplicate": "duplicate ICS snapshot address",
+    "unfinished": "unfinished",
+    "failed": "not succeeded",
+    "no snapshots": "no snapshots",
+    "two pages": "several source page snapshots",
+    "no page": "no source page snapshot",
+}
+
+
+def test_replay_refuses(spark):
+    """Each case is a run of its own, all replayed at once."""
+    from functools import reduce
+
+    from marquee.operators import replay
+
+    registry, one = seed.registry(spark), LINKED + "one.ics"
+    page = PAGE[: PAGE.index(b" <a")]
+    files = landed(spark, (LINKED, None, 200, False, page), (one, one, 200, False, ICS), ("https://old.test/one.ics", one, 200, False, ICS))
+    named = files.withColumn("source_name", F.when(F.col("url") == LINKED, seed.REGISTRY[0]["name"]).otherwise("x")).withColumn("source_url", F.col("url"))
+    number = F.when(F.col("url") == LINKED, 1).when(F.col("url") == one, 2).otherwise(3).cast("long")
+    rows = spark.createDataFrame(envelope.seal(named).select(number.alias("id"), "source_name", "source_url", "captured_at", "payload").collect(), "id long, source_name string, source_url string, captured_at string, payload string")
+    payload = F.col("payload")
+    broken = {"json": F.lit("{"), "base64": F.regexp_replace(payload, '"body_base64":"', '"body_base64":"%'), "version": F.regexp_replace(payload, '"version":1', '"version":2'), "hash": F.regexp_replace(payload, '"sha256":"....', '"sha256":"zzzz')}
+    keep = {"missing": "id = 1", "no page": "id = 2", "no snapshots": "false", "final url": "id != 2"}
+    shots, table = [], []
+    for k, change in enumerate(REFUSED):
+        own = rows.filter(keep.get(change, "id != 3"))
+        if change in broken:
+            own = own.withColumn("payload", F.when(F.col("id") == 2, broken[change]).otherwise(payload))
+        if change in ("duplicate", "two pages"):
+            own = own.unionByName(own.filter(F.col("id") == (2 if change == "duplicate" else 1)).withColumn("id", F.col("id") + 10))
+        shots.append(own.withColumn("import_run_id", F.lit(k).cast("long")))
+        table.append((k, None if change == "unfinished" else "x", "failed" if change == "failed" else "succeeded"))
+    runs_table = spark.createDataFrame(table, "id long, finished_at string, status string")
+    report = replay.replay(runs_table, reduce(lambda a, b: a.unionByName(b), shots), registry, 10, keep=lambda df: df.persist())
+    got = {r["run_id"]: (r["refused"], r["status"]) for r in report.runs.collect()}
+    assert got == {k: (error, None if error else "succeeded") for k, error in enumerate(REFUSED.values())}
+    assert {r["run_id"] for r in report.lines.collect()} == {0}
+    with pytest.raises(ValueError):
+        replay.replay(runs_table, shots[0], registry, 0)
+
+
+def test_runs_finish(spark):
+    table = spark.createDataFrame([(1, None, "running", ""), (2, None, "running", "")], "id long, finished_at string, status string, notes string")
+    done = spark.createDataFrame([(1, " failed ", "n"), (2, " ", "n"), (3, "failed", "n")], "id long, status string, notes string")
+    log = runs.run_finishes(table, done, F.lit("t"))
+    assert sorted((r["id"], r["error"]) for r in log.collect() if r["error"]) == [(2, "run status is required"), (3, "run not found")]
+    assert [tuple(r) for r in runs.finished(table, log).orderBy("id").collect()] == [(1, "t", "failed", "n"), (2, None, "running", "")]
+
+
+def test_bootstrap_and_ids(spark):
+    venues, events, sources = seed.venues(spark), seed.events(spark), seed.sources(spark)
+    first = seed.bootstrapped(venues.limit(0), events.limit(0), sources.limit(0))
+    assert [t.count() for t in first] == [3, 4, 3] and seed.bootstrapped(venues.limit(1), events.limit(0), sources)[1].isEmpty()
+    from marquee.functions.text import field_label, strict_id
+
+    found = {x: one(spark, strict_id(F.lit(x), "/runs/")) for x in ("/runs/12", "/runs/0", "/runs/1x", "/runs/", "/other/1", "/runs/99999999999999999999", "/runs/-1")}
+    assert {k: v for k, v in found.items() if v is not None} == {"/runs/12": 12}
+    assert one(spark, field_label(F.lit("venue_slug"))) == "Venue slug" and one(spark, field_label(F.lit("x"))) == "x"
+
+
+def test_white_space_runs_take_linear_time(spark):
+    from time import perf_counter
+
+    from marquee.functions.text import collapse
+
+    text = "a" + " \u3000" * 500_000 + "b"
+    df = spark.createDataFrame([(text,)], "t string").select(trim(F.col("t")).alias("trim"), collapse(F.col("t")).alias("collapse"))
+    start = perf_counter()
+    r = df.first()
+    assert r["trim"] == text and r["collapse"] == "a b" and perf_counter() - start < 10
