@@ -11,9 +11,13 @@ loses either property without its first or without its last sentence's end: one
 sentence and one ends at each. As WINDOW is below MIN_WORDS, every run of MIN_WORDS words has the
 sentences. Two copies of a passage, wherever they stand, are cut alike but for at most WINDOW
 words at each end, and have the same spans in between: a passage of 2 * WINDOW + MIN_WORDS words
-has one at least. Spans are hashed with ASCII lower case and white space collapsed, grouped over
-all documents, and every sentence under a span that is not the first of its hash, by doc_id and
-place, is removed.
+has one at least. Spans are hashed with ASCII lower case and white space collapsed, to 128 bits, so
+that of 10**13 spans no two differing ones are expected to be taken for equal (chance below 10**-12).
+They are grouped over all documents, and every sentence under a span that is not the first of its
+hash, by doc_id and place, is removed.
+
+A batch of documents first compares its own spans: only the first of each hash goes on to the others,
+so the places that meet for a passage are as many as batches hold it, not as many as texts.
 """
 
 from __future__ import annotations
@@ -35,7 +39,10 @@ MIN_SENTENCES = 2
 MIN_WORDS = 20
 #: Words of a sentence in a row of which the pair of least hash ends a piece.
 WINDOW = 15
-_END = re.compile(rb"(?:[.!?]+[\"')\]]*(?=\s)|\n)\s*")
+#: Sets the two halves of a span's hash apart.
+SECOND = 0x5851F42D4C957F2D
+#: A run of marks is looked at once, from its first.
+_END = re.compile(rb"(?:(?<![.!?])[.!?]++[\"')\]]*+(?=\s)|\n)\s*+")
 _WORD = re.compile(rb"\S+\s*")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 _HIGH, _LOW = np.array([0xFFFFFFFF00000000, 0xFFFFFFFF], np.uint64)
@@ -95,21 +102,57 @@ def spans(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both // (n + 1), both % (n + 1)
 
 
-SPANS = "hash long, doc_id long, text_key long, first int, end int"
+SPANS = "hash long, check long, doc_id long, text_key long, place long, later boolean"
+
+
+def _hashes(digests: np.ndarray, first: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of the digests of each run of sentences."""
+    values = mix(digests + np.uint64(salt))
+    p, q = powers(len(values) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values * p[: len(values)], dtype=np.uint64)])
+    return mix((sums[end] - sums[first]) * q[first] + (end - first).astype(np.uint64))
+
+
+def _repeats(h: np.ndarray, check: np.ndarray, null: np.ndarray, ids: np.ndarray, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which spans come after another of their hash, by doc_id (null last), text and place. Equal
+    places of rows that repeat count as one."""
+    out = np.zeros(len(h), bool)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    shared = np.zeros(len(h), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    some = order[shared]  # few: those whose hash another has
+    if not len(some):
+        return out
+    some = some[np.lexsort((place[some], keys[some], ids[some], null[some], check[some], h[some]))]
+    a, b = some[:-1], some[1:]
+    same = (h[a] == h[b]) & (check[a] == check[b])
+    twin = same & (null[a] == null[b]) & (ids[a] == ids[b]) & (keys[a] == keys[b]) & (place[a] == place[b])
+    # the first of a hash, and its twins, are not later
+    group, step = np.concatenate([[0], np.cumsum(~same)]), np.concatenate([[0], np.cumsum(~twin)])
+    begins = np.searchsorted(group, np.arange(group[-1] + 1))
+    out[some] = step != step[begins][group]
+    return out
 
 
 def span_hashes(docs: DataFrame) -> DataFrame:
-    """hash, doc_id, text_key, first and end of every span of every text. Null and empty texts have
-    none; rows that repeat entirely give the same spans again."""
+    """hash and check (128 bits), doc_id, text_key and place (first and end sentence, 32 bits each) of
+    spans of every text, and whether a span is known to come after another of its hash.
+
+    Null and empty texts have none. Of spans that come later in their batch the hash is random. Rows
+    that repeat entirely give the same places.
+    """
     import xxhash
 
-    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
+    schema = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int64()), ("later", pa.bool_())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_digest
         for b in batches:
             data, offsets = string_parts(b.column(2))
             doc_ids, keys = b.column(0), b.column(1)
+            found = []
             for lo, hi in steps(offsets):
                 digests, words, counts = [], [], []
                 for r in range(lo, hi):
@@ -125,13 +168,19 @@ def span_hashes(docs: DataFrame) -> DataFrame:
                     continue
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 first, end = spans(np.array(words), bounds)
-                hashes = np.frombuffer(b"".join(digests), "<u8")
-                p, q = powers(len(hashes) + 1)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * p[: len(hashes)], dtype=np.uint64)])
-                h = mix((sums[end] - sums[first]) * q[first] + (end - first).astype(np.uint64))
                 row = np.searchsorted(bounds, first, side="right") - 1
-                at = pa.array(row + lo)
-                yield batch(schema, [h.view(np.int64), doc_ids.take(at), keys.take(at), (first - bounds[row]).astype(np.int32), (end - bounds[row]).astype(np.int32)])
+                own = np.frombuffer(b"".join(digests), "<u8")
+                found.append((_hashes(own, first, end, 0), _hashes(own, first, end, SECOND), row + lo, (first - bounds[row]) << 32 | (end - bounds[row])))
+            if not found:
+                continue
+            h, check, row, place = (np.concatenate([f[k] for f in found]) for k in range(4))
+            null = np.asarray(doc_ids.is_null())[row]
+            ids = doc_ids.fill_null(0).to_numpy()[row]
+            later = _repeats(h, check, null, ids, keys.to_numpy()[row], place)
+            # those that are known to repeat need not meet the others: they are dealt out evenly
+            h = np.where(later, mix(h + mix(ids.astype(np.uint64) + np.uint64(1)) + place.astype(np.uint64)), h)
+            at = pa.array(row)
+            yield batch(schema, [h.view(np.int64), check.view(np.int64), doc_ids.take(at), keys.take(at), place, later])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     return columns.mapInArrow(cut, SPANS)
@@ -139,11 +188,12 @@ def span_hashes(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and ranges (array of first, end in sentences) for documents with a span that
-    is not the first of its hash. A running rank after one shuffle by hash tells them, equal places as
-    one. All places of a passage meet in one task, which sorts them and spills what memory doesn't hold."""
-    order = Window.partitionBy("hash").orderBy(F.col("doc_id").isNull(), "doc_id", "text_key", "first")
-    later = span_hashes(docs).withColumn("rank", F.rank().over(order)).filter("rank > 1")
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
+    is not the first of its hash. One shuffle by hash and a running rank, equal places as one, tell the
+    spans that no batch has told."""
+    order = Window.partitionBy("later", "hash", "check").orderBy(F.col("doc_id").isNull(), "doc_id", "text_key", "place")
+    later = span_hashes(docs).withColumn("rank", F.rank().over(order)).filter("later or rank > 1")
+    place = F.struct(F.shiftright("place", 32).cast("int").alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"))
+    return later.groupBy("doc_id", "text_key").agg(F.collect_set(place).alias("ranges"))
 
 
 def remaining(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int]:

@@ -547,3 +547,54 @@ def test_grams_of_long_words(spark):
     df = spark.createDataFrame([(w, k) for w in words for k in (1, 2, 6) if k <= len(w)], "w string, k int")
     for r in df.select("w", "k", F.expr(GRAMS).alias("g")).collect():
         assert r["g"] == [r["w"][i : i + r["k"]] for i in range(len(r["w"]) - r["k"] + 1)]
+
+
+def brute_spans(docs):
+    """Ranges of sentences that deduplication takes from each document, from texts alone."""
+    from marquee.llm.sentence_spans import MIN_SENTENCES, MIN_WORDS, sentence_ends
+
+    places = {}
+    for i, text in docs:
+        raw = (text or "").encode().lower()
+        ends = sentence_ends(raw)
+        parts = [raw[a:b].split() for a, b in zip([0, *ends], ends)]
+        words = [len(x) for x in parts]
+        ok = lambda a, b: b - a >= MIN_SENTENCES and sum(words[a:b]) >= MIN_WORDS
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                if ok(a, b) and (not ok(a + 1, b) or not ok(a, b - 1)):
+                    places.setdefault(tuple(tuple(x) for x in parts[a:b]), set()).add((i is None, i or 0, text, a, b))
+    gone = {}
+    for found in places.values():
+        first = min(found, key=lambda f: (f[0], f[1], f[3]))
+        for null, i, text, a, b in found - {first}:
+            gone.setdefault((None if null else i, text), set()).update(range(a, b))
+    return gone
+
+
+def test_spans_match_brute_force_on_texts(spark):
+    from marquee.llm.sentence_spans import deduplicate_spans, sentence_ends
+
+    rng = random.Random(11)
+    stock = [" ".join(rng.choice(["oak", "elm", "ash", "fir"]) for _ in range(rng.randrange(2, 9))) + rng.choice([". ", "! ", "\n", "... "]) for _ in range(12)]
+    docs = [(k if k else None, "".join(rng.choice(stock) for _ in range(rng.randrange(0, 14)))) for k in range(60)]
+    docs += [(61, docs[5][1]), (62, docs[7][1].upper()), (62, docs[7][1].upper())]
+    want = brute_spans(docs)
+    for parts in (1, 7):  # one batch, and batches that meet in the shuffle
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        for r, text in zip(sorted(deduplicate_spans(df).collect(), key=lambda r: (r["doc_id"] or 0)), [t for _, t in sorted(docs, key=lambda d: d[0] or 0)]):
+            raw = text.encode()
+            ends = sentence_ends(raw)
+            left = b"".join(raw[a:b] for k, (a, b) in enumerate(zip([0, *ends], ends)) if k not in want.get((r["doc_id"], text), ()))
+            assert r["text"] == left.decode()
+
+
+def test_runs_of_marks_take_linear_time():
+    from time import process_time
+
+    from marquee.llm.sentence_spans import sentence_ends
+
+    start = process_time()
+    for text in (b"." * 1_000_000, b".'" * 500_000, b"?! " * 300_000, b"x." * 500_000, b"." * 500_000 + b" " * 500_000, b"\n" * 1_000_000):
+        assert sentence_ends(text)[-1] == len(text)
+    assert process_time() - start < 15
