@@ -598,3 +598,56 @@ def test_runs_of_marks_take_linear_time():
     for text in (b"." * 1_000_000, b".'" * 500_000, b"?! " * 300_000, b"x." * 500_000, b"." * 500_000 + b" " * 500_000, b"\n" * 1_000_000):
         assert sentence_ends(text)[-1] == len(text)
     assert process_time() - start < 15
+
+
+HOSTILE_PAGES = {
+    "open tags": "<a " * 350_000,
+    "divs": "<div>" * 200_000 + "x",
+    "paragraphs": "<p>" * 330_000,
+    "lists": "<ul><li>" * 120_000 + "x",
+    "quotes": "<blockquote>x" * 80_000,
+    "tables": "<table><tr><td>a<td>" * 50_000 + "x",
+    "one line": "a<b>c</b>" * 110_000,
+    "scripts": "<script></script " * 60_000,
+    "wide cell": "<table><tr><td>" + "w" * 500_000 + "<td>b" + "<tr><td>a<td>b" * 20_000,
+    "column spans": "<table><tr>" + "<td>aaaaaaaaaaaaaaaaaaaaaaaaaaa" * 1000 + "<tr><td colspan=999>a<td>b" * 30_000,
+    "row spans": "<table><tr>" + "<td rowspan=65534>a" * 1000 + "<tr>" * 200_000,
+    "digits": "&#" + "1" * 1_000_000 + ";",
+    "style sheet": "<style>" + "{" * 1_000_000,
+    "foster": "<table><tr>" + "x<td>" * 150_000,
+    "open values": '<a x="' * 170_000,
+    "comments": "<!--" * 250_000,
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE_PAGES))
+def test_hostile_pages_of_a_megabyte(name):
+    from time import process_time
+
+    from marquee.llm.html_layout import page_text
+
+    start = process_time()
+    assert len(page_text(HOSTILE_PAGES[name])) < 10 * len(HOSTILE_PAGES[name])
+    assert process_time() - start < 15
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<ol start="²"><li>x</ol>', "1. x"),
+        ("<ol start=99999999999><li>x<li value=7>y<li>z</ol>", "1. x\n7. y\n8. z"),
+        ("<ol start=' -2abc'><li>x</ol>", "-2. x"),
+        ("<li marker=zzz>x", "- x"),
+        ('<table><tr><td colspan="²">y<td>z</table>', "y  z"),
+        ("<table><tr><th rowspan=2>A<th colspan=2>BB<tr><td>c<td>d<tr><td>e<td>ffff<td>g</table>", "A  BB\n   c     d\ne  ffff  g"),
+        ("<table><tr><td>one<td><table><tr><td>x<td>yy<tr><td>xxx<td>y</table><td>last</table>", "one\n\nx    yy\nxxx  y\n\nlast"),
+        ("<style>.x{display:none} p.q , i {visibility:hidden}</style><b class='a x'>no</b><p class=q>no<b>no</b></p>yes <i>no</i>", "yes"),
+        ("<style>@media print{b{display:none}} .x.y{display:none} .z{display:none} .z{display:block}</style><b class='x y z'>shown</b>", "shown"),
+        ("<style>@media screen{.x{display:none}}</style><b class=x style='display:inline'>shown</b><b class=x>no</b><b hidden>no</b>", "shown"),
+        ("a<b>b</b> <i>c</i>d&#99999999999;&#x110000;", "ab cd��"),
+    ],
+)
+def test_layout_rules(page, text):
+    from marquee.llm.html_layout import page_text
+
+    assert page_text(page).strip("\n") == text
