@@ -116,9 +116,9 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marquee.llm.matroska import feature, media_column, read_media
+    from marquee.llm.matroska import feature, read_media, stored_media
 
-    read = read_media(media_column(table(spark, sf_dir, "documents")))
+    read = read_media(stored_media(table(spark, sf_dir, "documents")))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"))
 
 

@@ -651,3 +651,69 @@ def test_layout_rules(page, text):
     from marquee.llm.html_layout import page_text
 
     assert page_text(page).strip("\n") == text
+
+
+def test_matroska_features_follow_the_samples(spark):
+    from marquee.llm.matroska import FRAME_NS, feature, packet_table, read_media, stored_media
+
+    docs = spark.createDataFrame([(1, "a" * 9000), (2, "b" * 9000), (3, "a" * 9000), (4, "a" * 8999 + " "), (None, None)], "doc_id long, text string")
+    read = read_media(stored_media(docs))
+    got = {r["doc_id"]: r["f"] for r in read.select("doc_id", feature().alias("f")).collect()}
+    assert got[1] == got[3] and len({got[k] for k in (1, 2, 4, None)}) == 4
+    times = [r["timestamp_ns"] for r in packet_table(read.filter("doc_id = 1"), "doc_id").orderBy("first").collect()]
+    assert times == [k * FRAME_NS for k in range(9)]
+    raw = {r["doc_id"]: [bytes(r["media"])[p["first"] : p["first"] + p["bytes"]] for p in r["packets"]] for r in stored_media(docs).join(read.select("doc_id", "packets"), "doc_id").collect()}
+    assert b"".join(raw[1]).rstrip(b"\0") == b"a" * 9000
+
+
+def test_broken_media_have_errors(spark):
+    from marquee.llm import matroska as m
+
+    good = m.mux(m.padded("some text " * 300))
+    e, u = m._element, m._uint
+    track = e(m.TRACK, u(m.NUMBER, 1), u(m.KIND, 2), e(m.CODEC, b"x"))
+    segment = lambda *parts: m._HEADER + e(m.SEGMENT, *parts)
+    block = b"\x81\x00\x00\x80abc"
+    cases = {
+        "none": None,
+        "empty": b"",
+        "zeros": bytes(64),
+        "cut": good[:-5],
+        "no track number": segment(e(m.TRACKS, e(m.TRACK, u(m.KIND, 2), e(m.CODEC, b"x")))),
+        "no codec": segment(e(m.TRACKS, e(m.TRACK, u(m.NUMBER, 1), u(m.KIND, 2)))),
+        "cue without place": segment(e(m.CUES, e(m.CUE, u(m.CUE_TIME, 1)))),
+        "cue without cluster": segment(e(m.CUES, e(m.CUE, u(m.CUE_TIME, 1), e(m.CUE_PLACES, u(m.CUE_TRACK, 1))))),
+        "huge time": segment(e(m.TRACKS, track), e(m.CLUSTER, e(m.TIME, b"\xff" * 8), e(m.SIMPLE_BLOCK, block))),
+        "long number": segment(e(m.TRACKS, track), e(m.CLUSTER, e(m.TIME, b"\xff" * 900))),
+        "huge track": segment(e(m.CLUSTER, e(m.SIMPLE_BLOCK, b"\x01" + b"\xee" * 7 + block[1:]))),
+        "bad codec": segment(e(m.TRACKS, e(m.TRACK, u(m.NUMBER, 1), u(m.KIND, 2), e(m.CODEC, b"\xff\xfe")))),
+        "bad lacing": segment(e(m.CLUSTER, e(m.SIMPLE_BLOCK, b"\x81\x00\x00\x82\xff"))),
+        "odd lacing": segment(e(m.CLUSTER, e(m.SIMPLE_BLOCK, b"\x81\x00\x00\x84\x01abc"))),
+        "huge cue": segment(e(m.CUES, e(m.CUE, e(m.CUE_TIME, b"\xff" * 8), e(m.CUE_PLACES, u(m.CUE_CLUSTER, 1))))),
+    }
+    rows = spark.createDataFrame([(k, v if v is None else bytearray(v)) for k, v in cases.items()], "name string, media binary").withColumn("error", F.lit("clash"))
+    got = m.read_media(rows).select("name", "error", F.size("packets").alias("n"), "samples", m.feature().alias("f")).collect()
+    assert len(got) == len(cases) and all(r["error"] and r["error"] != "clash" and r["n"] == 0 and r["samples"] is None and r["f"] is None for r in got)
+    rng = random.Random(3)
+    for _ in range(3000):
+        data = bytearray(good)
+        for _ in range(rng.randrange(1, 6)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        assert len(m.read_file(bytes(data))) == len(m._READ)
+    assert m.read_media(rows.limit(0)).count() == 0
+
+
+def test_files_of_other_writers():
+    from marquee.llm import matroska as m
+
+    e, u = m._element, m._uint
+    track = e(m.TRACK, u(m.NUMBER, 1), u(m.KIND, 2), e(m.CODEC, b"x"))
+    xiph = b"\x81\x00\x05\x02" + m.lace([b"a" * 300, b"b" * 7, b"c"], m.XIPH)
+    group = e(m.BLOCK_GROUP, e(m.BLOCK, b"\x81\x00\x02\x04" + m.lace([b"d", b"e"], m.FIXED)), u(m.BLOCK_DURATION, 8), u(m.REFERENCE, 1))
+    cluster = u(m.TIME, 10) + e(m.SIMPLE_BLOCK, xiph) + group
+    unknown = bytes.fromhex("1F43B675") + b"\x01" + b"\xff" * 7 + cluster
+    cues = e(m.CUES, e(m.CUE, u(m.CUE_TIME, 10), e(m.CUE_PLACES, u(m.CUE_TRACK, 1), u(m.CUE_CLUSTER, 40))))
+    found = m.demux(m._HEADER + e(m.SEGMENT, e(m.INFO, u(m.SCALE, 1000)), e(m.TRACKS, track), unknown, unknown, cues))
+    ticks = [(p[1] // 1000, p[3], p[4], p[5], p[6]) for p in found["packets"]]
+    assert ticks == [(15, 300, False, 1, 0), (15, 7, False, 1, 1), (15, 1, False, 1, 2), (12, 1, False, 2, 0), (16, 1, False, 2, 1)] * 2
+    assert found["tracks"] == [{"number": 1, "kind": 2, "codec": "x"}] and found["cues"][0][:2] == (10_000, 1)
