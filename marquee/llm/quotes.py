@@ -4,8 +4,9 @@ The leading ``>`` marks of a line give its quote level; consecutive lines of a l
 Passages, their lines and their sentences are normalised (marks off, white space collapsed, lower
 case) and hashed; those that messages say themselves are the originals, so a quotation of a part of
 a passage is found as well. A reply's parent is the message that its outermost quotation with an
-original is from: the latest earlier one in its conversation, or else the first in any other. A message follows the
-root of its chain of parents, and what is left of it after the quotes is what it says.
+original is from: the latest earlier one in its conversation, or else the first in any other. A
+message follows the root of its chain of parents, and what is left of it after the quotes is what it
+says. A text is parsed line by line in one task, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ _LINE_END = re.compile(r"\r\n|\r|\n")
 _LEAD = re.compile(r".{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s?:\s*", re.I)
 #: Between sentences.
 _SENTENCE = r"(?<=[.!?][\"')\]]{0,3})\s+|(?<=[。！？])"
-#: Turns of roots that are ranked together; a conversation's later roots are other groups.
-ROOTS_PER_GROUP = 1024
+#: Turns that one group of a window has at most; a conversation's or thread's later turns are others.
+TURNS_PER_GROUP = 1024
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -70,6 +71,27 @@ def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " ")))
 
 
+def latest_before(quoted: DataFrame, own: DataFrame) -> DataFrame:
+    """conv_id, hash, said, turn and near (the latest turn below it that says the same in its
+    conversation, where there is one) of each of ``quoted``.
+
+    A running maximum over both kinds of rows, in groups of TURNS_PER_GROUP turns, and one over the
+    groups: no pairs are formed, and a passage that a long conversation repeats is many groups.
+    """
+    keys = ["conv_id", "hash", "said"]
+    group = F.floor(F.col("turn") / TURNS_PER_GROUP).alias("group")
+    asked = quoted.select(*keys, "turn").distinct().select(*keys, "turn", group, F.lit(None).cast("long").alias("from_turn"))
+    both = asked.unionByName(own.select(*keys, "turn", group, F.col("turn").alias("from_turn")))
+    running = Window.partitionBy(*keys, "group").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    here = both.withColumn("inner", F.max("from_turn").over(running)).filter("from_turn is null")
+    ends = own.groupBy(*keys, group).agg(F.max("turn").alias("end"))
+    places = ends.unionByName(here.filter("inner is null").select(*keys, "group", F.lit(None).cast("long").alias("end")).distinct())
+    earlier = Window.partitionBy(*keys).orderBy("group").rangeBetween(Window.unboundedPreceding, -1)
+    outer = places.withColumn("before", F.max("end").over(earlier)).groupBy(*keys, "group").agg(F.max("before").alias("before"))
+    found = here.join(outer, [*keys, "group"], "left").select(*keys, "turn", F.coalesce("inner", "before").alias("near"))
+    return found.filter("near is not null")
+
+
 def quotation_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent_conv, parent_turn of each message of parsed() with a quotation that is found.
 
@@ -90,8 +112,7 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     order = Window.partitionBy("hash", "said").orderBy("conv_id")
     two = by_conv.withColumn("r", F.row_number().over(order)).filter("r <= 2").select("hash", "said", F.struct("conv_id", "turn").alias("m"))
     firsts = two.groupBy("hash", "said").agg(F.min("m").alias("first"), F.max("m").alias("second"))
-    here = quoted.join(own.withColumnRenamed("turn", "from_turn"), ["conv_id", "hash", "said"]).filter(F.col("from_turn") < F.col("turn"))
-    here = here.groupBy("conv_id", "turn", "hash", "said").agg(F.max("from_turn").alias("near"))
+    here = latest_before(quoted, own)
     other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).when(F.col("second.conv_id") != F.col("conv_id"), F.col("second"))
     parent = F.when(F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn"))).otherwise(other)
     every = quoted.join(firsts, ["hash", "said"]).join(here, ["conv_id", "turn", "hash", "said"], "left").withColumn("parent", parent).filter("parent is not null")
@@ -132,15 +153,24 @@ def reply_order(messages: DataFrame) -> DataFrame:
     said = rows.select("conv_id", "turn", "role", "content", F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: p["text"]).alias("quoted"))
     joined = said.join(links, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
     joined = joined.withColumn("root_turn", F.coalesce("root_turn", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
-    group = F.floor(F.col("root_turn") / ROOTS_PER_GROUP).alias("group")
-    placed = materialize(joined.withColumn("group", group), "replies")
-    order = Window.partitionBy("conv_id", "group").orderBy("root_turn", "turn", "role", "content")
-    sizes = placed.groupBy("conv_id", "group").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("conv_id").alias("_conv"), F.col("group").alias("_group"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = placed.withColumn("local", F.row_number().over(order) - 1)
-    out = ranked.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("group").eqNullSafe(F.col("_group")))
-    return out.select("conv_id", "turn", "role", "content", "quoted", "parent_conv", "parent_turn", "root_turn", "depth", (F.col("before") + F.col("local")).alias("position"))
+    roots_of, turns_of = (F.floor(F.col(c) / TURNS_PER_GROUP) for c in ("root_turn", "turn"))
+    placed = materialize(joined.withColumn("roots", roots_of).withColumn("turns", turns_of), "replies")
+    # Three counts, none over one long group: rows before the group of roots, before the group of turns
+    # of the same root in it, and before the row there.
+    local = Window.partitionBy("conv_id", "root_turn", "turns").orderBy("turn", "role", "content")
+    fine = placed.groupBy("conv_id", "roots", "root_turn", "turns").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("conv_id", "roots").orderBy("root_turn", "turns").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    over = Window.partitionBy("conv_id").orderBy("roots").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = placed.groupBy("conv_id", "roots").agg(F.count("*").alias("n")).withColumn("outer", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    ranked = placed.withColumn("local", F.row_number().over(local) - 1)
+
+    fine = fine.select(F.col("conv_id").alias("_conv"), F.col("root_turn").alias("_root"), F.col("turns").alias("_turns"), "inner")
+    coarse = coarse.select(F.col("conv_id").alias("_own"), F.col("roots").alias("_roots"), "outer")
+    same = lambda **names: [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
+    out = ranked.join(fine, same(conv_id="_conv", root_turn="_root", turns="_turns")).join(coarse, same(conv_id="_own", roots="_roots"))
+    columns = ("conv_id", "turn", "role", "content", "quoted", "parent_conv", "parent_turn", "root_turn", "depth")
+    return out.select(*columns, (F.col("outer") + F.col("inner") + F.col("local")).alias("position"))
 
 
 def chat_lines(ordered: DataFrame) -> DataFrame:

@@ -717,3 +717,75 @@ def test_files_of_other_writers():
     ticks = [(p[1] // 1000, p[3], p[4], p[5], p[6]) for p in found["packets"]]
     assert ticks == [(15, 300, False, 1, 0), (15, 7, False, 1, 1), (15, 1, False, 1, 2), (12, 1, False, 2, 0), (16, 1, False, 2, 1)] * 2
     assert found["tracks"] == [{"number": 1, "kind": 2, "codec": "x"}] and found["cues"][0][:2] == (10_000, 1)
+
+
+def brute_links(messages):
+    """The parent of each message, message by message."""
+    import regex
+
+    from marquee.llm.quotes import _SENTENCE, parse
+
+    def units(text):
+        parts = [text, *text.split("\n"), *regex.split(_SENTENCE, text, flags=regex.V1)]
+        clean = [regex.sub(r"[\s\p{Z}]+", " ", p).strip(" ").lower() for p in parts]
+        return [(k, u) for k, u in enumerate(dict.fromkeys(clean)) if u]
+
+    said, asked = {}, {}
+    for conv, turn, text in set(messages):
+        for at, (level, passage) in enumerate(parse(text)[1]):
+            for place, unit in units(passage):
+                if level:
+                    asked.setdefault((conv, turn), []).append((level, at, place, unit))
+                else:
+                    said.setdefault(unit, set()).add((conv, turn))
+    out = {}
+    for (conv, turn), quotes in asked.items():
+        ranks = []
+        for level, at, place, unit in quotes:
+            found = said.get(unit, set())
+            near = [t for c, t in found if c == conv and t < turn]
+            others = [m for m in found if m[0] != conv]
+            if near or others:
+                ranks.append((place > 0 and not near, level, place > 0, at, place, (conv, max(near)) if near else min(others)))
+        if ranks:
+            out[conv, turn] = min(ranks)[-1]
+    return out
+
+
+def test_links_match_brute_force_on_random_conversations(spark):
+    from marquee.llm.quotes import reply_order
+
+    rng = random.Random(13)
+    stock = [" ".join(rng.choice(["ship", "port", "tide", "rope", "sail"]) for _ in range(rng.randrange(1, 5))) + rng.choice([".", "!", "?", ""]) for _ in range(14)]
+    passage = lambda: rng.choice([" ", "\n"]).join(rng.choice(stock) for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for conv in range(12):
+        for turn in range(0, 40 if conv else 9000, 1 if conv else 300):
+            text = "\n".join("\n".join("> " * level + line for line in passage().split("\n")) + "\n" for level in (rng.choice([0, 0, 1, 2]) for _ in range(rng.randrange(0, 4))))
+            rows.append((conv, turn, text))
+    rows += [rows[3], (5, 7, "> " + stock[0] + "\nsaid twice"), (5, 3000, "> " + stock[1])]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = reply_order(df).collect()
+    want = brute_links(rows)
+    assert len(want) > 100 and len(got) == len(set(rows))
+    assert {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in got} == {(c, t): want.get((c, t), (None, None)) for c, t, _ in rows}
+    parent = {k: v for k, v in want.items() if v[0] == k[0]}
+
+    def root(k):
+        return root(parent[k]) if k in parent else k
+
+    for conv in range(12):
+        own = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["position"])
+        assert [r["position"] for r in own] == list(range(len(own)))
+        assert [(r["root_turn"], r["turn"]) for r in own] == sorted((root((conv, r["turn"]))[1], r["turn"]) for r in own)
+
+
+def test_long_messages_take_linear_time():
+    from time import process_time
+
+    from marquee.llm.quotes import parse
+
+    start = process_time()
+    for text in (">" * 1_000_000, "> " * 500_000, ">\n" * 500_000, "x wrote: " * 110_000, "\n" * 1_000_000, " >" * 400_000 + "\nwrote:"):
+        parse(text)
+    assert process_time() - start < 15 and parse(None) == ("", [])
