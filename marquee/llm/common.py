@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that one vectorised step holds; a single longer text is a step of its own.
 STEP_BYTES = 2 << 20
@@ -53,6 +54,24 @@ def crc32_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def first_by_hash(rows: DataFrame, n: int, seed: int, by: str | None = None) -> DataFrame:
+    """About ``n`` rows of ``rows``, or of each value of ``by``, and never more: those whose hash of
+    doc_id is under n / count, with _h (the hash) and _r (their rank by it). All rows if there are fewer.
+
+    The threshold is applied where rows are read, so only about n rows are shuffled and ranked.
+    """
+    h = F.xxhash64("doc_id", F.lit(seed))
+    unit = (F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))).alias("_unit")
+    if by is None:
+        total, counted = F.lit(max(1, rows.count())), rows
+    else:
+        sizes = rows.groupBy(by).agg(F.count("*").alias("_n")).withColumnRenamed(by, "_by")
+        total, counted = F.col("_n"), rows.join(sizes, F.col(by) == F.col("_by"))
+    picked = counted.withColumn("_h", h).filter(unit * total < n).select(*rows.columns, "_h")
+    rank = F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("_h", "doc_id"))
+    return picked.withColumn("_r", rank).filter(F.col("_r") <= n)
+
+
 def text_key(column: str = "text") -> Column:
     """With doc_id, the identity of a row: rows that repeat entirely count as one document."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

@@ -1,13 +1,15 @@
 """Word-first language identification with backoff to character n-grams.
 
 A known word adds its log frequency in each language. An unseen word backs off: of its character
-n-grams, with marks for its ends, the longest length counts for which any n-gram is known.
+n-grams, with marks for its ends, the longest length counts for which any n-gram is known. The model
+holds every word and n-gram of the documents it is fitted on, which are a bounded sample.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,15 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize, steps, string_parts
+from marquee.llm.common import batch, first_by_hash, materialize, steps, string_parts
 
 UNDETERMINED = "und"
 LONGEST = 5
-#: Documents of each language that the model is fitted on, the first by a hash of their id. Up to
-#: 1000 are picked by a ranking that Spark limits before it shuffles.
-TRAIN_DOCS = 1000
-#: Most frequent words, and n-grams of each length, that the model has for each language.
-MODEL_WORDS, MODEL_GRAMS = 20_000, 8_000
+#: The model is fitted on about this many documents of each language, the first by a hash of their
+#: id, as far as they have this many bytes together. They bound the model, and what the driver gets of it.
+TRAIN_DOCS, TRAIN_BYTES = 1000, 4 << 20
 _WORDS_CACHED = 200_000
 #: The n-grams of w of k characters. Long words are taken in overlapping parts, as each substring
 #: is counted from the start of its string.
@@ -35,21 +35,55 @@ GRAMS = """flatten(transform(transform(sequence(0, (length(w) - k) div 500), j -
 
 @dataclass
 class Model:
+    """Log frequencies by language (a column for each) of words and n-grams (a row for each)."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]  # a gram's length is that of its key
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency of a word by language."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
+    words: list[str]
+    grams: list[str]
+    word_scores: np.ndarray
+    gram_scores: np.ndarray
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+class Scorer:
+    """Scores words under a model; one for each Python worker, so later tasks find earlier words."""
+
+    _latest: "Scorer | None" = None
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.words = {w: i for i, w in enumerate(model.words)}
+        self.grams = {g: i for i, g in enumerate(model.grams)}
+        self.none = np.zeros(len(model.languages), np.float32)
+        self.cache: dict[str, tuple[np.ndarray, bool]] = {}
+
+    @classmethod
+    def of(cls, model: Model) -> "Scorer":
+        if cls._latest is None or cls._latest.model.key != model.key:
+            cls._latest = cls(model)
+        return cls._latest
+
+    def word(self, word: str) -> tuple[np.ndarray, bool]:
+        """Log frequency of a word by language, and whether the model knows it or an n-gram of it."""
+        at = self.words.get(word)
+        if at is not None:
+            return self.model.word_scores[at], True
         marked, grams = f"^{word}$", self.grams
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            known = [grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in grams]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages), np.float32)
+            known = [i for k in range(len(marked) - n + 1) if (i := grams.get(marked[k : k + n])) is not None]
+            if known and (n > 1 or any(c in grams for c in word)):
+                return self.model.gram_scores[known].mean(axis=0), True
+        return self.none, False
+
+    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cache = self.cache
+        if len(cache) > _WORDS_CACHED:
+            cache.clear()
+        for w in words:
+            if w not in cache:
+                cache[w] = self.word(w)
+        found = [cache[w] for w in words]
+        return np.array([f[0] for f in found], np.float64).reshape(len(words), len(self.none)), np.array([f[1] for f in found], bool)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -58,74 +92,70 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", words).filter("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
-def _log_frequencies(rows: pd.DataFrame, key: str, languages: list[str], totals: np.ndarray) -> dict[str, np.ndarray]:
+def _log_frequencies(rows: pd.DataFrame, key: str, languages: list[str], totals: np.ndarray) -> tuple[list[str], np.ndarray]:
     place = {lang: i for i, lang in enumerate(languages)}
     keys, at = np.unique(rows[key].to_numpy(object).astype(str), return_inverse=True)
     counts = np.full((len(keys), len(languages)), 0.5)
     counts[at, rows["lang"].map(place).to_numpy(np.int64)] += rows["n"].to_numpy(np.float64)
-    return dict(zip(keys.tolist(), np.log(counts / totals).astype(np.float32)))
+    return keys.tolist(), np.log(counts / totals).astype(np.float32)
+
+
+def gram_counts(counts: DataFrame) -> DataFrame:
+    """lang, gram, n over the marked words of word_counts(): each distinct word is cut up once."""
+    marked = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
+    sizes = ", ".join(map(str, range(1, LONGEST + 1)))
+    every = F.expr(f"flatten(transform(filter(array({sizes}), k -> length(w) >= k), k -> {GRAMS}))")
+    return marked.select("lang", "n", F.explode(every).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model | None:
     """A model from text and lang of ``docs``; rows with a null are left out. None if none is left.
 
-    The model is fitted on at most ``train_docs`` documents of each language, and its size is
-    bounded by MODEL_WORDS and MODEL_GRAMS for each language.
+    It is fitted on at most ``train_docs`` documents of each language, in order of a hash of their id
+    as long as they have at most ``train_bytes`` bytes together (the first counts in any case), and
+    holds all their words and n-grams.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    ids = docs.filter("lang is not null and text is not null").select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= train_docs)
-    chosen = F.broadcast(ids.select("doc_id", F.col("lang").alias("_lang")))  # train_docs rows for each language
-    sample = docs.join(chosen, (docs["doc_id"] == chosen["doc_id"]) & (docs["lang"] == chosen["_lang"])).select(docs["lang"], docs["text"])
-    counts = materialize(word_counts(sample), "word-counts")
-    by_lang = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    words = counts.filter("n > 1").withColumn("r", F.row_number().over(by_lang)).filter(F.col("r") <= MODEL_WORDS).select("lang", "word", "n").toPandas()
-    marked = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
-    sized = marked.select("lang", "n", "w", F.explode(F.array(*map(F.lit, range(1, LONGEST + 1)))).alias("k")).filter(F.length("w") >= F.col("k"))
-    grams = sized.select("lang", "n", "k", F.explode(F.expr(GRAMS)).alias("gram"))
-    grams = grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    by_size = Window.partitionBy("lang", "k").orderBy(F.col("n").desc(), "gram")
-    grams = grams.withColumn("r", F.row_number().over(by_size)).filter(F.col("r") <= MODEL_GRAMS).select("lang", "gram", "n").toPandas()
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
-    if not languages:
+    good = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    so_far = Window.partitionBy("lang").orderBy("_r")
+    picked = first_by_hash(good, train_docs, 7, by="lang").withColumn("_bytes", F.sum(F.octet_length("text")).over(so_far))
+    counts = materialize(word_counts(picked.filter((F.col("_bytes") <= train_bytes) | (F.col("_r") == 1))), "word-counts")
+    words = counts.toPandas()
+    if not len(words):
         return None
-    size = np.array([totals[lang] for lang in languages], float) + 0.5 * len(words)
-    return Model(languages, _log_frequencies(words, "word", languages, size), _log_frequencies(grams, "gram", languages, size))
+    grams = gram_counts(counts).toPandas()
+    totals = words.groupby("lang")["n"].sum()
+    languages = sorted(totals.index)
+    size = totals[languages].to_numpy(float) + 0.5 * words["word"].nunique()
+    return Model(languages, *(x for pair in zip(_log_frequencies(words, "word", languages, size), _log_frequencies(grams, "gram", languages, size)) for x in pair))
 
 
-def _predictions(column: pa.Array, model: Model | None, cache: dict[str, np.ndarray]) -> tuple[list, np.ndarray]:
-    """Language and score of every text. cache: words that were scored before, of bounded number."""
+def _predictions(column: pa.Array, model: Model | None) -> tuple[list, np.ndarray]:
+    """Language and score of every text."""
     languages = np.array([*(model.languages if model else []), UNDETERMINED], object)
     offsets = string_parts(column)[1]
     found, scores = [], [np.zeros(0)]
     for lo, hi in steps(offsets):
         texts = pc.fill_null(column.slice(lo, hi - lo), "")
         lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pM]+", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        sums = np.zeros((hi - lo, len(languages) - 1))
-        real = np.zeros(hi - lo)
+        best, posterior = np.full(hi - lo, len(languages) - 1), np.zeros(hi - lo)
         if model:
-            if len(cache) > _WORDS_CACHED:
-                cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = model.word(w)
-            table = np.array([cache[w] for w in words], np.float64).reshape(len(words), -1)
-            letters = np.array([any(map(str.isalpha, w)) for w in words], float)
-            table *= letters[:, None]
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            table, known = Scorer.of(model).table(words)
+            letters = np.array([any(map(str.isalpha, w)) for w in words], bool)
             row = np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy()))
             place = coded.indices.to_numpy()
-            real = np.bincount(row, letters[place], hi - lo)
-            for j in range(table.shape[1]):
-                sums[:, j] = np.bincount(row, table[place, j], hi - lo)
-        best, posterior = np.full(hi - lo, len(languages) - 1), np.zeros(hi - lo)
-        some = real > 0
-        if some.any():
-            evidence = sums[some] / real[some, None] * np.minimum(real[some, None], 50)
-            p = np.exp(evidence - evidence.max(axis=1, keepdims=True))
-            best[some] = evidence.argmax(axis=1)
-            posterior[some] = p.max(axis=1) / p.sum(axis=1)
+            with_letters = np.bincount(row, letters[place], hi - lo) > 0
+            table *= (letters & known)[:, None]
+            real = np.bincount(row, (letters & known)[place], hi - lo)
+            sums = np.stack([np.bincount(row, table[place, j], hi - lo) for j in range(table.shape[1])], axis=1)
+            best[with_letters] = 0
+            some = real > 0
+            if some.any():
+                evidence = sums[some] / real[some, None] * np.minimum(real[some, None], 50)
+                p = np.exp(evidence - evidence.max(axis=1, keepdims=True))
+                best[some] = evidence.argmax(axis=1)
+                posterior[some] = p.max(axis=1) / p.sum(axis=1)
         found += languages[best].tolist()
         scores.append(posterior)
     return found, np.concatenate(scores)
@@ -136,15 +166,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     score is the posterior of lang_pred, with word scores averaged to an evidence of at most 50
     words. Null, empty and letterless texts are ``und`` with score 0, and so are all texts if there
-    is no model; ties go to the first language by name. Rows that repeat stay.
+    is no model; ties go to the first language by name. A text with letters of which the model knows
+    no word and no n-gram gets the first language with score 0. Very long texts are scored whole, by
+    one task. Rows that repeat stay; other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
         for b in batches:
-            found, scores = _predictions(b.column(1), shared.value, cache)
+            found, scores = _predictions(b.column(1), shared.value)
             yield batch(schema, [b.column(0), found, scores])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
@@ -152,16 +183,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is told with a score of at least
-    ``least``. Null and letterless texts go. Without a model, all texts with a letter stay."""
+    ``least``. Null and letterless texts go. Without a model, all texts with a letter stay. Rows that
+    repeat stay or go together, an empty table stays empty, and very long texts are read whole."""
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
         for b in batches:
-            found, scores = _predictions(b.column(at), shared.value, cache)
+            found, scores = _predictions(b.column(at), shared.value)
             yield b.filter(pa.array((scores >= least) & (np.array(found, object) != UNDETERMINED)))
 
     return docs.mapInArrow(told, docs.schema)

@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, byte_words, range_hashes, steps, string_parts
+from marquee.llm.common import batch, byte_words, first_by_hash, materialize, range_hashes, steps, string_parts
 
-#: Labelled documents that the model is fitted on, the first by a hash of their id.
-TRAIN_DOCS = 4000
+#: The model is fitted on about this many labelled documents, the first by a hash of their id, as far
+#: as they have this many lines together; documents of over LONG_DOC lines are not among them.
+TRAIN_DOCS, TRAIN_LINES, LONG_DOC = 4000, 200_000, 10_000
 RELABELLINGS = 2
 N_FEATURES = 15
 
@@ -213,24 +215,30 @@ def fit_chains(features: np.ndarray, size: np.ndarray, bounds: np.ndarray, good:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
-    """A model from text of ``docs`` and quality of ``labels`` on at most ``train_docs`` documents.
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Model | None:
+    """A model from text of ``docs`` and quality of ``labels`` on at most ``train_docs`` documents of at
+    most ``train_lines`` lines together, which are all that the driver gets.
 
     A doc_id with both labels, or a null one, is left out. None if no document is left.
     """
     per_doc = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
-    chosen = per_doc.filter("quality = most").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(train_docs).select("doc_id", F.col("quality").cast("int").alias("_quality"))
-    schema = pa.schema([("quality", pa.int32()), ("features", pa.list_(pa.float32())), ("size", pa.list_(pa.float32()))])
+    chosen = first_by_hash(per_doc.filter("quality = most"), train_docs, 11).select("doc_id", "_r", F.col("quality").cast("int").alias("_quality"))
+    schema = pa.schema([("r", pa.int32()), ("quality", pa.int32()), ("lines", pa.int64()), ("features", pa.list_(pa.float32())), ("size", pa.list_(pa.float32()))])
 
     def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = string_parts(b.column(1))
+            data, offsets = string_parts(b.column(2))
             for lo, hi in steps(offsets):
                 f, size, bounds = line_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                yield batch(schema, [b.column(0).slice(lo, hi - lo), [f[s:e].reshape(-1).astype(np.float32) for s, e in zip(bounds, bounds[1:])], [size[s:e].astype(np.float32) for s, e in zip(bounds, bounds[1:])]])
-
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("_quality", "text")  # train_docs rows
-    rows = sample.mapInArrow(lines, "quality int, features array<float>, size array<float>").toPandas()
+                parts = list(zip(bounds, bounds[1:]))
+                yield batch(schema, [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), np.diff(bounds), [f[s:e].reshape(-1).astype(np.float32) if e - s <= LONG_DOC else [] for s, e in parts], [size[s:e].astype(np.float32) if e - s <= LONG_DOC else [] for s, e in parts]])
+
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("_r", "_quality", "text")  # train_docs rows
+    found = sample.mapInArrow(lines, "r int, quality int, lines long, features array<float>, size array<float>").filter(F.col("lines") <= LONG_DOC)
+    found = materialize(found, "line-features")
+    order = Window.partitionBy(F.lit(0)).orderBy("r", "lines")
+    first = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_docs)
+    rows = first.withColumn("so_far", F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("so_far") <= train_lines).orderBy("n").select("quality", "features", "size").toPandas()
     if not len(rows):
         return None
     size = [np.asarray(s, float) for s in rows["size"]]
@@ -242,7 +250,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, n_lines, bad_lines of every row of ``docs``.
 
     Null and empty texts are one empty line and get its score. Without a model every score is 0.5.
-    Rows that repeat stay, with the same score; other columns are not read.
+    Very long texts are scored whole, by one task. Rows that repeat stay, with the same score; other
+    columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_lines", pa.int64()), ("bad_lines", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -34,19 +34,80 @@ def test_quality_orders_held_out_documents(spark):
     assert auc > 0.9 and ((rows.score >= 0.5) == (rows.predicted == 1)).all() and rows.score.between(0, 1).all()
 
 
-def test_forward_backward_is_exact():
+def test_forward_backward_matches_enumeration():
     from itertools import product
 
-    from marquee.llm.quality_crf import N_FEATURES, fit_chains
+    from marquee.llm.quality_crf import Chains
 
     rng = np.random.default_rng(3)
+    bounds = np.array([0, 4, 5, 11, 13])
+    emission, transition = rng.normal(size=(13, 2)) * 3, rng.normal(size=(2, 2)) * 2
+    p, pairs, partition = Chains(bounds).marginals(emission, transition)
+    want_p, want_pairs, want_partition = np.zeros((13, 2)), np.zeros((2, 2)), 0.0
+    for a, b in zip(bounds, bounds[1:]):
+        weights = {}
+        for labels in product((0, 1), repeat=int(b - a)):
+            score = sum(emission[a + t, y] for t, y in enumerate(labels)) + sum(transition[x, y] for x, y in zip(labels, labels[1:]))
+            weights[labels] = np.exp(score)
+        z = sum(weights.values())
+        want_partition += np.log(z)
+        for labels, w in weights.items():
+            for t, y in enumerate(labels):
+                want_p[a + t, y] += w / z
+            for x, y in zip(labels, labels[1:]):
+                want_pairs[x, y] += w / z
+    assert np.allclose(p, want_p) and np.allclose(pairs, want_pairs) and np.isclose(partition, want_partition)
+
+
+def test_quality_gradient_and_weights():
+    from marquee.llm.quality_crf import N_FEATURES, fit_chains, weighted
+
+    rng = np.random.default_rng(4)
     bounds = np.array([0, 4, 5, 9, 12])
     f = rng.normal(size=(12, N_FEATURES))
     model = fit_chains(f, np.ones(12), bounds, np.array([1, 0, 1, 0]), rounds=10)
-    p = model.lines(f, bounds)
-    assert p.shape == (12,) and ((p >= 0) & (p <= 1)).all()
-    assert np.allclose(p[4:5], model.lines(f[4:5], np.array([0, 1])))
-    assert len(list(product([0, 1], repeat=4))) == 16
+    assert np.allclose(model.lines(f, bounds)[4:5], model.lines(f[4:5], np.array([0, 1])))
+    size, p = rng.integers(0, 90, 12).astype(float), rng.random(12)
+    plain = [sum(p[k] * (size[k] + 1) for k in range(a, b)) / sum(size[k] + 1 for k in range(a, b)) for a, b in zip(bounds, bounds[1:])]
+    assert np.allclose(weighted(p, size, bounds), plain)
+
+
+def test_line_features_match_plain_counts():
+    from marquee.llm.quality_crf import line_features
+
+    texts = ["One line. ONE!\nx x x 123\n\nOne line. ONE!", "", "a | b | c\n" * 3, "é 日本"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    found, size, bounds = line_features(data, offsets)
+    for k, text in enumerate(raw):
+        lines = text.split(b"\n")
+        lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
+        assert bounds[k + 1] - bounds[k] == len(lines)
+        for row, n, line in zip(found[bounds[k] :], size[bounds[k] :], lines):
+            words = line.split()
+            assert n == len(line) and np.isclose(row[2], np.log1p(len(words)))
+            assert np.isclose(row[4] * max(n, 1), sum(48 <= c < 58 for c in line))
+            assert np.isclose(row[12], len(set(words)) / max(len(words), 1)) and np.isclose(row[13], float(lines.count(line) > 1))
+
+
+def test_samples_are_bounded(spark):
+    from marquee.llm.common import first_by_hash
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"))
+    whole, each = first_by_hash(rows, 500, 7), first_by_hash(rows, 500, 7, by="lang")
+    assert 400 < whole.count() <= 500 and first_by_hash(rows, 30_000, 7).count() == 20_000
+    sizes = {r["lang"]: r["count"] for r in each.groupBy("lang").count().collect()}
+    assert sorted(sizes) == ["a", "b"] and all(400 < n <= 500 for n in sizes.values())
+    same = rows.withColumn("doc_id", F.lit(5)).unionByName(rows)
+    assert first_by_hash(same, 500, 7, by="lang").groupBy("lang").count().filter("count > 500").isEmpty()
+
+
+def test_training_is_bounded_by_lines(spark):
+    from marquee.llm.quality_crf import fit
+
+    docs = spark.createDataFrame([(k, "good prose line here.\n" * 9 if k % 2 else "#$%\n" * 9) for k in range(60)] + [(99, "x\n" * 20_000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    assert fit(docs, labels, train_lines=200) is not None and fit(docs, labels, train_lines=5) is None
 
 
 def test_quality_edges(edge, none):
@@ -119,6 +180,63 @@ def test_language_of_held_out_documents(spark):
     assert len(told) > 0.95 * len(rows) and (told.lang == told.lang_pred).mean() > 0.95 and rows.score.between(0, 1).all()
 
 
+def brute_language(train, texts):
+    """Language and score of each text, counted and looked up plainly."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    letter = lambda c: unicodedata.category(c)[0] in "LM"
+    words_of = lambda t: "".join(c if letter(c) else " " for c in t.lower()).split()
+    languages = sorted({lang for lang, _ in train})
+    words, grams = Counter(), Counter()
+    for lang, text in train:
+        for w in words_of(text):
+            words[lang, w] += 1
+            marked = f"^{w}$"
+            for n in range(1, 6):
+                for k in range(len(marked) - n + 1):
+                    grams[lang, marked[k : k + n]] += 1
+    size = {lang: sum(n for (x, _), n in words.items() if x == lang) + 0.5 * len({w for _, w in words}) for lang in languages}
+    logs = lambda counts, key: [math.log((counts[lang, key] + 0.5) / size[lang]) for lang in languages]
+    known_words, known_grams = {w for _, w in words}, {g for _, g in grams}
+    out = []
+    for text in texts:
+        real = [w for w in words_of(text or "") if any(map(str.isalpha, w))]
+        scores = []
+        for w in real:
+            if w in known_words:
+                scores.append(logs(words, w))
+                continue
+            marked = f"^{w}$"
+            for n in range(5, 0, -1):
+                found = [marked[k : k + n] for k in range(len(marked) - n + 1) if marked[k : k + n] in known_grams]
+                if found and (n > 1 or any(c in known_grams for c in w)):
+                    scores.append([sum(x) / len(found) for x in zip(*(logs(grams, g) for g in found))])
+                    break
+        if not scores:
+            out.append((languages[0] if real else "und", 0.0))
+            continue
+        evidence = [sum(x) / len(scores) * min(len(scores), 50) for x in zip(*scores)]
+        p = [math.exp(e - max(evidence)) for e in evidence]
+        out.append((languages[p.index(max(p))], max(p) / sum(p)))
+    return out
+
+
+def test_language_scores_match_brute_force(spark):
+    from marquee.llm.langid import fit, predict
+
+    rng = random.Random(17)
+    alphabets = {"aa": "abcdeé", "bb": "acegi", "cc": "bdfhß"}
+    word = lambda chars: "".join(rng.choice(chars) for _ in range(rng.randrange(1, 8)))
+    train = [(lang, " ".join(word(chars) for _ in range(30)) + rng.choice([".", "! 12", ""])) for lang, chars in alphabets.items() for _ in range(8)]
+    texts = [t for _, t in train[::5]] + [" ".join(word(rng.choice(list(alphabets.values()))) for _ in range(rng.randrange(1, 80))) for _ in range(40)] + ["Ωμέγα", "xyz", "", None, "123 !", "ABC def", "e\u0301 \u0301"]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(train)] + [(500, "nothing", None), (501, None, "dd")], "doc_id long, text string, lang string")
+    rows = predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fit(docs)).orderBy("doc_id").collect()
+    for r, (lang, score), text in zip(rows, brute_language(train, texts), texts, strict=True):
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4, text
+
+
 def test_language_edges(edge, none):
     from marquee.llm.langid import fit, keep_recognised, predict
 
