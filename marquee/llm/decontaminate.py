@@ -1,10 +1,11 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 A window of an item is the set of its word shingles, and a document holds the window only if it has
-them all, so one shingle is a sufficient prefix: the window's rarest. One pass over the documents
-finds the places of all benchmark shingles; the counts of those, over all documents, order the
-shingles of a window by rarity; places of the rarest are joined with the windows, kept where the
-window fits between the document's ends (length and position), and verified word by word.
+them all, so one shingle is a sufficient prefix: the window's rarest. A first pass over the documents
+counts the benchmark's shingles, no places; the counts order the shingles of a window by rarity. A
+second pass finds the places of the rarest alone, with as many words around them as a window can
+have there; these are joined with the windows, kept where the window fits between the document's
+ends (length and position), and verified word by word.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-#: Bits of the filter of benchmark shingles, 2 MB whatever the benchmark's size. A fuller filter
-#: lets more places through to the join, which is exact.
-FILTER_BITS = 24
+#: Bits of the filter of benchmark shingles: this many for each, as a power of two between two limits
+#: (32 MB at most, whatever the benchmark's size). A fuller filter lets more through to the joins,
+#: which are exact.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 28
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -81,51 +83,83 @@ def item_windows(benchmark: DataFrame, window: int, k: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut, ITEM)
 
 
-PLACES = "doc_id long, text_key long, n_words long, places array<struct<shingle: long, at: int, before: array<string>, after: array<string>>>"
+def shingle_filter(shingles: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each hash prefix that some shingle has, packed, and how many bits a prefix has. The
+    aggregate that makes it has at most 2**MOST_BITS / 64 rows."""
+    n = shingles.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(n, 1)).bit_length()))
+    slots = shingles.select(F.shiftrightunsigned("shingle", 64 - bits).alias("slot"))
+    words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out, bits
 
 
-def shingle_filter(shingles: DataFrame) -> np.ndarray:
-    """A bit for each hash prefix that some shingle of the benchmark has, made by a bounded
-    aggregate: at most 2**FILTER_BITS / 32 words of 32 bits."""
-    slots = shingles.select(F.shiftrightunsigned("shingle", 64 - FILTER_BITS).alias("slot"))
-    words = slots.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def shingle_places(docs: DataFrame, passes: np.ndarray, widths: list[int], window: int) -> DataFrame:
-    """Each document's number of words, and the places of shingles that the filter passes, with the
-    up to ``window`` words before and from the place on. Null texts have no words."""
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("text_key", pa.int64()),
-            ("n_words", pa.int64()),
-            ("places", pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))]))),
-        ]
-    )
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(passes))
+def _passed(h: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return np.flatnonzero(packed[slot >> 6] >> (slot & 63) & 1)
+
+
+def shingle_counts(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> DataFrame:
+    """shingle and n: how often the documents have it, of those shingles that pass the filter; each
+    batch counts its own first."""
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+    packed, bits = shingle_filter(shingles)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = []
+            for _, _, _, _, hashes, bounds in words_of(b.column(0)):
+                for k in widths:
+                    h = shingle_hashes(hashes, k)
+                    hit = _passed(h, shared.value, bits)
+                    inside = hit + k <= bounds[np.searchsorted(bounds, hit, side="right")]
+                    seen.append(h[hit[inside]])
+            if seen:
+                found, n = np.unique(np.concatenate(seen), return_counts=True)
+                yield batch(schema, [found.view(np.int64), n.astype(np.int64)])
+
+    parts = docs.select("text").mapInArrow(count, "shingle long, n long")
+    return parts.groupBy("shingle").agg(F.sum("n").alias("n"))
+
+
+PLACES = "doc_id long, text_key long, n_words long, places array<struct<shingle: long, at: array<int>, before: array<string>, after: array<string>>>"
+
+
+def shingle_places(docs: DataFrame, shingles: DataFrame, widths: list[int], window: int, k_most: int) -> DataFrame:
+    """Each document's number of words, and the places of the shingles that pass the filter of
+    ``shingles``, with the words around them that a window may have. Null texts have no words.
+
+    A shingle of fewer than ``k_most`` words is a whole window, and its places in a document are one
+    entry; one of ``k_most`` words has up to window - k_most words before it.
+    """
+    place = pa.struct([("shingle", pa.int64()), ("at", pa.list_(pa.int32())), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(place))])
+    packed, bits = shingle_filter(shingles)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
-        shift = np.uint64(64 - FILTER_BITS)
         for b in batches:
             for lo, part, starts, ends, hashes, bounds in words_of(b.column(2)):
                 n = len(bounds) - 1
-                places: list[list] = [[] for _ in range(n)]
+                places: list[dict] = [{} for _ in range(n)]
                 for k in widths:
                     h = shingle_hashes(hashes, k)
-                    hit = np.flatnonzero(bits[(h >> shift).astype(np.int64)])
+                    hit = _passed(h, shared.value, bits)
                     row = np.searchsorted(bounds, hit, side="right") - 1
                     inside = hit + k <= bounds[row + 1]
+                    back, ahead = (window - k, window) if k == k_most else (0, k)
                     for at, r in zip(hit[inside].tolist(), row[inside].tolist()):
                         s, e = int(bounds[r]), int(bounds[r + 1])
-                        word = [part[x:y].tobytes().decode() for x, y in zip(starts[max(s, at - window) : min(e, at + window)], ends[max(s, at - window) : min(e, at + window)])]
-                        m = at - max(s, at - window)
-                        places[r].append({"shingle": int(h[at].view(np.int64)), "at": at - s, "before": word[:m], "after": word[m:]})
-                yield batch(schema, [b.column(0).slice(lo, n), b.column(1).slice(lo, n), np.diff(bounds), places])
+                        first, last = max(s, at - back), min(e, at + ahead)
+                        word = [part[x:y].tobytes().decode() for x, y in zip(starts[first:last], ends[first:last])]
+                        m = at - first
+                        own = (h[at].view(np.int64).item(), tuple(word[:m]), tuple(word[m:]))
+                        places[r].setdefault(own, []).append(at - s)
+                rows = [[{"shingle": x, "at": at, "before": list(before), "after": list(after)} for (x, before, after), at in p.items()] for p in places]
+                yield batch(schema, [b.column(0).slice(lo, n), b.column(1).slice(lo, n), np.diff(bounds), rows])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     return columns.mapInArrow(find, PLACES)
@@ -136,26 +170,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 
     n_hit counts the words inside any occurrence of a window of an item, n_items the items with
     such windows. Nulls and texts without words have zeros, as have all documents under an empty
-    benchmark. Rows that repeat get the same result each; item_ids that repeat count once. Columns
-    other than doc_id, text and item_id are not read.
+    benchmark. Rows that repeat get the same result each; item_ids that repeat count once. A very
+    long text is read whole, by one task. Columns other than doc_id, text and item_id are not read.
     """
     windows = materialize(item_windows(benchmark, window, k), "windows")
     widths = sorted(r.k for r in windows.select("k").distinct().collect())  # 1 to k
-    found = materialize(shingle_places(docs, shingle_filter(windows), widths, window), "places")
-    places = found.filter(F.size("places") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("places").alias("p")).select("doc_id", "text_key", "p.*")
-    counts = places.groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = materialize(shingle_counts(docs, windows.select("shingle").distinct(), widths), "shingle-counts")
     rare = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place")
     prefix = windows.join(counts, "shingle", "left").groupBy("item_id", "words").agg(F.min(rare).alias("rare"))
-    # Windows that several items share are verified once.
-    needed = prefix.groupBy("words").agg(F.min("rare").alias("rare"), F.collect_set("item_id").alias("items"))
-    needed = materialize(needed.select("words", "items", F.col("rare.shingle").alias("shingle"), F.col("rare.place").alias("place"), F.size("words").alias("length")).filter("shingle is not null"), "prefixes")
+    # Windows that several items share are verified once; one whose rarest shingle is nowhere is done.
+    needed = prefix.groupBy("words").agg(F.min("rare").alias("rare"), F.collect_set("item_id").alias("items")).filter("rare.n > 0")
+    needed = materialize(needed.select("words", "items", F.col("rare.shingle").alias("shingle"), F.col("rare.place").alias("place"), F.size("words").alias("length")), "prefixes")
+    found = materialize(shingle_places(docs, needed.select("shingle").distinct(), widths, window, k), "places")
+    places = found.filter(F.size("places") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("places").alias("p")).select("doc_id", "text_key", "p.*")
     candidate = places.join(needed, "shingle")
     fits = (F.size("before") >= F.col("place")) & (F.size("after") >= F.col("length") - F.col("place"))
     head = F.slice("before", F.size("before") - F.col("place") + 1, F.col("place"))
     same = F.concat(head, F.slice("after", F.lit(1), F.col("length") - F.col("place"))) == F.col("words")
-    hits = candidate.filter(fits).filter(same).select("doc_id", "text_key", (F.col("at") - F.col("place")).alias("first"), "length", "items")
+    hits = candidate.filter(fits).filter(same).select("doc_id", "text_key", F.transform("at", lambda a: a - F.col("place")).alias("firsts"), "length", "items")
     hits = materialize(hits, "hits")
-    spans = hits.groupBy("doc_id", "text_key", "first").agg(F.max("length").alias("length"))
+    each = hits.select("doc_id", "text_key", F.explode("firsts").alias("first"), "length")
+    spans = each.groupBy("doc_id", "text_key", "first").agg(F.max("length").alias("length"))
     before = Window.partitionBy("doc_id", "text_key").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("end", F.col("first") + F.col("length")).withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
     n_hit = spans.groupBy("doc_id", "text_key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("first", "covered"))).cast("long").alias("n_hit"))
@@ -178,7 +213,8 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated; all other rows stay, with all columns."""
+    """``docs`` without the contaminated; all other rows stay, with all columns, repeats included. Null
+    and empty texts stay; an empty table or benchmark leaves all as it is."""
     bad = contamination(docs, benchmark).filter(is_contaminated()).select("doc_id", "text_key").distinct()
     tagged = with_identity(docs)
     return tagged.join(bad, tagged["own_id"].eqNullSafe(bad["doc_id"]) & (tagged["own_key"] == bad["text_key"]), "left_anti").select("row.*")

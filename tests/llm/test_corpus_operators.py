@@ -907,3 +907,34 @@ def test_long_messages_take_linear_time():
     for text in (">" * 1_000_000, "> " * 500_000, ">\n" * 500_000, "x wrote: " * 110_000, "\n" * 1_000_000, " >" * 400_000 + "\nwrote:"):
         parse(text)
     assert process_time() - start < 15 and parse(None) == ("", [])
+
+
+def test_contamination_by_one_word_items_and_many_items(spark):
+    from marquee.llm import decontaminate as d
+
+    rng = random.Random(21)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz")
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(0, "the"), (1, "ax bx"), (2, "the the")] + [(k, text(rng.choice([3, 5, 13, 30]))) for k in range(3, 400)]
+    docs = [(k, " ".join(rng.choice(["the", text(6), items[rng.randrange(400)][1]]) for _ in range(30))) for k in range(40)] + [(90, "the " * 5000)]
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(docs, items)
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert ordered(d.contamination(rows, bench).withColumn("contaminated", d.is_contaminated()), *columns) == want
+    limits = d.LEAST_BITS, d.MOST_BITS
+    try:
+        d.LEAST_BITS = d.MOST_BITS = 6  # a filter that passes nearly everything
+        assert ordered(d.contamination(rows, bench).withColumn("contaminated", d.is_contaminated()), *columns) == want
+    finally:
+        d.LEAST_BITS, d.MOST_BITS = limits
+
+
+def test_places_fall_with_rarity(spark):
+    from marquee.llm.decontaminate import item_windows, shingle_counts, shingle_places
+
+    docs = spark.createDataFrame([(k, "a b c d e f g h i j k l m n" + (" o" if k == 0 else "")) for k in range(50)], "doc_id long, text string")
+    windows = item_windows(spark.createDataFrame([(1, "c d e f g h i j k l m n o")], "item_id long, text string"), 13, 5).cache()
+    counts = {r["shingle"]: r["n"] for r in shingle_counts(docs, windows.select("shingle"), [5]).collect()}
+    assert sorted(counts.values()) == [1] + [50] * 8
+    rarest = windows.filter(F.col("shingle") == min(counts, key=counts.get)).select("shingle")
+    assert shingle_places(docs, rarest, [5], 13, 5).filter(F.size("places") > 0).count() == 1
