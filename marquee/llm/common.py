@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +44,60 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_paths: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+_scopes: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost
-    executor costs a reread instead of a recomputation."""
+    executor costs a reread instead of a recomputation. The table stays until discard(), or until
+    the scratch_tables() around it end."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path is not None:
+            delete_folder(df.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+@contextmanager
+def scratch_tables() -> Iterator[None]:
+    """Deletes the tables that materialize() writes within, at the end: what is to stay is written
+    before by other means."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
+def materialized(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialize(make()), without the tables that ``make`` itself writes."""
+    inner: list[DataFrame] = []
+    _scopes.append(inner)
+    try:
+        df = make()
+        _scopes.pop()
+        out = materialize(df, name)
+    finally:
+        if _scopes and _scopes[-1] is inner:
+            _scopes.pop()
+        discard(*inner)
+    return out
 
 
 def crc32_mod(column: str, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import materialize
+from marquee.llm.common import discard, materialize
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,17 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent"))
-        parent = materialize(parent, "parents")
+        first = parent = materialize(parent, "parents")
         for _ in range(2):
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
             parent = parent.join(up, "parent").select("node", F.col("above").alias("parent"))
         parent = materialize(parent, "parents")
         moved = labels.join(parent.select(F.col("node").alias("label"), "parent"), "label", "left")
-        labels = materialize(moved.select("node", F.coalesce("parent", "label").alias("label")), "labels")
+        before, labels = labels, materialize(moved.select("node", F.coalesce("parent", "label").alias("label")), "labels")
         a = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         b = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         pair = left.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        left = materialize(pair.filter("a < b").distinct(), "edges")
+        edges_before, left = left, materialize(pair.filter("a < b").distinct(), "edges")
+        discard(first, parent, before, edges_before)
+    discard(left)
     return labels

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, byte_words, materialize, mix, range_hashes, steps, string_parts, text_key, with_identity
+from marquee.llm.common import batch, byte_words, materialize, materialized, mix, range_hashes, steps, string_parts, text_key, with_identity
 
 #: ASCII bytes below 0x80 that belong to words: digits and lower-case letters. All others belong too.
 _WORD = np.zeros(256, bool)
@@ -173,14 +173,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     benchmark. Rows that repeat get the same result each; item_ids that repeat count once. A very
     long text is read whole, by one task. Columns other than doc_id, text and item_id are not read.
     """
-    windows = materialize(item_windows(benchmark, window, k), "windows")
-    widths = sorted(r.k for r in windows.select("k").distinct().collect())  # 1 to k
-    counts = materialize(shingle_counts(docs, windows.select("shingle").distinct(), widths), "shingle-counts")
-    rare = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place")
-    prefix = windows.join(counts, "shingle", "left").groupBy("item_id", "words").agg(F.min(rare).alias("rare"))
-    # Windows that several items share are verified once; one whose rarest shingle is nowhere is done.
-    needed = prefix.groupBy("words").agg(F.min("rare").alias("rare"), F.collect_set("item_id").alias("items")).filter("rare.n > 0")
-    needed = materialize(needed.select("words", "items", F.col("rare.shingle").alias("shingle"), F.col("rare.place").alias("place"), F.size("words").alias("length")), "prefixes")
+    widths: list[int] = []  # 1 to k
+
+    def prefixes() -> DataFrame:
+        windows = materialize(item_windows(benchmark, window, k), "windows")
+        widths.extend(sorted(r.k for r in windows.select("k").distinct().collect()))
+        counts = materialize(shingle_counts(docs, windows.select("shingle").distinct(), widths), "shingle-counts")
+        rare = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place")
+        prefix = windows.join(counts, "shingle", "left").groupBy("item_id", "words").agg(F.min(rare).alias("rare"))
+        # Windows that several items share are verified once; one whose rarest shingle is nowhere is done.
+        needed = prefix.groupBy("words").agg(F.min("rare").alias("rare"), F.collect_set("item_id").alias("items")).filter("rare.n > 0")
+        return needed.select("words", "items", F.col("rare.shingle").alias("shingle"), F.col("rare.place").alias("place"), F.size("words").alias("length"))
+
+    needed = materialized(prefixes, "prefixes")
     found = materialize(shingle_places(docs, needed.select("shingle").distinct(), widths, window, k), "places")
     places = found.filter(F.size("places") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("places").alias("p")).select("doc_id", "text_key", "p.*")
     candidate = places.join(needed, "shingle")

@@ -36,7 +36,8 @@ def cut_pieces(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of every text.
 
-    A null text is empty: one piece with the end id. Rows that repeat give pieces each time.
+    A null text is empty: one piece with the end id. Rows that repeat give pieces each time, also under
+    a null doc_id. Very long texts are encoded whole, by one task; other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -116,7 +117,8 @@ def ranked_within_length(pieces: DataFrame, buckets: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int, rows_per_bucket: int = 50_000) -> DataFrame:
     """``pieces`` (materialised, with length from 1 to capacity) with sequence_id and offset.
 
-    An empty table stays empty. Ties in length are ranked by doc_id, piece and ids.
+    An empty table stays empty. Ties in length are ranked by doc_id, piece and ids; nulls come first, and
+    rows that repeat entirely take places in any order. All columns of ``pieces`` stay.
     """
     spark = pieces.sparkSession
     histogram = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

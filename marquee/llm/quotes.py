@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize
+from marquee.llm.common import batch, discard, materialize, materialized
 
 _MARKS = re.compile(r"[ \t]{0,3}(?:>[ \t]?)+")
 _LINE_END = re.compile(r"\r\n|\r|\n")
@@ -125,13 +125,14 @@ def quotation_links(messages: DataFrame) -> DataFrame:
 def thread_roots(links: DataFrame) -> DataFrame:
     """conv_id, turn, root_turn, depth of messages with a parent in their conversation, by pointer
     jumping: a round doubles how far each message sees."""
-    at = materialize(links.filter("parent_conv = conv_id").select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth")), "threads")
+    last = at = materialize(links.filter("parent_conv = conv_id").select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth")), "threads")
     while True:
         up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("more"))
         seen = at.join(up, ["conv_id", "root_turn"], "left")
         new = seen.select("conv_id", "turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved"))
         new = materialize(new, "threads")
-        at = new.drop("moved")
+        discard(last)
+        last, at = new, new.drop("moved")
         if new.filter("moved").isEmpty():
             return at
 
@@ -148,7 +149,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
     """
     rows = materialize(parsed(messages.select("conv_id", "turn", "role", "text").distinct()), "messages")
     whole = rows.filter("conv_id is not null and turn is not null")
-    links = materialize(quotation_links(whole).distinct(), "quote-links")
+    links = materialized(lambda: quotation_links(whole).distinct(), "quote-links")
     roots = thread_roots(links)
     said = rows.select("conv_id", "turn", "role", "content", F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: p["text"]).alias("quoted"))
     joined = said.join(links, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")

@@ -5,9 +5,13 @@ binary Golay code (23, 12) is perfect: each word decodes to exactly one of 4096
 bits away. If two fingerprints differ in at most 4 bits, some fingerprint half-way is within two
 bits of both; those two bits lie in one segment, or one each in two. Each fingerprint therefore has
 as keys the codeword indices of its three segments, 36 bits together, for itself and for everything
-within two bits. Most flips stay within a codeword's reach, so that is about 130 distinct keys and
-not 2081. Linked fingerprints share a key, others hardly ever do, at any number of documents; a
-shared key is verified on all 64 bits.
+within two bits. Most flips stay within a codeword's reach, so that is about 120 distinct keys and
+not 2081. Linked fingerprints share a key for certain; a shared key is verified on all 64 bits.
+
+Keys, and so shuffled rows, grow in proportion to the distinct fingerprints n. Unlinked ones meet by
+chance in about n * 120**2 / 2**36 keys each, 2 at 10**7 and 210 at 10**9: up to some 10**9 such
+pairs cost less than the keys themselves, beyond it they grow with the square of n, as comparisons
+within a key and not as shuffled rows. Only pairs of different components are formed at all.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize, string_parts, text_key, with_identity
+from marquee.llm.common import batch, materialize, materialized, string_parts, text_key, with_identity
 from marquee.llm.components import smallest_reachable
 
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -187,11 +191,12 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id whose fingerprint is reachable over links of at most 4 bits,
     itself included. Texts that are null, empty or of white space alone have fingerprint 0, which
     links like any other. A null doc_id takes part, but is never the smallest unless its component
-    has no other. Rows that repeat stay; other columns of docs are not read.
+    has no other. Very long texts are read whole, by one task. Rows that repeat stay; other columns of
+    docs are not read.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    labels = materialize(link_fingerprints(distinct), "fingerprint-labels").withColumnRenamed("node", "fingerprint")
+    labels = materialized(lambda: link_fingerprints(distinct), "fingerprint-labels").withColumnRenamed("node", "fingerprint")
     placed = distinct.join(labels, "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     first = placed.groupBy("label").agg(F.min("first").alias("component_id"))
     component = placed.join(first, "label").select("fingerprint", "component_id")

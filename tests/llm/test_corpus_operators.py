@@ -938,3 +938,35 @@ def test_places_fall_with_rarity(spark):
     assert sorted(counts.values()) == [1] + [50] * 8
     rarest = windows.filter(F.col("shingle") == min(counts, key=counts.get)).select("shingle")
     assert shingle_places(docs, rarest, [5], 13, 5).filter(F.size("places") > 0).count() == 1
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from marquee.llm.common import discard, materialize, materialized, scratch_tables, shared_dir
+
+    here = lambda: {f for f in os.listdir(shared_dir(spark)) if f.startswith("gone-")}
+    with scratch_tables():
+        a = materialize(spark.range(5), "gone-a")
+        b = materialized(lambda: materialize(a, "gone-inner").filter("id > 1"), "gone-b")
+        assert b.count() == 3 and len(here()) == 2 and not any("inner" in f for f in here())
+        discard(a)
+        assert len(here()) == 1
+        with pytest.raises(ZeroDivisionError), scratch_tables():
+            materialize(b, "gone-c")
+            1 / 0
+        assert len(here()) == 1
+    assert not here()
+
+
+def test_components_leave_labels_alone(spark):
+    import os
+
+    from marquee.llm.common import shared_dir
+    from marquee.llm.components import smallest_reachable
+
+    before = set(os.listdir(shared_dir(spark)))
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 200)] + [(900, 901), (5, 5)], "a long, b long")
+    labels = smallest_reachable(pairs)
+    assert {r["label"] for r in labels.collect()} == {1, 900} and labels.count() == 202
+    assert [f.split("-")[0] for f in set(os.listdir(shared_dir(spark))) - before] == ["labels"]
