@@ -63,38 +63,48 @@ def plan_places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int
     """Best-fit decreasing over counts: rows (length, rank_from, rank_to, sequence_from, offset).
 
     Open sequences with the same room left form groups (first sequence, how many). Pieces of the
-    longest length go first, each time into the sequences with the least room that is enough; a
-    length that finds none opens as many sequences as it fills.
+    longest length go first, each into the sequence with the least room that is enough. Of equal
+    pieces the next goes where the last went, as long as it fits there, so a group's sequences fill
+    up one by one; a length that finds no room opens sequences in the same way. Plain best-fit over
+    the pieces gives the same rooms.
     """
     rooms: list[int] = []  # ascending, those with open sequences
     groups: dict[int, list[tuple[int, int]]] = defaultdict(list)
     plan, opened = [], 0
 
     def put(room: int, first: int, n: int) -> None:
-        if not groups[room]:
-            insort(rooms, room)
-        groups[room].append((first, n))
+        if room and n:
+            if not groups[room]:
+                insort(rooms, room)
+            groups[room].append((first, n))
 
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
             i = bisect_left(rooms, length)
             if i == len(rooms):
-                n = -(-left // (capacity // length))
-                put(capacity, opened, n)
+                room, each = capacity, capacity // length
+                first, n = opened, -(-left // each)
                 opened += n
-                continue
-            room = rooms[i]
-            first, n = groups[room].pop()
-            if not groups[room]:
-                rooms.pop(i)
-            used = min(n, left)
-            plan.append((length, rank, rank + used, first, capacity - room))
-            rank, left = rank + used, left - used
-            if used < n:
-                put(room, first + used, n - used)
-            if room > length:
-                put(room - length, first, used)
+            else:
+                room = rooms[i]
+                each = room // length
+                first, n = groups[room].pop()
+                if not groups[room]:
+                    rooms.pop(i)
+            full = min(n, left // each)
+            over = min(left - full * each, each) if full < n else 0
+            for k in range(each if full else 0):
+                plan.append((length, rank, rank + full, first, capacity - room + k * length))
+                rank += full
+            for k in range(over):
+                plan.append((length, rank, rank + 1, first + full, capacity - room + k * length))
+                rank += 1
+            left -= full * each + over
+            put(room - each * length, first, full)
+            if over:
+                put(room - over * length, first + full, 1)
+            put(room, first + full + bool(over), n - full - bool(over))
     return plan
 
 
@@ -126,7 +136,8 @@ def pack(pieces: DataFrame, capacity: int, rows_per_bucket: int = 50_000) -> Dat
         raise ValueError(f"a piece has no length from 1 to {capacity}")
     plan = spark.createDataFrame(plan_places(histogram, capacity), PLAN)
     ranked = ranked_within_length(pieces, max(16, -(-max(histogram.values(), default=0) // rows_per_bucket)))
-    # A line of the plan ends a length, or empties or splits a group of sequences: its size follows capacity alone.
+    # A length has at most capacity / length lines for each group of open sequences that it fills or
+    # splits, so the size of the plan follows capacity alone.
     inside = (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     joined = ranked.alias("r").join(F.broadcast(plan).alias("p"), (F.col("r.length") == F.col("p.length")) & inside)
     return joined.select(*(F.col(f"r.{c}") for c in pieces.columns), (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), F.col("offset"))

@@ -461,19 +461,16 @@ def test_packing_plan_matches_plain_best_fit():
                 bins[min(fits, key=lambda b: bins[b])] -= n
             else:
                 bins.append(20 - n)
-        plan = plan_places(dict(Counter(lengths)), 20)
-        used, count = Counter(), Counter()
-        for length, a, b, sequence, _ in plan:
-            count[length] += b - a
-            for k in range(b - a):
+        used, count, ends = Counter(), Counter(), {}
+        for length, rank_from, rank_to, sequence, offset in plan_places(dict(Counter(lengths)), 20):
+            assert rank_from == count[length] < rank_to  # ranks go on without gaps, the last is left out
+            count[length] = rank_to
+            for k in range(rank_to - rank_from):
+                assert ends.get(sequence + k, 0) == offset
+                ends[sequence + k] = offset + length
                 used[sequence + k] += length
-        if count != Counter(lengths):  # inclusive last rank
-            used, count = Counter(), Counter()
-            for length, a, b, sequence, _ in plan:
-                count[length] += b - a + 1
-                for k in range(b - a + 1):
-                    used[sequence + k] += length
         assert count == Counter(lengths) and len(used) == len(bins) and max(used.values()) <= 20
+        assert sorted(20 - u for u in used.values()) == sorted(bins)
 
 
 def test_packing_edges(edge, none):
@@ -970,3 +967,25 @@ def test_components_leave_labels_alone(spark):
     labels = smallest_reachable(pairs)
     assert {r["label"] for r in labels.collect()} == {1, 900} and labels.count() == 202
     assert [f.split("-")[0] for f in set(os.listdir(shared_dir(spark))) - before] == ["labels"]
+
+
+def test_pipeline_edges(spark, edge, tmp_path):
+    """Nulls in every column, empty and very long texts, rows that repeat and clashing columns through
+    all stages, then an empty table."""
+    import corpus_pipeline
+
+    own_text = edge.filter("doc_id in (4, 9)").unionByName(edge.filter("doc_id is null"))
+    docs = edge.unionByName(own_text)
+    bench = spark.createDataFrame([(1, "Another text under one id."), (None, "x"), (2, None)], "item_id long, text string").withColumn("score", F.lit("clash"))
+    for name, rows in (("all", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "all")).toPandas()
+    assert out.groupby("sequence_id").length.sum().max() <= 1024 and len(out) > 0
+    kept = set(out.doc_id.dropna().astype(int))
+    assert kept <= {1, 4, 5, 8, 9} and 1 in kept and not kept & {2, 3, 6, 7}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    columns, at = docs.columns, docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path / "all"))
+        assert at.columns == columns
