@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm.common import scratch_path
+from marquee.llm.common import delete_folder, scratch_path, scratch_tables
 from marquee.llm.decontaminate import drop_contaminated
 from marquee.llm.langid import fit, keep_recognised
 from marquee.llm.packing import pack_documents
@@ -67,9 +67,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Each stage's scratch tables go when its output is written, and its
+    output when the next one's is."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_tables():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            delete_folder(spark, last)
+        last = path
     return docs
