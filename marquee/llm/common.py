@@ -109,14 +109,15 @@ def first_by_hash(rows: DataFrame, n: int, seed: int, by: str | None = None) ->
     """About ``n`` rows of ``rows``, or of each value of ``by``, and never more: those whose hash of
     doc_id is under n / count, with _h (the hash) and _r (their rank by it). All rows if there are fewer.
 
-    The threshold is applied where rows are read, so only about n rows are shuffled and ranked.
+    The threshold is applied where rows are read, so only about n rows are shuffled and ranked. Counts
+    are written first: Spark broadcasts them where their size, a row for each value, allows it.
     """
     h = F.xxhash64("doc_id", F.lit(seed))
     unit = (F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))).alias("_unit")
     if by is None:
         total, counted = F.lit(max(1, rows.count())), rows
     else:
-        sizes = rows.groupBy(by).agg(F.count("*").alias("_n")).withColumnRenamed(by, "_by")
+        sizes = materialize(rows.groupBy(by).agg(F.count("*").alias("_n")).withColumnRenamed(by, "_by"), "sizes")
         total, counted = F.col("_n"), rows.join(sizes, F.col(by) == F.col("_by"))
     picked = counted.withColumn("_h", h).filter(unit * total < n).select(*rows.columns, "_h")
     rank = F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("_h", "doc_id"))
