@@ -220,6 +220,7 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated; all other rows stay, with all columns, repeats included. Null
     and empty texts stay; an empty table or benchmark leaves all as it is."""
-    bad = contamination(docs, benchmark).filter(is_contaminated()).select("doc_id", "text_key").distinct()
+    # Written first: where few documents are contaminated, their ids are broadcast and no text is shuffled.
+    bad = materialized(lambda: contamination(docs, benchmark).filter(is_contaminated()).select("doc_id", "text_key").distinct(), "contaminated")
     tagged = with_identity(docs)
     return tagged.join(bad, tagged["own_id"].eqNullSafe(bad["doc_id"]) & (tagged["own_key"] == bad["text_key"]), "left_anti").select("row.*")
