@@ -28,7 +28,7 @@ _LOWER[0x41:0x5B] += 32
 #: Bits of the filter of benchmark shingles: this many for each, as a power of two between two limits
 #: (32 MB at most, whatever the benchmark's size). A fuller filter lets more through to the joins,
 #: which are exact.
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 28
+BITS_EACH, LEAST_BITS, MOST_BITS = 256, 22, 28
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

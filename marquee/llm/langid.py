@@ -7,9 +7,8 @@ holds every word and n-gram of the documents it is fitted on, which are a bounde
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ LONGEST = 5
 #: The model is fitted on about this many documents of each language, the first by a hash of their
 #: id, as far as they have this many bytes together. They bound the model, and what the driver gets of it.
 TRAIN_DOCS, TRAIN_BYTES = 1000, 4 << 20
-_WORDS_CACHED = 200_000
+_WORDS_CACHED = 100_000
 #: The n-grams of w of k characters. Long words are taken in overlapping parts, as each substring
 #: is counted from the start of its string.
 GRAMS = """flatten(transform(transform(sequence(0, (length(w) - k) div 500), j -> substring(w, 500 * j + 1, 499 + k)),
@@ -42,13 +41,10 @@ class Model:
     grams: list[str]
     word_scores: np.ndarray
     gram_scores: np.ndarray
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 class Scorer:
-    """Scores words under a model; one for each Python worker, so later tasks find earlier words."""
-
-    _latest: "Scorer | None" = None
+    """Scores words under a model; one for each task. The cache is of bounded size and changes no result."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -57,12 +53,6 @@ class Scorer:
         self.none = np.zeros(len(model.languages), np.float32)
         self.cache: dict[str, tuple[np.ndarray, bool]] = {}
 
-    @classmethod
-    def of(cls, model: Model) -> "Scorer":
-        if cls._latest is None or cls._latest.model.key != model.key:
-            cls._latest = cls(model)
-        return cls._latest
-
     def word(self, word: str) -> tuple[np.ndarray, bool]:
         """Log frequency of a word by language, and whether the model knows it or an n-gram of it."""
         at = self.words.get(word)
@@ -129,19 +119,19 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_
     return Model(languages, *(x for pair in zip(_log_frequencies(words, "word", languages, size), _log_frequencies(grams, "gram", languages, size)) for x in pair))
 
 
-def _predictions(column: pa.Array, model: Model | None) -> tuple[list, np.ndarray]:
+def _predictions(column: pa.Array, scorer: Scorer | None) -> tuple[list, np.ndarray]:
     """Language and score of every text."""
-    languages = np.array([*(model.languages if model else []), UNDETERMINED], object)
+    languages = np.array([*(scorer.model.languages if scorer else []), UNDETERMINED], object)
     offsets = string_parts(column)[1]
     found, scores = [], [np.zeros(0)]
     for lo, hi in steps(offsets):
         texts = pc.fill_null(column.slice(lo, hi - lo), "")
         lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pM]+", " "), " ")
         best, posterior = np.full(hi - lo, len(languages) - 1), np.zeros(hi - lo)
-        if model:
+        if scorer:
             coded = lists.flatten().dictionary_encode()
             words = coded.dictionary.to_pylist()
-            table, known = Scorer.of(model).table(words)
+            table, known = scorer.table(words)
             letters = np.array([any(map(str.isalpha, w)) for w in words], bool)
             row = np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy()))
             place = coded.indices.to_numpy()
@@ -174,8 +164,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value) if shared.value else None
         for b in batches:
-            found, scores = _predictions(b.column(1), shared.value)
+            found, scores = _predictions(b.column(1), scorer)
             yield batch(schema, [b.column(0), found, scores])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
@@ -191,8 +182,9 @@ def keep_recognised(docs: DataFrame, model: Model | None, least: float) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for b in batches:
-            found, scores = _predictions(b.column(at), shared.value)
+            found, scores = _predictions(b.column(at), scorer)
             yield b.filter(pa.array((scores >= least) & (np.array(found, object) != UNDETERMINED)))
 
     return docs.mapInArrow(told, docs.schema)

@@ -15,7 +15,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Python workers get batches of bounded size: some texts are very long.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
         return f(spark, sf_dir)
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__

@@ -39,6 +39,8 @@ MIN_SENTENCES = 2
 MIN_WORDS = 20
 #: Words of a sentence in a row of which the pair of least hash ends a piece.
 WINDOW = 15
+#: Rows of an Arrow batch that a task gives on.
+SPANS_AT_ONCE = 1 << 15
 #: Sets the two halves of a span's hash apart.
 SECOND = 0x5851F42D4C957F2D
 #: A run of marks is looked at once, from its first.
@@ -179,8 +181,10 @@ def span_hashes(docs: DataFrame) -> DataFrame:
             later = _repeats(h, check, null, ids, keys.to_numpy()[row], place)
             # those that are known to repeat need not meet the others: they are dealt out evenly
             h = np.where(later, mix(h + mix(ids.astype(np.uint64) + np.uint64(1)) + place.astype(np.uint64)), h)
-            at = pa.array(row)
-            yield batch(schema, [h.view(np.int64), check.view(np.int64), doc_ids.take(at), keys.take(at), place, later])
+            for a in range(0, len(h), SPANS_AT_ONCE):
+                s = slice(a, a + SPANS_AT_ONCE)
+                at = pa.array(row[s])
+                yield batch(schema, [h[s].view(np.int64), check[s].view(np.int64), doc_ids.take(at), keys.take(at), place[s], later[s]])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     return columns.mapInArrow(cut, SPANS)
