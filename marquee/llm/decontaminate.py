@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, byte_words, materialize, materialized, mix, range_hashes, steps, string_parts, text_key, with_identity
+from marquee.llm.common import batch, byte_words, materialize, materialized, mix, range_hashes, steps, string_parts, text_key, tidy, with_identity
 
 #: ASCII bytes below 0x80 that belong to words: digits and lower-case letters. All others belong too.
 _WORD = np.zeros(256, bool)
@@ -80,7 +80,7 @@ def item_windows(benchmark: DataFrame, window: int, k: int) -> DataFrame:
                         rows = [(ids[lo + i], w, size, p, shingles[w + p], width, words[w : w + size]) for w in range(a, min(a + 500, e - s - size + 1)) for p in range(size - width + 1)]
                         yield batch(schema, list(zip(*rows)))
 
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut, ITEM)
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(tidy(cut), ITEM)
 
 
 def shingle_filter(shingles: DataFrame) -> tuple[np.ndarray, int]:
@@ -121,7 +121,7 @@ def shingle_counts(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> D
                 found, n = np.unique(np.concatenate(seen), return_counts=True)
                 yield batch(schema, [found.view(np.int64), n.astype(np.int64)])
 
-    parts = docs.select("text").mapInArrow(count, "shingle long, n long")
+    parts = docs.select("text").mapInArrow(tidy(count), "shingle long, n long")
     return parts.groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
@@ -162,7 +162,7 @@ def shingle_places(docs: DataFrame, shingles: DataFrame, widths: list[int], wind
                 yield batch(schema, [b.column(0).slice(lo, n), b.column(1).slice(lo, n), np.diff(bounds), rows])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return columns.mapInArrow(find, PLACES)
+    return columns.mapInArrow(tidy(find), PLACES)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, first_by_hash, materialize, steps, string_parts
+from marquee.llm.common import batch, first_by_hash, materialize, steps, string_parts, tidy
 
 UNDETERMINED = "und"
 LONGEST = 5
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             found, scores = _predictions(b.column(1), scorer)
             yield batch(schema, [b.column(0), found, scores])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(score), "doc_id long, lang_pred string, score double")
 
 
 def keep_recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
@@ -187,4 +187,4 @@ def keep_recognised(docs: DataFrame, model: Model | None, least: float) -> DataF
             found, scores = _predictions(b.column(at), scorer)
             yield b.filter(pa.array((scores >= least) & (np.array(found, object) != UNDETERMINED)))
 
-    return docs.mapInArrow(told, docs.schema)
+    return docs.mapInArrow(tidy(told), docs.schema)

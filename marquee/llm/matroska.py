@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import batch, materialize
+from marquee.llm.common import batch, materialize, tidy
 
 #: Element ids of Matroska.
 EBML, DOC_TYPE, SEGMENT, INFO, SCALE = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1
@@ -271,7 +271,7 @@ def media_column(docs: DataFrame) -> DataFrame:
             texts = b.column(1).to_pylist()
             yield batch(schema, [b.column(0), [len((t or "").encode()) for t in texts], [mux(padded(t)) for t in texts]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(write), "doc_id long, n_bytes long, media binary")
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def read_media(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(others))), *new], names=[*(f.name for f in others), *own])
 
     kept = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [f"media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, packets array<{PACKET}>, cues array<{CUE_ROW}>, samples {SAMPLES}, error string"])
-    return media.select(*(F.col(f"`{f.name}`") for f in others), "media").mapInArrow(read, kept)
+    return media.select(*(F.col(f"`{f.name}`") for f in others), "media").mapInArrow(tidy(read), kept)
 
 
 def packet_table(read: DataFrame, *keys: str) -> DataFrame:

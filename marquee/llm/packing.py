@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize, steps
+from marquee.llm.common import batch, materialize, steps, tidy
 from marquee.llm.wordcache import WordCacheTokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int
                 if rows:
                     yield batch(schema, list(zip(*rows)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(cut), PIECES)
 
 
 def plan_places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

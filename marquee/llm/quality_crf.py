@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, byte_words, first_by_hash, materialize, range_hashes, steps, string_parts
+from marquee.llm.common import batch, byte_words, first_by_hash, materialize, range_hashes, steps, string_parts, tidy
 
 #: The model is fitted on about this many labelled documents, the first by a hash of their id, as far
 #: as they have this many lines together; documents of over LONG_DOC lines are not among them.
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
                 yield batch(schema, [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), np.diff(bounds), [f[s:e].reshape(-1).astype(np.float32) if e - s <= LONG_DOC else [] for s, e in parts], [size[s:e].astype(np.float32) if e - s <= LONG_DOC else [] for s, e in parts]])
 
     sample = docs.join(F.broadcast(chosen), "doc_id").select("_r", "_quality", "text")  # train_docs rows
-    found = sample.mapInArrow(lines, "r int, quality int, lines long, features array<float>, size array<float>").filter(F.col("lines") <= LONG_DOC)
+    found = sample.mapInArrow(tidy(lines), "r int, quality int, lines long, features array<float>, size array<float>").filter(F.col("lines") <= LONG_DOC)
     found = materialize(found, "line-features")
     order = Window.partitionBy(F.lit(0)).orderBy("r", "lines")
     first = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_docs)
@@ -266,4 +266,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 s = 1 / (1 + np.exp(-np.clip(model.slope * _logit(weighted(p, size, bounds)) + model.shift, -30, 30))) if model else np.full(hi - lo, 0.5)
                 yield batch(schema, [b.column(0).slice(lo, hi - lo), s, np.diff(bounds), np.add.reduceat((p < 0.5).astype(np.int64), bounds[:-1])])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double, n_lines long, bad_lines long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(scored), "doc_id long, score double, n_lines long, bad_lines long")

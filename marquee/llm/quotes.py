@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, discard, materialize, materialized
+from marquee.llm.common import batch, discard, materialize, materialized, tidy
 
 _MARKS = re.compile(r"[ \t]{0,3}(?:>[ \t]?)+")
 _LINE_END = re.compile(r"\r\n|\r|\n")
@@ -64,7 +64,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             yield batch(schema, [b.column(0), b.column(1), b.column(2).cast(pa.string()), [c for c, _ in rows], [[{"level": level, "text": x} for level, x in p] for _, p in rows]])
 
     columns = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
-    return columns.mapInArrow(run, "conv_id long, turn long, role string, content string, passages array<struct<level: int, text: string>>")
+    return columns.mapInArrow(tidy(run), "conv_id long, turn long, role string, content string, passages array<struct<level: int, text: string>>")
 
 
 def normal(text: Column) -> Column:

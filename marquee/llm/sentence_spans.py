@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, mix, powers, steps, string_parts, text_key, with_identity
+from marquee.llm.common import batch, mix, powers, steps, string_parts, text_key, tidy, with_identity
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -187,7 +187,7 @@ def span_hashes(docs: DataFrame) -> DataFrame:
                 yield batch(schema, [h[s].view(np.int64), check[s].view(np.int64), doc_ids.take(at), keys.take(at), place[s], later[s]])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return columns.mapInArrow(cut, SPANS)
+    return columns.mapInArrow(tidy(cut), SPANS)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
     r = ranges.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key"), "ranges")
     joined = tagged.join(r, (tagged["text_key"] == r["_key"]) & tagged["doc_id"].eqNullSafe(r["_doc_id"]), "left")
-    return joined.select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, text string, n_sentences long, n_removed long")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(tidy(cut), "doc_id long, text string, n_sentences long, n_removed long")
 
 
 def deduplicate_spans(docs: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=docs_columns)
 
     docs_columns = docs.columns
-    out = joined.mapInArrow(cut, docs.schema)
+    out = joined.mapInArrow(tidy(cut), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out

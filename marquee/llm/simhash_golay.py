@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize, materialized, string_parts, text_key, with_identity
+from marquee.llm.common import batch, materialize, materialized, string_parts, text_key, tidy, with_identity
 from marquee.llm.components import smallest_reachable
 
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield batch(schema, [b.column(0), b.column(1), bits.view(np.int64)])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return columns.mapInArrow(hashed, "doc_id long, text_key long, fingerprint long")
+    return columns.mapInArrow(tidy(hashed), "doc_id long, text_key long, fingerprint long")
 
 
 def near(a: Column, b: Column) -> Column:
@@ -164,7 +164,7 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
                 yield batch(schema, [keys, prints[rows].view(np.int64)])
 
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = distinct.select("fingerprint").repartition(tasks).mapInArrow(keyed, "key long, fingerprint long")
+    keys = distinct.select("fingerprint").repartition(tasks).mapInArrow(tidy(keyed), "key long, fingerprint long")
     # Running frames: a key's fingerprints stream past, whatever their number.
     order = Window.partitionBy("key").orderBy("fingerprint")
     placed = keys.select("key", "fingerprint", F.first("fingerprint").over(order).alias("pivot"), F.lead("fingerprint").over(order).alias("next"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize, scratch_path, steps
+from marquee.llm.common import batch, materialize, scratch_path, steps, tidy
 from marquee.llm.wordcache import WordCacheTokenizer
 
 #: Fixed values of the format: ids in a word and bits of an id, by selector.
@@ -225,7 +225,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, keeps_space:
             yield batch(schema, [[shard], [name], [done["n_docs"]], [done["n_ids"]]])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialize(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "s8b-manifest")
+    manifest = materialize(ordered.mapInArrow(tidy(write), "shard long, path string, n_docs long, n_ids long"), "s8b-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -259,7 +259,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
     n = max(1, manifest.count())
     spread = manifest.select("path", "start").coalesce(1).repartition(n)  # a file for each task
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digests(spark: SparkSession, docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int) -> DataFrame:

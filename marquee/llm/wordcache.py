@@ -31,7 +31,7 @@ class WordCacheTokenizer:
     two generations that are remembered; it bounds memory and never changes a result.
     """
 
-    def __init__(self, path: str, keeps_space: bool, capacity: int = 600_000):
+    def __init__(self, path: str, keeps_space: bool, capacity: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
