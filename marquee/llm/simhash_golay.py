@@ -150,7 +150,8 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
 
     First each key's fingerprints are compared with the smallest of the key, so that a dense group
     joins up without its pairs; then pairs under a key are formed only where the key still holds
-    different components, and only between those.
+    different components, and only between those: of n fingerprints under a key, m of them outside
+    its largest component, at most n * m are compared.
     """
     schema = pa.schema([("key", pa.int64()), ("fingerprint", pa.int64())])
 
@@ -175,9 +176,15 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     labelled = keys.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("key", "fingerprint", F.coalesce("label", "fingerprint").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     rest = materialize(labelled.join(mixed, "key"), "mixed-keys")
-    a = rest.select("key", F.col("fingerprint").alias("a"), F.col("label").alias("label_a"))
-    b = rest.select("key", F.col("fingerprint").alias("b"), F.col("label").alias("label_b"))
-    across = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near(F.col("a"), F.col("b")))
+    # A key's largest component is one side alone, so a dense group meets the few others of its key and
+    # not itself.
+    sizes = rest.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most")).select("key", F.col("most.label").alias("largest"))
+    sided = rest.join(largest, "key")
+    a = sided.filter("label != largest").select(F.col("key").alias("key_a"), F.col("fingerprint").alias("a"), F.col("label").alias("label_a"))
+    b = sided.select("key", F.col("fingerprint").alias("b"), F.col("label").alias("label_b"), (F.col("label") == F.col("largest")).alias("dense"))
+    once = F.col("dense") | (F.col("a") < F.col("b"))
+    across = a.join(b, (F.col("key_a") == F.col("key")) & once & (F.col("label_a") != F.col("label_b")) & near(F.col("a"), F.col("b")))
     more = materialize(across.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
     top = smallest_reachable(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
     met = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()

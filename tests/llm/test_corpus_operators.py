@@ -570,8 +570,6 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_links_match_brute_force_on_chains(spark):
-    from marquee.llm.simhash_golay import link_fingerprints
-
     rng, prints = random.Random(4), set()
     for _ in range(40):
         p = rng.getrandbits(64)
@@ -579,6 +577,26 @@ def test_links_match_brute_force_on_chains(spark):
             prints.add(p)
             for b in rng.sample(range(64), rng.randrange(1, 7)):
                 p ^= 1 << b
+    assert_links_match_brute_force(spark, prints)
+
+
+def test_links_match_brute_force_in_dense_groups(spark):
+    """Many fingerprints around one, and some outside that only a few of them reach, if any."""
+    rng, prints = random.Random(5), set()
+    for _ in range(3):
+        middle = rng.getrandbits(64)
+        for far, n in ((1, 20), (2, 80), (3, 40), (5, 30), (6, 30), (7, 30)):
+            for _ in range(n):
+                p = middle
+                for b in rng.sample(range(64), far):
+                    p ^= 1 << b
+                prints.add(p)
+    assert_links_match_brute_force(spark, prints)
+
+
+def assert_links_match_brute_force(spark, prints):
+    from marquee.llm.simhash_golay import link_fingerprints
+
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     got = {r["node"]: r["label"] for r in link_fingerprints(spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")).collect()}
     label = components(prints)
