@@ -254,7 +254,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [remaining(t, gone)[0] for t, gone in zip(b.column(text_at).to_pylist(), b.column(ranges_at).to_pylist())]
+            texts = [remaining(t, gone)[0] if gone else t for t, gone in zip(b.column(text_at).to_pylist(), b.column(ranges_at).to_pylist())]
             arrays = [pa.array(texts, b.schema.field(i).type) if i == text_at else b.column(i) for i in range(ranges_at)]
             yield pa.RecordBatch.from_arrays(arrays, names=docs_columns)
 
