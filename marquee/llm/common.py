@@ -126,6 +126,29 @@ def first_by_hash(rows: DataFrame, n: int, seed: int, by: str | None = None) ->
     return picked.withColumn("_r", rank).filter(F.col("_r") <= n)
 
 
+def ranked(rows: DataFrame, order: list[Column | str], by: str | None = None, name: str = "ranked") -> DataFrame:
+    """``rows`` with position (0, 1, ... by ``order``) in the whole table or in each value of ``by``,
+    and size, the number of rows counted through.
+
+    Rows are dealt over ranges of the order and written with the number of their range; a row's
+    position is its place within the range plus the counts of the ranges before. So a value of ``by``
+    that a third of all rows have is ranked by as many tasks as it fills, and no task orders a whole
+    table. The order must tell all rows apart but for those that are equal. Nulls of ``by`` are one value.
+    """
+    group = [by] if by else []
+    dealt = materialize(rows.orderBy(*group, *order).withColumn("_range", F.spark_partition_id()), name)
+    counts = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*group) if by else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(c).alias(f"_g{c}") for c in group), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("size"))
+    same = F.col("_range") == F.col("_r")
+    if by:
+        same = same & F.col(by).eqNullSafe(F.col(f"_g{by}"))
+    local = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)) - 1
+    placed = dealt.withColumn("_local", local).join(starts, same)
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_local")).alias("position"), "size")
+
+
 def text_key(column: str = "text") -> Column:
     """With doc_id, the identity of a row: rows that repeat entirely count as one document."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

@@ -135,3 +135,101 @@ def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ordered = reply_order(table(spark, sf_dir, "conversations"))
     return ordered.withColumn("quoted", F.array_join("quoted", "\n\n"))
+
+
+#: crc32 in SQL: the table of the polynomial, and the bytes of a text by way of its hexadecimal form.
+_CRC32 = r"""
+crc_table AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(0, 256) r(i)
+  )
+), crcs AS (
+  SELECT s, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) AS crc
+  FROM crc_table, (
+    SELECT s, list_transform(range(1, strlen(s) * 2, 2), lambda p: CAST(16 * instr('0123456789ABCDEF', substr(h, p, 1)) + instr('0123456789ABCDEF', substr(h, p + 1, 1)) - 17 AS BIGINT)) AS b
+    FROM (SELECT s, hex(encode(s)) AS h FROM hashed)
+  )
+)"""
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.importance import resample
+
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op11_importance"] = r"""
+WITH texts AS (
+  SELECT true AS corpus, doc_id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark
+), words AS (
+  SELECT row_number() OVER () AS r, corpus, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), found AS (
+  SELECT r, corpus, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
+  FROM (SELECT r, corpus, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, range(1, 4) sizes(n) WHERE len(w) >= n)
+), hashed AS (SELECT DISTINCT s FROM found),""" + _CRC32 + r""",
+buckets AS (SELECT r, corpus, crc % 10000 AS bucket FROM found JOIN crcs ON crcs.s = found.s),
+counts AS (
+  SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t,
+         sum(count(*) FILTER (corpus)) OVER () AS all_s, sum(count(*) FILTER (NOT corpus)) OVER () AS all_t
+  FROM buckets GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(all_s AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(all_t AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM counts
+), weights AS (
+  SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM buckets JOIN gains ON gains.bucket = buckets.bucket WHERE corpus GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights ON weights.r = words.r WHERE corpus
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.merkle import proofs, tampered_text
+
+    found = proofs(table(spark, sf_dir, "documents"), tampered_text())
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _merkle_sql(levels: int) -> str:
+    """Trees of up to 16**levels nodes: level by level the nodes above, then the folds along them. A level
+    that has one node hands it on as it is."""
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in [*fields, text]) + ")"
+
+    sql = [
+        "WITH hashed AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL)," + _CRC32,
+        f"a0 AS (SELECT doc_id, source, leaf, leaf AS d, CASE WHEN hit THEN changed ELSE leaf END AS fold, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, '' AS proof FROM (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf(lower)} AS changed, coalesce(crc % 5 = 0, false) AS hit FROM documents LEFT JOIN crcs ON s = CAST(doc_id AS VARCHAR)))",
+    ]
+    at, group, extra = "a0", "source", ""
+    for k in range(2 * levels):
+        if k == levels:
+            sql += [
+                f"tops AS (SELECT source, min(d) AS d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p FROM {at} GROUP BY source)",
+                f"b AS (SELECT x.doc_id, x.source, x.leaf, x.d, x.fold, tops.p, x.proof, x.d AS subroot, 0 AS whole FROM {at} x JOIN tops ON tops.source IS NOT DISTINCT FROM x.source)",
+            ]
+            at, group, extra = "b", "whole", ", subroot, x.whole"
+        others = "array_to_string(run[:p % 16], ''){} || array_to_string(run[p % 16 + 2:], '')"
+        sql += [
+            f"n{k} AS (SELECT DISTINCT {group}, p, d FROM {at})",
+            f"r{k} AS (SELECT {group}, p // 16 AS q, list(d ORDER BY p) AS run, (SELECT count(*) FROM n{k} y WHERE y.{group} IS NOT DISTINCT FROM n{k}.{group}) AS many FROM n{k} GROUP BY {group}, p // 16)",
+            f"a{k + 1} AS (SELECT doc_id, x.source, leaf{extra}, p // 16 AS p, CASE WHEN many = 1 THEN d ELSE sha256(array_to_string(run, '')) END AS d,"
+            f" CASE WHEN many = 1 THEN fold ELSE sha256({others.format(' || fold')}) END AS fold, CASE WHEN many = 1 THEN proof ELSE proof || {others.format('')} END AS proof"
+            f" FROM {at} x JOIN r{k} r ON r.{group} IS NOT DISTINCT FROM x.{group} AND r.q = x.p // 16)",
+        ]
+        at = f"a{k + 1}"
+    return ",\n".join(sql) + f"\nSELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified FROM {at}"
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql(5)
