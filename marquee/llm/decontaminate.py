@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     """doc_id, text_key, n_words, n_hit, n_items, items_sha256 of every row of ``docs``.
 
     n_hit counts the words inside any occurrence of a window of an item, n_items the items with
-    such windows. Nulls and texts without words have zeros, as have all documents under an empty
+    such windows; the words of an item without an id are hit as well, but it is not counted. Nulls and texts without words have zeros, as have all documents under an empty
     benchmark. Rows that repeat get the same result each; item_ids that repeat count once. A very
     long text is read whole, by one task. Columns other than doc_id, text and item_id are not read.
     """
@@ -201,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     n_hit = spans.groupBy("doc_id", "text_key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("first", "covered"))).cast("long").alias("n_hit"))
     items = hits.select("doc_id", "text_key", F.explode("items").alias("item")).distinct().groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     keys = ["doc_id", "text_key"]
-    seen = n_hit.join(items, n_hit["doc_id"].eqNullSafe(items["doc_id"]) & (n_hit["text_key"] == items["text_key"])).select(n_hit["doc_id"].alias("_doc_id"), n_hit["text_key"].alias("_text_key"), "n_hit", "items")
+    seen = n_hit.join(items, n_hit["doc_id"].eqNullSafe(items["doc_id"]) & (n_hit["text_key"] == items["text_key"]), "left").select(n_hit["doc_id"].alias("_doc_id"), n_hit["text_key"].alias("_text_key"), "n_hit", "items")
     joined = found.select(*keys, "n_words").join(seen, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")), "left")
     return joined.select(
         *keys,

@@ -1007,3 +1007,13 @@ def test_pipeline_edges(spark, edge, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, str(tmp_path / "all"))
         assert at.columns == columns
+
+
+def test_items_without_an_id_hit(spark):
+    from marquee.llm.decontaminate import contamination, drop_contaminated
+
+    letters = "a b c d e f g h i j k l m n o"
+    docs = spark.createDataFrame([(1, letters), (2, "p q r s"), (3, letters + " p q r s")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, letters[:25]), (7, "q r"), (None, "q r")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in contamination(docs, items).collect()}
+    assert got == {1: (13, 0), 2: (2, 1), 3: (15, 1)} and drop_contaminated(docs, items).isEmpty()
