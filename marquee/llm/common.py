@@ -47,7 +47,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _paths: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
-_scopes: list[list[DataFrame]] = []
+_scopes: list[list[DataFrame | tuple[SparkSession, str]]] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted as the tables of materialize() are."""
+    path = scratch_path(spark, name)
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -63,9 +71,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that nothing reads any more."""
+def discard(*tables: DataFrame | tuple[SparkSession, str]) -> None:
+    """Delete tables of materialize(), or folders (with their session), that nothing reads any more."""
     for df in tables:
+        if isinstance(df, tuple):
+            delete_folder(*df)
+            continue
         path = _paths.pop(df, None)
         if path is not None:
             delete_folder(df.sparkSession, path)
@@ -78,7 +89,7 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch_tables() -> Iterator[None]:
-    """Deletes the tables that materialize() writes within, at the end: what is to stay is written
+    """Deletes the tables and folders that materialize() and scratch_folder() give within, at the end: what is to stay is written
     before by other means."""
     _scopes.append([])
     try:
@@ -89,7 +100,7 @@ def scratch_tables() -> Iterator[None]:
 
 def materialized(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """materialize(make()), without the tables that ``make`` itself writes."""
-    inner: list[DataFrame] = []
+    inner: list[DataFrame | tuple[SparkSession, str]] = []
     _scopes.append(inner)
     try:
         df = make()

@@ -101,6 +101,8 @@ def laced_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     """Sizes of a block's frames, and where the first begins."""
     if lacing == NO_LACING:
         return [end - at], at
+    if at >= end:
+        raise ValueError(f"the block that ends at byte {end} lacks its lacing")
     n, at = data[at] + 1, at + 1
     if lacing == FIXED:
         if (end - at) % n:
@@ -128,6 +130,8 @@ def laced_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
 
 def _block(data: bytes, start: int, end: int, cluster_time: int, key: bool | None, scale: int, durations: dict[int, int], block_ticks: int | None = None) -> list[tuple]:
     track, at, _ = read_vint(data, start)
+    if at + 3 > end:
+        raise ValueError(f"the block at byte {start} is shorter than its head")
     if track >= 1 << 31:
         raise ValueError(f"the track number at byte {start} does not fit 31 bits")
     offset, flags = struct.unpack_from(">hB", data, at)

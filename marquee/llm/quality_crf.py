@@ -219,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     """A model from text of ``docs`` and quality of ``labels`` on at most ``train_docs`` documents of at
     most ``train_lines`` lines together, which are all that the driver gets.
 
-    A doc_id with both labels, or a null one, is left out. None if no document is left.
+    A doc_id with both labels, or a null one, is left out; rows that repeat count once. None if no
+    document is left.
     """
     per_doc = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     chosen = first_by_hash(per_doc.filter("quality = most"), train_docs, 11).select("doc_id", "_r", F.col("quality").cast("int").alias("_quality"))
@@ -235,10 +236,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
 
     sample = docs.join(F.broadcast(chosen), "doc_id").select("_r", "_quality", "text")  # train_docs rows
     found = sample.mapInArrow(tidy(lines), "r int, quality int, lines long, features array<float>, size array<float>").filter(F.col("lines") <= LONG_DOC)
-    found = materialize(found, "line-features")
-    order = Window.partitionBy(F.lit(0)).orderBy("r", "lines")
-    first = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_docs)
-    rows = first.withColumn("so_far", F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("so_far") <= train_lines).orderBy("n").select("quality", "features", "size").toPandas()
+    found = materialize(found.withColumn("own", F.xxhash64("features")), "line-features")
+    # Ranks need no features: these follow once the bounds on documents and lines are met.
+    keys = ["r", "lines", "own"]
+    order = Window.partitionBy(F.lit(0)).orderBy(*keys)
+    first = found.select(*keys).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_docs)
+    bounded = first.withColumn("so_far", F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("so_far") <= train_lines)
+    rows = found.join(F.broadcast(bounded), keys).dropDuplicates(keys).orderBy("n").select("quality", "features", "size").toPandas()
     if not len(rows):
         return None
     size = [np.asarray(s, float) for s in rows["size"]]

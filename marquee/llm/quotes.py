@@ -23,8 +23,8 @@ from marquee.llm.common import batch, discard, materialize, materialized, tidy
 
 _MARKS = re.compile(r"[ \t]{0,3}(?:>[ \t]?)+")
 _LINE_END = re.compile(r"\r\n|\r|\n")
-#: A line that introduces a quotation, right before it.
-_LEAD = re.compile(r".{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s?:\s*", re.I)
+#: The end of a line that introduces a quotation, right before it or before blank lines ahead of it.
+_LEAD = re.compile(r"\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s?:\s*+\Z", re.I)
 #: Between sentences.
 _SENTENCE = r"(?<=[.!?][\"')\]]{0,3})\s+|(?<=[。！？])"
 #: Turns that one group of a window has at most; a conversation's or thread's later turns are others.
@@ -38,9 +38,15 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     for line in _LINE_END.split(text or ""):
         m = _MARKS.match(line)
         lines.append((m[0].count(">"), line[m.end() :]) if m else (0, line))
+    # The level of the next line that is not blank.
+    following, ahead = [0] * len(lines), -1
+    for k in range(len(lines) - 1, -1, -1):
+        following[k] = ahead
+        if lines[k][1].strip():
+            ahead = lines[k][0]
     said, found, level_open = [], [], -1
     for k, (level, line) in enumerate(lines):
-        lead = k + 1 < len(lines) and lines[k + 1][0] > level and _LEAD.fullmatch(line)
+        lead = following[k] > level and _LEAD.search(line)
         if level == 0 and not lead:
             said.append(line)
         if not line.strip() or lead:

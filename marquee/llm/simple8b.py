@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch, materialize, scratch_path, steps, tidy
+from marquee.llm.common import batch, materialize, scratch_folder, steps, tidy
 from marquee.llm.wordcache import WordCacheTokenizer
 
 #: Fixed values of the format: ids in a word and bits of an id, by selector.
@@ -264,5 +264,5 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
 def token_file_digests(spark: SparkSession, docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int) -> DataFrame:
     """Write shards to the shared folder and read them back."""
-    out = scratch_path(spark, "s8b")
+    out = scratch_folder(spark, "s8b")
     return read_token_shards(write_token_shards(docs, os.path.join(out, "shards"), tokenizer, keeps_space, end_id))

@@ -1017,3 +1017,50 @@ def test_items_without_an_id_hit(spark):
     items = spark.createDataFrame([(None, letters[:25]), (7, "q r"), (None, "q r")], "item_id long, text string")
     got = {r.doc_id: (r.n_hit, r.n_items) for r in contamination(docs, items).collect()}
     assert got == {1: (13, 0), 2: (2, 1), 3: (15, 1)} and drop_contaminated(docs, items).isEmpty()
+
+
+def test_short_blocks_have_errors():
+    from marquee.llm import matroska as m
+
+    for lacing in range(4):
+        for n in range(6):
+            block = (b"\x81\x00\x00" + bytes([0x80 | lacing << 1]) + b"\x00\x00")[:n]
+            media = m._HEADER + m._element(m.SEGMENT, m._element(m.CLUSTER, m._element(m.SIMPLE_BLOCK, block)))
+            try:
+                packets = m.demux(media + b"\x00" * 9)["packets"] if n > 9 else m.demux(media)["packets"]
+            except ValueError:
+                continue
+            assert n >= (4 if not lacing else 5) and all(p[3] >= 0 for p in packets)
+
+
+def test_folders_go_with_their_scope(spark):
+    import os
+
+    import public_tokenizers
+
+    from marquee.llm.common import scratch_tables, shared_dir
+    from marquee.llm.simple8b import token_file_digests
+
+    before = set(os.listdir(shared_dir(spark)))
+    with scratch_tables():
+        docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+        assert token_file_digests(spark, docs, public_tokenizers.path("word_bpe_49k.json"), False, 2).count() == 1
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
+def test_rows_of_one_id_are_bounded_in_training(spark):
+    from marquee.llm.quality_crf import fit
+
+    docs = spark.createDataFrame([(k % 2, f"good line {k}\n" * 9 if k % 2 else f"#{k}$%\n" * 9) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    assert fit(docs, labels, train_docs=10, train_lines=90) is not None
+
+
+def test_leads_of_quotations():
+    from marquee.llm.quotes import parse
+
+    long = "On " + "a long day, " * 40 + "someone wrote:"
+    for lead in (long, "Ann wrote:", "Er schrieb :  "):
+        for gap in ("", "\n", "\n \n\n"):
+            assert parse(f"Yes.\n{lead}\n{gap}> what was said\n> here\nNo.") == ("Yes.\nNo." if not gap else parse(f"Yes.\n{gap}> what was said\n> here\nNo.")[0], [(0, "Yes."), (1, "what was said\nhere"), (0, "No.")])
+    assert parse("He said:\nnothing")[0] == "He said:\nnothing" and parse("He said:\n\nnothing\n> q")[0] == "He said:\n\nnothing"
