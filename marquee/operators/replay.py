@@ -2,7 +2,8 @@
 
 Both give a Report: ``lines`` has a row for each calendar of a run and each candidate, skip and
 error in it, ``runs`` the totals, status and notes of each run. Bodies are parsed once, in one pass
-after the join of links with bodies; what follows are aggregates by calendar and by run.
+after the join of links with bodies; what follows are aggregates by calendar and by run. A replay judges
+runs and finds the snapshots of links by their heads, and fetches bodies from the shelf last of all.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from marquee.functions.text import first_non_empty, trim
 from marquee.operators import runs as run_ops
 from marquee.operators.staging import clustered
-from marquee.sources.envelope import replayable, seal, unseal
+from marquee.sources.envelope import replayable, seal
 from marquee.sources.extract import calendar_rows, source_page_rows
+from marquee.store.shelf import Shelf, unsealed, with_bodies
 
 #: What a run without a usable calendar says, by page mode.
 UNUSABLE = {"linked_ics": "no ICS calendars parsed successfully", "source_page": "no listings parsed successfully"}
@@ -39,15 +41,19 @@ def _trouble(what: str, truncated: Column, code: Column) -> Column:
     return F.when(truncated, name).when(~F.coalesce(run_ops.http_ok(code), F.lit(False)), http)
 
 
-def parsed_lines(pages: DataFrame, bodies: DataFrame, on: list[str], limit: int, missing: str) -> DataFrame:
+def parsed_lines(pages: DataFrame, answers: DataFrame, bodies: DataFrame | None, on: list[str], limit: int, missing: str) -> DataFrame:
     """The lines of ``pages`` (run_id, page_mode, page_url, page_snapshot, body; those that can be
-    read). ``bodies``: the columns ``on`` (link, and run_id if each run has its own), snapshot_id,
-    truncated, status_code and body. A link without a body is a calendar with the error ``missing``."""
+    read). ``answers``: the columns ``on`` (link, and run_id if each run has its own), snapshot_id,
+    truncated and status_code, and their body unless ``bodies`` (id, body) has it under snapshot_id. A
+    link without a body is a calendar with the error ``missing``."""
     rows = source_page_rows(pages, ("run_id", "page_snapshot"), limit)
-    b = bodies.select(*(F.col(c).alias(f"_{c}") for c in on), F.col("snapshot_id").alias("_snapshot"), "truncated", "status_code", F.col("body").alias("_body"))
+    own = [F.col("body").alias("_body")] if bodies is None else []
+    b = answers.select(*(F.col(c).alias(f"_{c}") for c in on), F.col("snapshot_id").alias("_snapshot"), "truncated", "status_code", *own)
     link = F.col("_link") == trim(F.col("url"))
     same = (F.col("kind") == "link") & (link & (F.col("_run_id") == F.col("run_id")) if "run_id" in on else link)
     joined = rows.join(b, same, "left")
+    if bodies is not None:
+        joined = with_bodies(joined, "_snapshot", bodies, "_body", outer=True)
     is_link = F.col("kind") == "link"
     trouble = F.when(is_link, F.when(F.col("_body").isNull(), missing).otherwise(_trouble("ICS", F.col("truncated"), F.col("status_code"))))
     snapshot = F.when(is_link, F.col("_snapshot")).otherwise(F.col("page_snapshot"))
@@ -110,9 +116,10 @@ def summarised(pages: DataFrame, lines: DataFrame, replaying: bool) -> DataFrame
     )
 
 
-def replay(runs: DataFrame, snapshots: DataFrame, registry: DataFrame, limit: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Report:
+def replay(runs: DataFrame, snapshots: DataFrame | Shelf, registry: DataFrame, limit: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Report:
     """Replays every run of ``runs`` (id, finished_at, status) from its ``snapshots`` (id,
-    import_run_id, source_name, source_url, captured_at, payload), without writing anything.
+    import_run_id, source_name, source_url, captured_at, payload) or, with less to do, from a shelf of
+    them. Writes nothing.
 
     A run is refused if it is unfinished, not succeeded or without snapshots, if any of its envelopes
     is broken, if it has not exactly one page snapshot of a source in ``registry``, if two snapshots
@@ -120,13 +127,14 @@ def replay(runs: DataFrame, snapshots: DataFrame, registry: DataFrame, limit: in
     them and read them back or persist them, for callers who use both parts of the report.
     """
     limit = run_ops.run_limit(limit, replay=True)
-    guard = replayable(runs, snapshots).withColumnRenamed("id", "run_id")
-    decoded = unseal(snapshots.withColumnRenamed("import_run_id", "run_id"))
+    shelf = snapshots if isinstance(snapshots, Shelf) else unsealed(snapshots)
+    guard = replayable(runs, shelf.heads).withColumnRenamed("id", "run_id")
+    heads = shelf.heads.withColumnRenamed("import_run_id", "run_id")
     r = registry.select("key", F.col("name").alias("_name"), F.col("url").alias("_url"), "page_mode")
     match = (trim(F.col("source_name")) == F.col("_name")) & (trim(F.col("source_url")) == F.col("_url")) & (trim(F.col("metadata.url")) == F.col("_url"))
-    known = decoded.join(r, match, "left")
+    known = heads.join(r, match, "left")
     keys = F.array_distinct(F.filter(F.array(trim(F.col("metadata.url")), trim(F.col("metadata.final_url"))), lambda u: u.isNotNull() & (u != "")))
-    # One pass over the envelopes judges the runs; it gathers ids and addresses, no bodies.
+    # One pass over the heads judges the runs; it gathers ids and addresses.
     judged = known.groupBy("run_id").agg(
         F.min(F.when(F.col("error").isNotNull(), F.struct("captured_at", "id", "error")))["error"].alias("broken"),
         F.count("key").alias("pages"),
@@ -139,12 +147,13 @@ def replay(runs: DataFrame, snapshots: DataFrame, registry: DataFrame, limit: in
     refused = F.coalesce(F.col("error"), F.col("broken"), F.when(F.col("pages") == 0, "no source page snapshot").when(F.col("pages") > 1, "several source page snapshots"))
     v = v.select("run_id", refused.alias("refused"), "page", "twice")
     good = v.filter("refused is null").select("run_id", "page")
-    own = decoded.join(good, "run_id")
+    own = heads.join(good, "run_id")
     url = first_non_empty(F.col("metadata.final_url"), F.col("metadata.url"))
-    page = own.filter("id = page.id").select("run_id", F.col("page.key").alias("source"), F.col("page._url").alias("source_url"), F.col("page.page_mode").alias("page_mode"), url.alias("page_url"), F.col("id").alias("page_snapshot"), "body", _trouble("source page", F.col("truncated"), F.col("metadata.status_code")).alias("trouble"))
+    page = own.filter("id = page.id").select("run_id", F.col("page.key").alias("source"), F.col("page._url").alias("source_url"), F.col("page.page_mode").alias("page_mode"), url.alias("page_url"), F.col("id").alias("page_snapshot"), _trouble("source page", F.col("truncated"), F.col("metadata.status_code")).alias("trouble"))
     link = F.explode(keys).alias("link")
-    bodies = own.filter("id != page.id").select("run_id", link, F.col("id").alias("snapshot_id"), "truncated", F.col("metadata.status_code").alias("status_code"), "body").dropDuplicates(["run_id", "link"])
-    lines = keep(parsed_lines(page.filter("trouble is null"), bodies, ["run_id", "link"], limit, "missing"))
+    answers = own.filter("id != page.id").select("run_id", link, F.col("id").alias("snapshot_id"), "truncated", F.col("metadata.status_code").alias("status_code")).dropDuplicates(["run_id", "link"])
+    pages = with_bodies(page.filter("trouble is null"), "page_snapshot", shelf.bodies)
+    lines = keep(parsed_lines(pages, answers, shelf.bodies, ["run_id", "link"], limit, "missing"))
     summary = summarised(page.select("run_id", "source", "source_url", "page_mode", "trouble", F.lit(True).alias("stored")), lines, replaying=True)
     whole = v.select("run_id", "refused", "twice").join(summary, "run_id", "left")
     late = F.when(F.coalesce("twice", F.lit(False)) & (F.col("links") > 0), "duplicate ICS snapshot address").when(F.col("missing") > 0, "missing ICS snapshot")
@@ -166,7 +175,7 @@ def ingest(wanted: DataFrame, landed: DataFrame, registry: DataFrame, limit: int
     page = page.withColumn("trouble", F.coalesce(missing, _trouble("source page", F.col("truncated"), F.col("status_code")))).withColumn("page_url", first_non_empty(F.col("final_url"), F.col("source_url")))
     page = page.withColumn("stored", F.col("body").isNotNull()).withColumn("page_snapshot", F.lit(0).cast("long"))
     bodies = files.select("link", F.lit(0).cast("long").alias("snapshot_id"), "truncated", "status_code", "body")
-    lines = keep(parsed_lines(page.filter("trouble is null"), bodies, ["link"], limit, "ICS did not land"))
+    lines = keep(parsed_lines(page.filter("trouble is null"), bodies, None, ["link"], limit, "ICS did not land"))
     summary = summarised(page.select("run_id", "source", "source_url", "page_mode", "trouble", "stored"), lines, replaying=False)
     return Report(summary.drop("missing").withColumn("refused", F.lit(None).cast("string")), lines)
 

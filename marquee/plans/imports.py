@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from marquee.operators import replay, runs
 from marquee.plans import model
 from marquee.plans.registry import query
 from marquee.sources import envelope, extract
+from marquee.store.place import written
+from marquee.store.shelf import shelve
 
 _RUN = ("id", "started_at", "finished_at", "status", "snapshot_count")
 
@@ -145,8 +149,8 @@ def source_page(spark, sf_dir):
 
 
 def _replayed(spark, sf_dir) -> replay.Report:
-    stored = model.stored_snapshots(spark, sf_dir).persist()  # stands for a stored table
-    return replay.replay(model.runs(spark, sf_dir), stored, model.run_sources(spark), 50, keep=DataFrame.persist)
+    shelf = shelve(model.stored_snapshots(spark, sf_dir), f"shelf_{uuid.uuid4().hex}")
+    return replay.replay(model.runs(spark, sf_dir), shelf, model.run_sources(spark), 50, keep=partial(written, name="lines"))
 
 
 _REPORT = ("run_id", "refused", "links", "snapshots", "candidates", "skips", "errors", "status", "notes")
