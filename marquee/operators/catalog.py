@@ -25,8 +25,12 @@ def by_slug(table: DataFrame, slug: str) -> DataFrame:
 
 def ensure_source(sources: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sources`` with the (name, url) of ``wanted`` that it lacks, ids going on from the largest."""
-    new = wanted.select("name", "url").distinct().join(sources, ["name", "url"], "left_anti")
-    return sources.unionByName(with_ids(new, sources).select(sources.columns))
+    return sources.unionByName(new_sources(sources, wanted, sources).select(sources.columns))
+
+
+def new_sources(sources: DataFrame, wanted: DataFrame, numbered: DataFrame) -> DataFrame:
+    """id, name and url of those of ``wanted`` that ``sources`` lacks; ids go on from those of ``numbered``."""
+    return with_ids(wanted.select("name", "url").distinct().join(sources, ["name", "url"], "left_anti"), numbered)
 
 
 def with_ids(rows: DataFrame, table: DataFrame, buckets: int = 1024) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.text import field_label, first_non_empty, origin_run_id, slug, trim
 from marquee.functions.time import parse_rfc3339, rfc3339
-from marquee.operators.catalog import ensure_source, latest, with_ids
+from marquee.operators.catalog import latest, new_sources, with_ids
 from marquee.operators.runs import positive
 
 #: The canonical fields, in order.
@@ -156,11 +156,16 @@ def _touched(groups: DataFrame, ids: DataFrame, now: Column, status: str | None
 def save_draft(store: Store, candidates: DataFrame, wanted: DataFrame, now: Column) -> tuple[Store, DataFrame]:
     """The store with the choices ``wanted`` (group_id, field, candidate_id), and group_id and error of
     each group asked for. A group takes all of its choices or, if any is in error, none."""
-    checked = checked_choices(wanted, store.groups, candidates)
+    good, fine, outcome = drafted(store.groups, candidates, wanted)
+    return store._replace(choices=_upserted_choices(store.choices, good, now), groups=_touched(store.groups, fine, now)), outcome
+
+
+def drafted(groups: DataFrame, candidates: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The choices that save_draft() saves, the groups (group_id) that take them, and its outcome."""
+    checked = checked_choices(wanted, groups, candidates)
     outcome = checked.groupBy("group_id").agg(F.max("error").alias("error"))
     fine = outcome.filter("error is null").select("group_id")
-    good = checked.join(fine, "group_id", "left_semi").dropDuplicates(["group_id", "field"])
-    return store._replace(choices=_upserted_choices(store.choices, good, now), groups=_touched(store.groups, fine, now)), outcome
+    return checked.join(fine, "group_id", "left_semi").dropDuplicates(["group_id", "field"]), fine, outcome
 
 
 def resolve(store: Store, candidates: DataFrame, wanted: DataFrame, now: Column) -> tuple[Store, DataFrame]:
@@ -174,8 +179,22 @@ def resolve(store: Store, candidates: DataFrame, wanted: DataFrame, now: Column)
     checked = checked_choices(wanted, store.groups, candidates)
     events = publishable(resolved_events(checked, store.groups, now), store.venues)
     outcome = events.select("group_id", "slug", "error")
+    made, placed = placed_events(store, events, store.sources, store.events)
+    kept = store.events.join(placed.select("slug"), "slug", "left_anti")
+    fine = outcome.filter("error is null").select("group_id")
+    choices = _upserted_choices(store.choices, checked.join(fine, "group_id", "left_semi"), now)
+    sources = store.sources.unionByName(made.select(store.sources.columns))
+    events_now = kept.select(*store.events.columns).unionByName(placed)
+    return store._replace(groups=_touched(store.groups, fine, now, "resolved"), choices=choices, sources=sources, events=events_now), outcome
+
+
+def placed_events(store: Store, events: DataFrame, source_ids: DataFrame, event_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sources that the good ones of publishable() ``events`` make, and the rows that these are in the
+    catalogue. Of the store only rows with their slugs, and sources with their names, are needed; new ids go on
+    from those of ``source_ids`` and ``event_ids``."""
     good = events.filter("error is null")
-    sources = ensure_source(store.sources, good.select(F.col("source_name").alias("name"), F.col("source_url").alias("url")))
+    made = new_sources(store.sources, good.select(F.col("source_name").alias("name"), F.col("source_url").alias("url")), source_ids)
+    sources = store.sources.select("id", "name", "url").unionByName(made.select("id", "name", "url"))
     ids = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("url").alias("source_url"))
     rows = latest(good.drop("error"), ["slug"], "group_id").join(ids, ["source_name", "source_url"])
     own = store.events.select("slug", F.col("id").alias("_id"))
@@ -183,12 +202,8 @@ def resolve(store: Store, candidates: DataFrame, wanted: DataFrame, now: Column)
     columns = [c for c in store.events.columns if c != "id"]
     have = [F.col(c) if c in placed.columns else F.lit(None).alias(c) for c in columns]
     old = placed.filter("_id is not null").select(F.col("_id").alias("id"), *have)
-    new = with_ids(placed.filter("_id is null").select(*have), store.events)
-    kept = store.events.join(rows.select("slug"), "slug", "left_anti")
-    events_now = kept.select("id", *columns).unionByName(old).unionByName(new.select("id", *columns))
-    fine = outcome.filter("error is null").select("group_id")
-    choices = _upserted_choices(store.choices, checked.join(fine, "group_id", "left_semi"), now)
-    return store._replace(groups=_touched(store.groups, fine, now, "resolved"), choices=choices, sources=sources, events=events_now.select(*store.events.columns)), outcome
+    new = with_ids(placed.filter("_id is null").select(*have), event_ids)
+    return made, old.unionByName(new.select("id", *columns)).select(*store.events.columns)
 
 
 def candidate_label(position: Column, external_id: Column) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from marquee.functions.text import FIELD_LABELS, candidate_fingerprint, staging_key
 from marquee.functions.time import rfc3339
-from marquee.operators import reviews, staging
+from marquee.operators import desk, reviews, staging
 from marquee.operators.catalog import events_star
 from marquee.plans import model
 from marquee.plans.registry import query
+from marquee.store.place import new_path
 
 _GROUP = ("id", "title", "status", "updated_at", "candidate_count", "draft_count")
 _COUNTED = f"{model.SQL} SELECT {', '.join(_GROUP)}"
@@ -130,6 +131,31 @@ def save_draft(spark, sf_dir):
     return after.choices
 
 
+@query(f"""{_RESOLVED}, went AS (SELECT group_id FROM resolved WHERE error IS NULL), draft AS (SELECT c.group_id, c.field, c.candidate_id, v.value FROM choice c JOIN grp ON grp.id = c.group_id AND grp.status = 'open'
+  JOIN (SELECT group_id, id, unnest([{", ".join(f"'{f}'" for f in reviews.FIELDS)}]) AS field, unnest([{", ".join(reviews.FIELDS)}]) AS value FROM candidate) v ON v.group_id = c.group_id AND v.id = c.candidate_id AND v.field = c.field WHERE c.group_id % 10 = 1 OR c.group_id % 3 = 0)
+SELECT 'group' AS kind, CAST(grp.id AS VARCHAR) AS key, CASE WHEN grp.id IN (SELECT group_id FROM went) THEN 'resolved 2026-04-19T09:00:00Z' WHEN grp.id IN (SELECT group_id FROM draft) THEN grp.status || ' 2026-04-18T09:00:00Z' WHEN grp.id % 7 = 0 AND grp.id % 3 > 0 AND grp.id % 10 <> 1 AND grp.status = 'open' THEN 'rejected 2026-04-20T09:00:00Z' ELSE grp.status || ' ' || updated_at END AS value FROM grp
+UNION ALL SELECT 'choice', choice.group_id || ' ' || choice.field, CASE WHEN draft.group_id IS NULL THEN '0 old' ELSE draft.candidate_id || ' ' || draft.value END FROM choice LEFT JOIN draft ON draft.group_id = choice.group_id AND draft.field = choice.field
+UNION ALL SELECT 'event', slug, name || ' ' || start_at FROM listing UNION ALL SELECT 'event', slug, name || ' ' || start_at FROM resolved WHERE error IS NULL""")
+def compacted_store(spark, sf_dir):
+    """The store after a draft, a resolution, a rejection and the compaction of every second bucket."""
+    old = _store(spark, sf_dir)
+    store = desk.open_desk(spark, new_path(spark, "desk"), 16)
+    tables = old._replace(choices=old.choices.withColumn("candidate_id", F.lit(0).cast("long")))._asdict()
+    store.create(tables | {"candidates": model.candidates(spark, sf_dir)})
+    choices, groups = model.choices(spark, sf_dir), tables["groups"]
+    desk.save_draft(store, choices.filter("group_id % 10 = 1 or group_id % 3 = 0"), F.lit("2026-04-18T09:00:00Z"))
+    desk.resolve(store, choices.filter("group_id % 10 = 1"), F.lit(_NOW))
+    left = "id % 7 = 0 and id % 3 != 0 and id % 10 != 1"
+    desk.reject(store, groups.filter(left).select(F.col("id").alias("group_id")), F.lit("2026-04-20T09:00:00Z"))
+    for name in ("groups", "choices", "events"):
+        store.compact(name, list(range(0, store.buckets, 2)))
+    last = store.manifest()
+    text = lambda *c: F.concat_ws(" ", *(F.col(x).cast("string") for x in c))
+    shown = {"group": ("groups", ("id",), ("status", "updated_at")), "choice": ("choices", ("group_id", "field"), ("candidate_id", "value")), "event": ("events", ("slug",), ("name", "start_at"))}
+    parts = [store.rows(t, last).select(F.lit(kind).alias("kind"), text(*key).alias("key"), text(*value).alias("value")) for kind, (t, key, value) in shown.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _LABEL = "CASE d.field " + " ".join(f"WHEN '{f}' THEN '{x}'" for f, x in FIELD_LABELS.items()) + " END"
 
 

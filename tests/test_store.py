@@ -62,3 +62,181 @@ def test_rows_without_a_snapshot_keep_their_place(spark):
     got = with_bodies(rows, "snap", bodies, "found", outer=True)
     assert sorted((r.body, bytes(r.found) if r.found else None) for r in got.collect()) == [("a", b"one"), ("b", None), ("b", None), ("c", None), ("d", b"five")]
     assert with_bodies(rows, "snap", bodies, "found").count() == 2
+
+
+# versions
+
+NOW = F.lit  # a time as a column
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    from marquee.store.versioned import Kind, Store
+
+    s = Store(spark, str(tmp_path / "store"), {"t": Kind(("id",), "id", numbered=True), "u": Kind(("k", "n"), "k")}, 8)
+    s.create({"t": spark.range(40).select("id", F.lit("old").alias("x")), "u": spark.createDataFrame([("a", 1, "p"), ("b", 1, "q")], "k string, n int, x string")})
+    return s
+
+
+def content(store, name, version=None, buckets=None):
+    return sorted(map(tuple, store.rows(name, store.manifest(version), buckets).collect()))
+
+
+def row(spark, *rows):
+    return spark.createDataFrame(list(rows), "id long, x string")
+
+
+def bucket_of(spark, store, i):
+    return row(spark, (i, "")).select(store.bucket("t")).first()[0]
+
+
+def test_versions_are_read_as_they_were(spark, store):
+    t = store.begin()
+    assert t.commit({"t": row(spark, (3, "new"), (99, "made")), "u": spark.createDataFrame([("a", 1, None, True), ("c", 5, "r", False)], "k string, n int, x string, _deleted boolean")}) == 1
+    assert content(store, "t", 0) == [(i, "old") for i in range(40)]
+    assert content(store, "t") == sorted([(i, "new" if i == 3 else "old") for i in range(40)] + [(99, "made")])
+    assert content(store, "u") == [("b", 1, "q"), ("c", 5, "r")] and store.begin().top("t").first().id == 99
+    later = store.begin()
+    assert later.commit({"t": row(spark, (3, "newest"))}) == 2 and (3, "newest") in content(store, "t") and (3, "new") in content(store, "t", 1)
+
+
+def test_a_batch_on_one_bucket_rewrites_one(spark, store):
+    b = bucket_of(spark, store, 7)
+    assert store.begin().commit({"t": row(spark, (7, "new"))}) == 1
+    before = store.manifest()["tables"]["t"]
+    assert before["deltas"][0]["buckets"] == [b] and before["base"] == store.manifest(0)["tables"]["t"]["base"]
+    assert store.compact("t") == [b] and store.compact("t") == []
+    after = store.manifest()["tables"]["t"]
+    assert not after["deltas"] and {k for k in after["base"] if after["base"][k] != before["base"][k]} == {str(b)}
+    assert content(store, "t") == sorted((i, "new" if i == 7 else "old") for i in range(40)) and len(content(store, "t", 0)) == 40
+    deltas = store.begin()
+    deltas.commit({"t": row(spark, (1, "n"), (2, "n"), (3, "n"), (4, "n"))})
+    some = sorted({bucket_of(spark, store, i) for i in (1, 2)})
+    assert store.compact("t", some) == some and [x for _, x in content(store, "t")].count("n") == 4
+
+
+def test_reads_and_writes_touch_only_their_buckets(spark, store):
+    t = store.begin()
+    files = t.rows("t", row(spark, (7, ""), (7, ""), (None, "")).select("id")).inputFiles()
+    assert files and all(f"bucket={bucket_of(spark, store, 7)}/" in f for f in files)
+    assert t.read == {"t": {bucket_of(spark, store, 7)}}
+
+
+def test_a_crash_before_the_manifest_changes_nothing(spark, store, monkeypatch):
+    from marquee.store.versioned import Store
+
+    def lost(self, manifest):
+        raise OSError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", lost)
+        with pytest.raises(OSError):
+            store.begin().commit({"t": row(spark, (3, "half")), "u": spark.createDataFrame([("a", 1, "half")], "k string, n int, x string")})
+        with pytest.raises(OSError):
+            store.compact("t", [0])  # nothing to do, so no manifest
+            store.begin().commit({"t": row(spark, (4, "half"))})
+    again = Store(spark, store.root, store.kinds, store.buckets)
+    assert again.versions() == [0] and content(again, "t") == [(i, "old") for i in range(40)] and content(again, "u") == [("a", 1, "p"), ("b", 1, "q")]
+    assert again.begin().commit({"t": row(spark, (3, "whole"))}) == 1
+
+
+def test_of_two_writers_one_is_refused(spark, store):
+    from marquee.store.versioned import Conflict, transact
+
+    a, b = store.begin(), store.begin()
+    keys = row(spark, (7, "")).select("id")
+    a.rows("t", keys), b.rows("t", keys)
+    assert a.commit({"u": spark.createDataFrame([("z", 1, "a")], "k string, n int, x string"), "t": row(spark, (7, "a"))}) == 1
+    with pytest.raises(Conflict):
+        b.commit({"t": row(spark, (7, "b"))})
+    assert (7, "a") in content(store, "t") and store.versions() == [0, 1]
+    tried = []
+
+    def batch(t):
+        tried.append(t.began["version"])
+        if len(tried) == 1:
+            store.begin().commit({"t": row(spark, (8, "between"))})
+        return {"t": row(spark, (8, "last"))}
+
+    assert transact(store, batch) == 3 and tried == [1, 2] and (8, "last") in content(store, "t")
+    with pytest.raises(Conflict):
+        transact(store, lambda t: (store.begin().commit({"t": row(spark, (8, "x"))}), {"t": row(spark, (8, "y"))})[1], tries=1)
+
+
+def test_writers_of_other_buckets_both_commit(spark, store):
+    keys = [spark.createDataFrame([(k, 1, "w")], "k string, n int, x string") for k in ("a", "b", "d", "e", "f")]
+    where = [k.select(store.bucket("u")).first()[0] for k in keys]
+    other = next(i for i, b in enumerate(where) if b != where[0])
+    first, second = store.begin(), store.begin()
+    assert first.commit({"u": keys[0]}) == 1 and second.commit({"u": keys[other]}) == 2
+    assert {("abdef"[0], 1, "w"), ("abdef"[other], 1, "w")} <= set(content(store, "u"))
+
+
+def test_many_writers_at_once(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from marquee.store.versioned import transact
+
+    def add(i):
+        def batch(t):
+            (old,) = t.rows("u", spark.createDataFrame([("a",)], "k string")).filter("k = 'a'").collect()
+            return {"u": spark.createDataFrame([("a", 1, old.x + str(i))], "k string, n int, x string")}
+
+        return transact(store, batch, tries=20)
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = sorted(pool.map(add, range(4)))
+    ((_, _, text),) = [r for r in content(store, "u") if r[0] == "a"]
+    assert versions == [1, 2, 3, 4] and sorted(text) == sorted("p0123")
+
+
+def test_vacuum_keeps_what_is_read(spark, store):
+    for i in range(3):
+        store.begin().commit({"t": row(spark, (i, "new"))})
+        store.compact("t")
+    whole = content(store, "t")
+    assert store.vacuum(2) > 0 and store.versions() == [5, 6] and content(store, "t") == whole == content(store, "t", 6)
+    assert len(content(store, "u")) == 2 and store.vacuum(2) == 0
+
+
+def test_store_edges(spark, store, tmp_path):
+    from marquee.store.versioned import Conflict, Store
+
+    with pytest.raises(ValueError, match="no key"):
+        store.begin().commit({"t": row(spark, (None, "x"))})
+    assert store.versions() == [0]
+    assert store.begin().commit({"t": row(spark).filter("false")}) == 1 and len(content(store, "t")) == 40
+    with pytest.raises(Conflict):
+        store.create({})
+    with pytest.raises(LookupError):
+        Store(spark, str(tmp_path / "none"), store.kinds).manifest()
+    assert content(store, "t", buckets=[]) == []
+    assert store.begin().commit({"t": row(spark).withColumn("more", F.lit(1)).unionByName(row(spark, (1, "n")).withColumn("more", F.lit(2)))}) == 2
+
+
+def test_two_racing_resolves(spark, tmp_path):
+    """Of two batches that close one group, the second is refused and then told that it is closed."""
+    from marquee.operators import desk, reviews
+    from marquee.plans.review import _store
+    from marquee.store.versioned import Conflict
+
+    old = _store(spark, SF)
+    store = desk.open_desk(spark, str(tmp_path / "desk"), 8)
+    store.create(old._asdict() | {"candidates": model.candidates(spark, SF)})
+    wanted = model.choices(spark, SF).join(old.groups.filter("status = 'open' and id % 10 = 1").limit(1).select(F.col("id").alias("group_id")), "group_id", "left_semi").persist()
+    (group,) = [r.group_id for r in wanted.select("group_id").distinct().collect()]
+    now = F.lit("2026-04-19T09:00:00Z")
+    a, b = store.begin(), store.begin()
+    told, changes = desk.resolving(a, wanted, now)
+    assert told.first().error is None
+    a.commit(changes)
+    with pytest.raises(Conflict):
+        b.commit(desk.resolving(b, wanted, now)[1])
+    assert [r.error for r in desk.resolve(store, wanted, now).collect()] == ["group is closed"]
+    # The old version has none of it, the new one all.
+    for version, status, more in ((0, "open", 0), (1, "resolved", 1)):
+        m = store.manifest(version)
+        assert store.rows("groups", m).filter(F.col("id") == group).first().status == status
+        assert store.rows("events", m).count() == old.events.count() + more
+        assert store.rows("choices", m).filter((F.col("group_id") == group) & (F.col("updated_at") == "2026-04-19T09:00:00Z")).count() == 9 * more
+    assert store.rows("groups", store.manifest()).count() == old.groups.count() and reviews.FIELDS
