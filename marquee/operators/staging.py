@@ -84,19 +84,29 @@ def clustered(rows: DataFrame) -> DataFrame:
     ).orderBy("run_id", "ordinal")
 
 
-def staged(groups: DataFrame, clusters: DataFrame) -> DataFrame:
+def source_error() -> Column:
+    return F.when(trim(F.col("source_name")) == "", "review source name is required").when(trim(F.col("source_url")) == "", "review source URL is required")
+
+
+def key_id(key: Column) -> Column:
+    """An id that a staging key gives by itself, whoever stages it: 60 bits of its hash. Of a billion groups
+    two have the same with a probability of 0.4; catalog.duplicates() tells."""
+    return F.conv(F.substring(F.sha2(F.coalesce(key, F.lit("")), 256), 1, 15), 16, 10).cast("long")
+
+
+def staged(groups: DataFrame, clusters: DataFrame, ids_by_key: bool = False) -> DataFrame:
     """``clusters`` (as clustered() gives them) with id, result (created or reused) and error.
 
     A staging key that ``groups`` (id, staging_key) has, whatever the group's status, is reused, and so
-    is one that an earlier cluster of the batch creates. A blank source is an error and gets no id.
+    is one that an earlier cluster of the batch creates. A blank source is an error and gets no id. New ids
+    go on from the largest or, with ``ids_by_key``, come from the staging key.
     """
-    error = F.when(trim(F.col("source_name")) == "", "review source name is required").when(trim(F.col("source_url")) == "", "review source URL is required")
-    told = clusters.withColumn("error", error)
+    told = clusters.withColumn("error", source_error())
     first = Window.partitionBy("staging_key").orderBy("run_id", "ordinal")
     good = told.filter("error is null").withColumn("nth", F.row_number().over(first))
     own = groups.filter("staging_key is not null").groupBy("staging_key").agg(F.min("id").alias("own_id"))
     fresh = good.filter("nth = 1").select("staging_key").join(own, "staging_key", "left_anti")
-    made = with_ids(fresh, groups).withColumnRenamed("id", "new_id")
+    made = fresh.withColumn("new_id", key_id(F.col("staging_key"))) if ids_by_key else with_ids(fresh, groups).withColumnRenamed("id", "new_id")
     known = good.join(own, "staging_key", "left").join(made, "staging_key", "left")
     result = F.when(F.col("own_id").isNull() & (F.col("nth") == 1), "created").otherwise("reused")
     out = known.select(*clusters.columns, F.coalesce("own_id", "new_id").alias("id"), result.alias("result"), "error")

@@ -11,6 +11,7 @@ from marquee.operators.catalog import events_star
 from marquee.plans import model
 from marquee.plans.registry import query
 from marquee.store.place import new_path
+from marquee.streaming.staging import flat, settled, start_staging
 
 _GROUP = ("id", "title", "status", "updated_at", "candidate_count", "draft_count")
 _COUNTED = f"{model.SQL} SELECT {', '.join(_GROUP)}"
@@ -229,3 +230,22 @@ def stage_groups(spark, sf_dir):
     done = staging.staged(groups, found)
     first = F.col("ordinal.calendar") * 1000000000 + F.col("ordinal.candidate")
     return done.select("run_id", first.alias("first"), "n_candidates", "result", "staging_key")
+
+
+@query(f"""SELECT run_id, first, CASE WHEN run_id % 2 = 0 OR nth > 1 THEN 'reused' ELSE 'created' END AS result, CASE WHEN old = 0 THEN CAST('0x' || substr(sha256(staging_key), 1, 15) AS BIGINT) ELSE length(staging_key) + CAST('0x' || substr(staging_key, 4, 10) AS BIGINT) END AS id, staging_key FROM (
+SELECT *, row_number() OVER (PARTITION BY staging_key ORDER BY run_id, first) AS nth, count(*) FILTER (run_id % 2 = 0) OVER (PARTITION BY staging_key) AS old FROM ({_CLUSTERS})) WHERE old = 0 OR run_id % 2 = 0
+UNION ALL SELECT run_id, first, 'reused', length(staging_key) + CAST('0x' || substr(staging_key, 4, 10) AS BIGINT), staging_key FROM (SELECT *, count(*) FILTER (run_id % 2 = 0) OVER (PARTITION BY staging_key) AS old FROM ({_CLUSTERS})) WHERE old > 0 AND run_id % 2 = 1""")
+def staged_stream(spark, sf_dir):
+    """stage_groups as a stream: its clusters in four files, dealt by hash, in batches of one and with a
+    restart after the second."""
+    found = staging.clustered(model.run_candidates(spark, sf_dir))
+    number = F.length("staging_key") + F.conv(F.substring("staging_key", 4, 10), 16, 10).cast("long")
+    groups = found.filter("run_id % 2 = 0").select("staging_key").distinct().withColumn("id", number)
+    rows = flat(found).withColumn("_part", F.pmod(F.xxhash64("run_id", "calendar", "candidate"), F.lit(4)))
+    folder, out, checkpoint = (new_path(spark, f"stage-{x}") for x in ("in", "out", "state"))
+    rows = rows.repartition(4, "_part").cache()
+    for parts in ("_part < 2", "_part >= 2"):
+        rows.filter(parts).drop("_part").write.mode("append").parquet(folder)
+        start_staging(spark, folder, groups, out, checkpoint, 1).awaitTermination()
+    rows.unpersist()
+    return settled(spark.read.parquet(out)).select("run_id", (F.col("calendar") * 1000000000 + F.col("candidate")).alias("first"), "result", "id", "staging_key")
