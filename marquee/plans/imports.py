@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from marquee.operators import replay, runs
 from marquee.plans import model
 from marquee.plans.registry import query
-from marquee.sources import envelope, extract
-from marquee.store.place import written
+from marquee.sources import envelope, exchanges, extract
+from marquee.store.place import new_path, written
 from marquee.store.shelf import shelve
 
 _RUN = ("id", "started_at", "finished_at", "status", "snapshot_count")
@@ -223,3 +223,31 @@ def schema_org_pages(spark, sf_dir):
     page = F.concat(F.lit("<html><script type=\"application/ld+json\">"), F.to_json(F.struct(F.array(node).alias("@graph"))), F.lit("</script></html>"))
     files = o.select(F.concat(F.lit("https://p.test/"), text, F.lit("/")).alias("url"), F.encode(page, "UTF-8").alias("body"))
     return extract.jsonld_candidates(files, 20).select("url_of_body", "kind", "summary", "url", "start_at", "reason")
+
+
+@query("""WITH RECURSIVE chain AS (SELECT o_orderkey AS id, CAST(o_orderkey % 12 AS INT) AS n, o_orderkey % 13 = 0 AS round, o_orderkey % 17 = 0 AS gone FROM orders),
+hop AS (SELECT id, CAST(unnest(range(0, n)) AS INT) AS i, n, round FROM chain UNION ALL SELECT id, n, n, round FROM chain WHERE round),
+walk AS (SELECT id, 0 AS at, 0 AS hops FROM chain
+  UNION ALL SELECT w.id, CASE WHEN h.i = h.n THEN 0 ELSE h.i + 1 END, w.hops + 1 FROM walk w JOIN hop h ON h.id = w.id AND h.i = w.at WHERE w.hops < 30),
+last AS (SELECT id, max(hops) AS hops FROM walk GROUP BY id)
+SELECT c.id, CASE WHEN hops < 10 THEN 'https://x.test/' || c.id || '/' || n END AS final_url, CASE WHEN hops < 10 THEN CAST(hops AS BIGINT) END AS hops, CASE WHEN hops < 10 AND NOT gone THEN '200 OK' END AS status,
+  CASE WHEN hops < 10 AND NOT gone THEN 'page ' || c.id END AS body, CASE WHEN hops >= 10 THEN 'stopped after 10 redirects' WHEN gone THEN 'no recorded exchange' END AS error, round AS loop FROM chain c JOIN last ON last.id = c.id""")
+def fetch_results(spark, sf_dir):
+    """Fetches from recorded exchanges: for each order a chain of up to eleven redirects, some of them in a
+    circle and some that end at an address that was not recorded."""
+    o = model.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    n, text = (F.col("id") % 12).cast("int"), F.col("id").cast("string")
+    url = lambda i: F.concat(F.lit("https://x.test/"), text, F.lit("/"), i.cast("string"))
+    steps = o.select("id", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("i"))
+    i, end, circle = F.col("i"), F.col("i") == F.col("n"), F.col("id") % 13 == 0
+    onward = F.when(end, url(F.lit(0))).when(F.col("id") % 2 == 0, (i + 1).cast("string")).otherwise(url(i + 1))
+    moves = ~end | circle
+    rows = steps.filter(~(end & ~circle & (F.col("id") % 17 == 0))).select(
+        url(i).alias("url"), F.when(moves, "302 Found").otherwise("200 OK").alias("status"), F.when(moves, 302).otherwise(200).alias("status_code"), F.lit("text/plain").alias("content_type"), F.lit(-1).cast("long").alias("content_length"),
+        F.when(moves, onward).alias("location"), F.lit(None).cast("string").alias("target"), F.lit("2026-04-19T09:00:00Z").alias("captured_at"), F.encode(F.when(~moves, F.concat(F.lit("page "), text)).otherwise(""), "UTF-8").alias("body"))
+    exchanges.register(spark)
+    folder = new_path(spark, "exchanges")
+    rows.write.format("exchanges").mode("append").save(folder)
+    recorded, heads = (spark.read.format("exchanges").option("bodies", b).load(folder).filter(F.col("url").startswith("https://x.test/")) for b in (True, False))
+    got = exchanges.fetched(o.select("id", url(F.lit(0)).alias("url")), recorded, heads)
+    return got.select("id", "final_url", "hops", "status", F.decode("body", "UTF-8").alias("body"), "error", "loop")
