@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from marquee.functions import tables
 from marquee.operators import replay, runs
 from marquee.plans import model
 from marquee.plans.registry import query
@@ -251,3 +252,27 @@ def fetch_results(spark, sf_dir):
     recorded, heads = (spark.read.format("exchanges").option("bodies", b).load(folder).filter(F.col("url").startswith("https://x.test/")) for b in (True, False))
     got = exchanges.fetched(o.select("id", url(F.lit(0)).alias("url")), recorded, heads)
     return got.select("id", "final_url", "hops", "status", F.decode("body", "UTF-8").alias("body"), "error", "loop")
+
+
+@query("""WITH part AS (SELECT page_id, url, unnest(string_split(html, '<a ')) AS p, generate_subscripts(string_split(html, '<a '), 1) AS i FROM pages),
+link AS (SELECT page_id, i, substr(p, strpos(p, 'href="') + 6) AS h FROM part WHERE i > 1 AND strpos(p, 'href="') > 0 AND strpos(p, '</a>') > 0),
+found AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS position, substr(h, 1, strpos(h, '"') - 1) AS href FROM link)
+SELECT 'anchor' AS part, page_id, position, href AS value FROM found
+UNION ALL SELECT 'link', page_id, 0, 'https://cal.test/' || page_id || '.ics' FROM pages
+UNION ALL SELECT 'event', page_id, 0, 'Page ' || page_id || ' ' || CASE WHEN page_id % 3 = 0 THEN 'cancelled' ELSE '2026-05-01T19:00:00Z' END FROM pages
+UNION ALL SELECT 'node', page_id, 0, CASE WHEN page_id % 2 = 0 THEN 'Node ' || page_id || ' https://p.test/e' ELSE 'no schema.org Event objects found in application/ld+json' END FROM pages""")
+def lateral_extract(spark, sf_dir):
+    """The extractors in SQL, over pages to which a calendar link, a calendar and a script were added."""
+    tables.register(spark)
+    p = model.table(spark, sf_dir, "pages")
+    text = F.col("page_id").cast("string")
+    link = F.concat(F.lit("<a href='https://cal.test/"), text, F.lit(".ics'>Google Calendar ICS</a>"))
+    kind = F.when(F.col("page_id") % 2 == 0, "Event").otherwise("Person")
+    node = F.to_json(F.struct(kind.alias("@type"), F.concat(F.lit("Node "), text).alias("name"), F.lit("/e").alias("url"), F.lit("2026-05-10T19:30").alias("startDate"), F.lit("2026-05-10T23:00").alias("endDate"), F.lit("Hall").alias("location")))
+    calendar = F.concat(F.lit("BEGIN:VEVENT\nSUMMARY:Page "), text, F.lit("\nDTSTART:20260501T190000Z\n"), F.when(F.col("page_id") % 3 == 0, "STATUS:CANCELLED\n").otherwise(""), F.lit("END:VEVENT"))
+    rows = p.select("page_id", "html", F.concat("html", link).alias("linked"), F.concat("html", F.lit('<script type="application/ld+json">'), node, F.lit("</script>")).alias("scripted"), calendar.alias("calendar"))
+    return spark.sql("""
+        SELECT 'anchor' AS part, page_id, position, href AS value FROM {p}, LATERAL anchors(html)
+        UNION ALL SELECT 'link', page_id, position, link FROM {p}, LATERAL ics_links(linked, 'https://p.test/', 5)
+        UNION ALL SELECT 'event', page_id, ordinal, concat_ws(' ', summary, coalesce(start_at, reason)) FROM {p}, LATERAL ics_events(calendar)
+        UNION ALL SELECT 'node', page_id, ordinal, coalesce(reason, concat_ws(' ', summary, url)) FROM {p}, LATERAL schema_org_events(scripted, 'https://p.test/', 5)""", p=rows)
