@@ -66,6 +66,14 @@ def blank_label(x: Column) -> Column:
     return F.when(trim(x) == "", F.lit("(blank)")).otherwise(x)
 
 
+def origin_label(origin: Column) -> Column:
+    return F.when(origin == "seed", "Seed data").when(origin == "test", "Test data").when(origin == "dev", "Development data").otherwise("")
+
+
+def candidate_count_label(n: Column) -> Column:
+    return F.when(n == 1, "New listing review - 1 candidate").otherwise(F.concat(F.lit("Duplicate review - "), n.cast("string"), F.lit(" candidates")))
+
+
 def field_label(field: Column) -> Column:
     """The label of a canonical field; another name is its own label."""
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in FIELD_LABELS.items() for x in pair)), field), field)

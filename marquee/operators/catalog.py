@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marquee.functions.time import parse_rfc3339
+
 
 def events_star(events: DataFrame, venues: DataFrame, sources: DataFrame) -> DataFrame:
     """Events with their venue's slug and their source, ordered by start and slug. Spark broadcasts
@@ -88,15 +90,45 @@ def duplicates(table: DataFrame, *keys: str) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+#: What a store can have wrong, in the order in which it is told.
+PROBLEMS = ("event without venue", "event without source", "malformed event time", "repeated venue slug", "repeated event slug")
+
+
+def _flagged(events: DataFrame, venues: DataFrame, sources: DataFrame) -> DataFrame:
+    """``events`` with _no_venue, _no_source and _no_time."""
+    v = venues.select(F.col("id").alias("_venue")).distinct()
+    s = sources.select(F.col("id").alias("_source")).distinct()
+    joined = events.join(v, F.col("venue_id") == F.col("_venue"), "left").join(s, F.col("source_id") == F.col("_source"), "left")
+    bad = lambda c: parse_rfc3339(F.col(c)).isNull()
+    no_time = bad("start_at") | ((F.coalesce("end_at", F.lit("")) != "") & bad("end_at"))
+    return joined.withColumns({"_no_venue": F.col("_venue").isNull(), "_no_source": F.col("_source").isNull(), "_no_time": no_time}).drop("_venue", "_source")
+
+
+def store_report(events: DataFrame, venues: DataFrame, sources: DataFrame) -> DataFrame:
+    """problem, n and first (an id or slug) of everything that is wrong with a store, in one job: one pass over
+    the events with their parents, and counts by slug. Problems that there are none of have n 0."""
+    flags = dict(zip(PROBLEMS, ("_no_venue", "_no_source", "_no_time")))
+    sums = [F.struct(F.lit(p).alias("problem"), F.count_if(c).alias("n"), F.min(F.when(F.col(c), F.col("id"))).cast("string").alias("first")) for p, c in flags.items()]
+    report = _flagged(events, venues, sources).agg(F.array(*sums).alias("found")).select(F.inline("found"))
+    for problem, table in ((PROBLEMS[3], venues), (PROBLEMS[4], events)):
+        report = report.unionByName(duplicates(table, "slug").agg(F.lit(problem).alias("problem"), F.count("*").alias("n"), F.min("slug").alias("first")))
+    return report
+
+
 def validate_store(events: DataFrame, venues: DataFrame, sources: DataFrame) -> list[str]:
-    """What is wrong with a store: nothing, or dangling references and repeated slugs."""
-    checks = {
-        "event without venue": dangling(events, "venue_id", venues),
-        "event without source": dangling(events, "source_id", sources),
-        "repeated venue slug": duplicates(venues, "slug"),
-        "repeated event slug": duplicates(events, "slug"),
-    }
-    return [name for name, rows in checks.items() if not rows.isEmpty()]
+    """What is wrong with a store: nothing, or dangling references, times that can't be read and repeated slugs."""
+    wrong = {r.problem for r in store_report(events, venues, sources).filter("n > 0").collect()}
+    return [p for p in PROBLEMS if p in wrong]
+
+
+def write_events(events: DataFrame, venues: DataFrame, sources: DataFrame, path: str) -> dict[str, int]:
+    """Writes ``events`` and returns how many there are and how many have each of the first three PROBLEMS,
+    observed while they are written."""
+    seen = Observation("events")
+    flags = dict(zip(PROBLEMS, ("_no_venue", "_no_source", "_no_time")))
+    counted = _flagged(events, venues, sources).observe(seen, F.count("*").alias("events"), *(F.count_if(c).alias(p) for p, c in flags.items()))
+    counted.select(*events.columns).write.parquet(path)
+    return seen.get
 
 
 def valid_origin(x: Column) -> Column:

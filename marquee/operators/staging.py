@@ -126,6 +126,18 @@ def new_groups(staged_groups: DataFrame, now: Column) -> DataFrame:
     return made.select("id", title.alias("title"), trim(F.col("source_name")).alias("source_name"), trim(F.col("source_url")).alias("source_url"), F.lit("open").alias("status"), "notes", now.alias("created_at"), now.alias("updated_at"), "staging_key")
 
 
+def fixture_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """fixture_group() for each of many calendar files at once: ``rows`` are candidates with ``path`` and
+    ``candidate``. Groups by path, and candidates with their path and position. Files without one have none."""
+    url = F.concat(F.lit("file:"), "path")
+    group = rows.groupBy("path").agg(F.count("*").alias("n_candidates")).select("path", F.concat(F.lit("Fixture review: "), F.regexp_extract("path", "[^/]*$", 0)).alias("title"), F.lit("Fixture ICS").alias("source_name"), url.alias("source_url"), F.lit("Created from offline fixture.").alias("notes"), "n_candidates")
+    base = rows.withColumns({"run_id": F.lit(0).cast("long"), "calendar": F.col("path"), "calendar_url": url, "report_url": url, "source_name": F.lit("Fixture ICS")})
+    own = projected(base).withColumnRenamed("calendar", "path")
+    told = F.when(F.col("external_id") != "", F.concat(F.lit("fixture UID "), "external_id")).when(F.col("source_url") != F.concat(F.lit("file:"), "path"), F.concat(F.lit("fixture URL "), "source_url")).otherwise("fixture ICS")
+    placed = own.withColumn("provenance", told).withColumn("position", F.row_number().over(Window.partitionBy("path").orderBy("candidate")))
+    return group, placed.drop("run_id", "key", "candidate", "group_url")
+
+
 def fixture_group(rows: DataFrame, path: str, title: str = "") -> tuple[DataFrame, DataFrame]:
     """All candidates of a calendar file (the extracted fields and ``candidate``, their order) as one
     group: the group and its candidates. Raises ValueError if there is none."""

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with their SQL."""
 
-from marquee.plans import imports, listings, review
+from marquee.plans import checks, imports, listings, review
 from marquee.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "imports", "listings", "review"]
+__all__ = ["ORACLES", "QUERIES", "checks", "imports", "listings", "review"]

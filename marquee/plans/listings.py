@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.text import first_non_empty, folded, origin_run_id, slug, strip_tags, venue_slug
+from marquee.functions.text import first_non_empty, folded, origin_label, origin_run_id, slug, strip_tags, venue_slug
 from marquee.functions.time import labels, local_day
 from marquee.operators import calendar, catalog
 from marquee.plans import model
@@ -108,16 +108,17 @@ def ensure_source(spark, sf_dir):
     return found.join(per_id, "id").crossJoin(n).select("name", "url", F.when(F.col("id") < 25, F.col("id")).alias("known_id"), "n", F.col("id").between(0, F.col("n") - 1).alias("in_range"), "with_id")
 
 
-@query("""SELECT *, CASE venue_slug WHEN 'leadmill' THEN 'https://leadmill.co.uk/events/live-music/' WHEN 'yellow-arch' THEN 'https://www.yellowarch.com/events/' ELSE 'https://www.sidneyandmatilda.com/' END AS source_url,
-CASE venue_slug WHEN 'leadmill' THEN 1 WHEN 'yellow-arch' THEN 2 ELSE 3 END AS venue_id, 'Listed' AS status, 'seed' AS origin, '2026-04-19T09:00:00Z' AS last_checked_at FROM (VALUES
-(1, 'matinee-noise-at-the-leadmill', 'leadmill', 'Matinee Noise', 'Indie / alt', '2026-05-08T18:30:00Z', '2026-05-08T22:00:00Z', 'The Leadmill live music listings'),
-(2, 'neepsend-afterhours', 'yellow-arch', 'Abbeydale Afterhours', 'Jazz / soul', '2026-05-14T19:00:00Z', '2026-05-14T22:30:00Z', 'Yellow Arch what''s on'),
-(3, 'courtyard-wildcards', 'sidney-and-matilda', 'Courtyard Wildcards', 'Punk / garage', '2026-05-22T17:45:00Z', '2026-05-22T21:45:00Z', 'Sidney & Matilda listings'),
-(4, 'leadmill-late-room', 'leadmill', 'Late Room', 'DJ / club', '2026-06-05T21:00:00Z', '2026-06-06T00:00:00Z', 'The Leadmill live music listings')) AS t(id, slug, venue_slug, name, genre, start_at, end_at, source_name)""")
+@query(f"""{model.SQL} SELECT slug, venue_slug, name, genre, start_at, end_at, source_name, source_url, '' AS origin FROM star UNION ALL
+SELECT slug, venue_slug, name, genre, start_at, end_at, source_name, CASE venue_slug WHEN 'leadmill' THEN 'https://leadmill.co.uk/events/live-music/' WHEN 'yellow-arch' THEN 'https://www.yellowarch.com/events/' ELSE 'https://www.sidneyandmatilda.com/' END, 'Seed data' FROM (VALUES
+('matinee-noise-at-the-leadmill', 'leadmill', 'Matinee Noise', 'Indie / alt', '2026-05-08T18:30:00Z', '2026-05-08T22:00:00Z', 'The Leadmill live music listings'),
+('neepsend-afterhours', 'yellow-arch', 'Abbeydale Afterhours', 'Jazz / soul', '2026-05-14T19:00:00Z', '2026-05-14T22:30:00Z', 'Yellow Arch what''s on'),
+('courtyard-wildcards', 'sidney-and-matilda', 'Courtyard Wildcards', 'Punk / garage', '2026-05-22T17:45:00Z', '2026-05-22T21:45:00Z', 'Sidney & Matilda listings'),
+('leadmill-late-room', 'leadmill', 'Late Room', 'DJ / club', '2026-06-05T21:00:00Z', '2026-06-06T00:00:00Z', 'The Leadmill live music listings')) AS t(slug, venue_slug, name, genre, start_at, end_at, source_name)""")
 def seed_star(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    star = catalog.events_star(seed.events(spark), seed.venues(spark), seed.sources(spark))
-    return star.select(F.col("id").cast("int").alias("id"), "slug", "venue_slug", "name", "genre", "start_at", "end_at", "source_name", "source_url", F.col("venue_id").cast("int").alias("venue_id"), "status", "origin", "last_checked_at")
+    """The star of the given tables with the seed in it."""
+    columns = ("slug", "venue_slug", "name", "genre", "start_at", "end_at", "source_name", "source_url")
+    seeded = catalog.events_star(seed.events(spark), seed.venues(spark), seed.sources(spark)).select(*columns, origin_label(F.col("origin")).alias("origin"))
+    return _star(spark, sf_dir).select(*columns, origin_label(F.lit("live")).alias("origin")).unionByName(seeded)
 
 
 def _page(spark, sf_dir, window, venue=""):

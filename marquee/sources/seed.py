@@ -69,6 +69,16 @@ def bootstrapped(venues_now: DataFrame, events_now: DataFrame, sources_now: Data
     return venues(spark), events(spark), sources(spark)
 
 
+def configured(wanted: DataFrame, configs: DataFrame) -> DataFrame:
+    """``wanted`` (key and others) with the config of its source: a blank or null key is the first's, an unknown
+    one an error. Columns of ``configs`` have a source_ ahead."""
+    c = configs.select(*(F.col(x).alias(f"source_{x}") for x in configs.columns))
+    key = F.trim(F.coalesce("key", F.lit("")))
+    named = wanted.withColumn("_key", F.when(key == "", REGISTRY[0]["key"]).otherwise(key))
+    joined = named.join(c, F.col("_key") == F.col("source_key"), "left").drop("_key")
+    return joined.withColumn("error", F.when(F.col("source_key").isNull(), F.concat(F.lit("unsupported source "), "key")))
+
+
 def source_config(key: str) -> dict[str, str]:
     """The source of a key; blank is the first, an unknown key an error."""
     wanted = key.strip() or REGISTRY[0]["key"]

@@ -488,3 +488,39 @@ def test_white_space_runs_take_linear_time(spark):
     start = perf_counter()
     r = df.first()
     assert r["trim"] == text and r["collapse"] == "a b" and perf_counter() - start < 10
+
+
+def test_a_store_is_checked_in_one_job(spark):
+    venues, sources, events = seed.venues(spark), seed.sources(spark), seed.events(spark)
+    bad = events.withColumn("start_at", F.when(F.col("id") == 2, "soon").otherwise(F.col("start_at")))
+    assert catalog.validate_store(bad.unionByName(events.filter("id = 3")), venues.unionByName(venues.filter("id = 1")), sources) == ["malformed event time", "repeated venue slug", "repeated event slug"]
+    report = {r["problem"]: (r["n"], r["first"]) for r in catalog.store_report(bad, venues.filter("id > 1"), sources).collect()}
+    assert report == {"event without venue": (2, "1"), "event without source": (0, None), "malformed event time": (1, "2"), "repeated venue slug": (0, None), "repeated event slug": (0, None)}
+    assert {r["n"] for r in catalog.store_report(events.filter("false"), venues.filter("false"), sources).collect()} == {0}
+
+
+def test_events_are_counted_as_they_are_written(spark, tmp_path):
+    events = seed.events(spark)
+    path = str(tmp_path / "events")
+    spark.sparkContext.setJobGroup("one", "write")
+    seen = catalog.write_events(events, seed.venues(spark).filter("id > 1"), seed.sources(spark), path)
+    assert seen == {"events": 4, "event without venue": 2, "event without source": 0, "malformed event time": 0}
+    assert spark.read.parquet(path).columns == events.columns and spark.read.parquet(path).count() == 4
+
+
+def test_many_fixture_groups(spark):
+    rows = spark.createDataFrame([("b/one.ics", 1, "u1", "Second"), ("b/one.ics", 0, "", "First"), ("two.ics", 0, "", "Other")], "path string, candidate int, uid string, summary string")
+    rows = rows.withColumns({c: F.lit("") for c in ("description", "location", "url", "status", "end_at")}).withColumn("start_at", F.lit("2026-05-01T19:00:00Z"))
+    groups, own = staging.fixture_groups(rows)
+    assert sorted((r["path"], r["title"], r["n_candidates"]) for r in groups.collect()) == [("b/one.ics", "Fixture review: one.ics", 2), ("two.ics", "Fixture review: two.ics", 1)]
+    assert sorted((r["path"], r["position"], r["name"], r["provenance"]) for r in own.collect()) == [("b/one.ics", 1, "First", "fixture ICS"), ("b/one.ics", 2, "Second", "fixture UID u1"), ("two.ics", 1, "Other", "fixture ICS")]
+    group, one = staging.fixture_group(rows.filter("path = 'two.ics'"), "two.ics")
+    assert group.first()["title"] == "Fixture review: two.ics" and one.columns == [c for c in own.columns if c != "path"]
+    empty, none = staging.fixture_groups(rows.filter("false"))
+    assert empty.isEmpty() and none.isEmpty()
+
+
+def test_keys_of_sources(spark):
+    wanted = spark.createDataFrame([(" ",), (None,), ("yellow-arch",), ("elsewhere",)], "key string")
+    got = {r["key"]: (r["source_name"], r["error"]) for r in seed.configured(wanted, seed.registry(spark)).collect()}
+    assert got[None] == got[" "] == ("Sidney & Matilda listings", None) and got["yellow-arch"][0] == "Yellow Arch listings" and got["elsewhere"] == (None, "unsupported source elsewhere")
