@@ -1064,3 +1064,33 @@ def test_leads_of_quotations():
         for gap in ("", "\n", "\n \n\n"):
             assert parse(f"Yes.\n{lead}\n{gap}> what was said\n> here\nNo.") == ("Yes.\nNo." if not gap else parse(f"Yes.\n{gap}> what was said\n> here\nNo.")[0], [(0, "Yes."), (1, "what was said\nhere"), (0, "No.")])
     assert parse("He said:\nnothing")[0] == "He said:\nnothing" and parse("He said:\n\nnothing\n> q")[0] == "He said:\n\nnothing"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi><annotation>tex</annotation></math> b", "a x b"),
+        ("a <svg><title>no</title><desc>no</desc><text>label</text></svg> b", "a label b"),
+        ("<dialog>shut</dialog><dialog open>hello</dialog>", "hello"),
+        ("<dialog open hidden>hello</dialog>x", "x"),
+        ("<details>a<summary>head</summary>b</details>", "head"),
+        ("<details open>a<summary>head</summary>b</details>", "a\nhead\nb"),
+        ("<details>no summary</details>x", "x"),
+        ("<style>@media print{@media screen{p{display:none}}}@media screen{b{display:none}}i{display:none}</style><p>a<b>b</b><i>c</i>", "a"),
+    ],
+)
+def test_more_visible_text(page, text):
+    from marquee.llm.html_layout import build, page_layout
+
+    assert page_layout(build(page)) == text
+
+
+@pytest.mark.parametrize("sheet", ["@media screen{" * 60_000, "@media screen{p{x:y}" * 40_000, "@media print{" * 60_000 + "}" * 60_000])
+def test_nested_style_sheets_take_linear_time(sheet):
+    import time
+
+    from marquee.llm.html_layout import build, page_layout
+
+    began = time.process_time()
+    assert page_layout(build(f"<style>{sheet}</style>x")) == "x"
+    assert time.process_time() - began < 4
