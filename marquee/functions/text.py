@@ -24,9 +24,13 @@ FIELD_LABELS = {
 RUN_PHRASES = ("manual ingest run ", "import run ")
 
 
+#: What _SPACE stands for, one by one.
+_WHITE = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(x: Column) -> Column:
-    """Without white space of any kind at the ends. A run inside is tried once, from its start."""
-    return F.regexp_replace(x, rf"^{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
+    """Without white space of any kind at the ends."""
+    return F.btrim(x, F.lit(_WHITE))
 
 
 def collapse(x: Column) -> Column:
@@ -38,6 +42,12 @@ def folded(x: Column) -> Column:
     return F.lower(collapse(x))
 
 
+def same_word(x: Column, word: str) -> Column:
+    """Whether a text is ``word``, of plain letters, in any case by simple folding: of other letters the long s
+    and the Kelvin sign alone fold to plain ones, and lower() leaves the former."""
+    return F.translate(F.lower(x), "ſ", "s") == word.lower()
+
+
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-|-$", "")
 

@@ -55,11 +55,15 @@ def status_summary(runs: DataFrame, groups: DataFrame) -> DataFrame:
     run = origin_run_id(F.col("notes"))
     own = groups.withColumn("run_id", run).filter(names_run(F.col("notes"), F.col("run_id")))
     status = F.when(trim(F.col("status")) == "", "unknown").otherwise(trim(F.col("status")))
-    counts = own.groupBy("run_id", status.alias("status")).agg(F.count("*").alias("n"))
+    per = status_text(own.groupBy("run_id", status.alias("status")).agg(F.count("*").alias("n")))
+    return runs.join(per, runs["id"] == per["run_id"], "left").drop("run_id").fillna("none", ["summary"])
+
+
+def status_text(counts: DataFrame) -> DataFrame:
+    """run_id and summary of counts (run_id, status, n)."""
     item = F.struct(status_rank(F.col("status")).alias("rank"), "status", "n")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["status"])), ", ")
-    per = counts.groupBy("run_id").agg(text.alias("summary"))
-    return runs.join(per, runs["id"] == per["run_id"], "left").drop("run_id").fillna("none", ["summary"])
+    return counts.groupBy("run_id").agg(text.alias("summary"))
 
 
 def unpivoted(candidates: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from marquee.functions.text import blank_label, candidate_count_label, count_label, origin_label, strict_id
-from marquee.operators import catalog, replay, runs, staging
+from marquee.operators import catalog, maintained, replay, runs, staging
 from marquee.plans import model
 from marquee.plans.registry import query
 from marquee.sources import envelope, extract, seed
@@ -137,3 +137,34 @@ def run_json(spark, sf_dir):
     """A JSON report of each run."""
     rows = model.run_reports(spark, sf_dir)
     return runs.as_json(rows, indented=False).select(F.get_json_object("report", "$.run_id").cast("long").alias("run_id"), "report")
+
+
+@query(f"""{model.SQL}, kept AS (SELECT import_run_id, count(*) AS n FROM snapshot WHERE id % 10 <> 3 OR import_run_id % 4 > 0 GROUP BY ALL),
+c AS (SELECT venue_id AS g, count(*) AS n FROM listing WHERE id % 5 > 0 GROUP BY ALL), d AS (SELECT venue_id AS g, count(DISTINCT (id // 3) % 9) AS n FROM listing WHERE id % 3 = 0 AND id % 2 > 0 GROUP BY ALL),
+s AS (SELECT origin_run_id AS run, CASE WHEN status = 'open' AND id % 5 = 0 THEN 'resolved' WHEN trim(status) = '' THEN 'unknown' ELSE status END AS s, count(*) AS n FROM grp_run WHERE origin_run_id IS NOT NULL GROUP BY ALL),
+t AS (SELECT run, string_agg(n || ' ' || s, ', ' ORDER BY CASE s WHEN 'open' THEN 0 WHEN 'resolved' THEN 1 WHEN 'rejected' THEN 2 ELSE 3 END, s) AS summary FROM s GROUP BY run)
+SELECT 'run' AS kind, run.id, CAST(coalesce(n, 0) AS VARCHAR) AS value FROM run LEFT JOIN kept ON import_run_id = run.id
+UNION ALL SELECT 'group', grp.id, coalesce(c.n, 0) || ' ' || coalesce(d.n, 0) FROM grp LEFT JOIN c ON c.g = grp.id LEFT JOIN d ON d.g = grp.id
+UNION ALL SELECT 'summary', run.id, coalesce(summary, 'none') FROM run LEFT JOIN t ON t.run = run.id""")
+def maintained_counts(spark, sf_dir):
+    """Counts by batches: rows come in two parts, and some of them go again."""
+    store = maintained.open_counts(spark, new_path(spark, "counts"), 8)
+    came, went = F.lit(1).alias("d"), F.lit(-1).alias("d")
+    shots, e, g = model.snapshots(spark, sf_dir), model.events(spark, sf_dir), model.groups(spark, sf_dir)
+    for part in ("id % 3 = 0", "id % 3 > 0"):
+        maintained.count_snapshots(store, shots.filter(part).select("import_run_id", came))
+    maintained.count_snapshots(store, shots.filter("id % 10 = 3 and import_run_id % 4 = 0").select("import_run_id", went))
+    gone = e.filter("id % 5 = 0").select(F.col("venue_id").alias("group_id"), went)
+    maintained.count_candidates(store, e.select(F.col("venue_id").alias("group_id"), came))
+    maintained.count_candidates(store, gone)
+    field = F.floor(F.col("id") / 3) % 9
+    chosen = e.filter("id % 3 = 0").select("id", F.col("venue_id").alias("group_id"), field.cast("string").alias("field"))
+    maintained.count_choices(store, chosen.filter("id % 7 < 4").select("group_id", "field", came))
+    maintained.count_choices(store, chosen.filter("id % 7 >= 4").select("group_id", "field", came).unionByName(chosen.filter("id % 2 = 0").select("group_id", "field", went)))
+    maintained.count_groups(store, g.select("notes", "status", came))
+    closed = g.filter("status = 'open' and id % 5 = 0")
+    maintained.count_groups(store, closed.select("notes", "status", went).unionByName(closed.select("notes", F.lit("resolved").alias("status"), came)))
+    runs_now = model.runs(spark, sf_dir)
+    counted = maintained.runs_with_counts(store, runs_now).select(F.lit("run").alias("kind"), "id", F.col("snapshot_count").cast("string").alias("value"))
+    grouped = maintained.groups_with_counts(store, g).select(F.lit("group").alias("kind"), "id", F.concat_ws(" ", F.col("candidate_count").cast("string"), F.col("draft_count").cast("string")).alias("value"))
+    return counted.unionByName(grouped).unionByName(maintained.status_summary(store, runs_now).select(F.lit("summary").alias("kind"), "id", F.col("summary").alias("value")))

@@ -11,7 +11,7 @@ from marquee.functions import tables
 from marquee.operators import replay, runs
 from marquee.plans import model
 from marquee.plans.registry import query
-from marquee.sources import envelope, exchanges, extract
+from marquee.sources import envelope, exchanges, extract, ics
 from marquee.store.place import new_path, written
 from marquee.store.shelf import shelve
 
@@ -196,11 +196,13 @@ def finish_runs(spark, sf_dir):
 _LOCAL = "o_orderdate + to_hours(o_orderkey % 12 + 11)"
 
 
-@query(f"""SELECT 'https://c.test/' || o_orderkey AS url_of_body, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'skip' ELSE 'candidate' END AS kind, 'uid-' || o_orderkey AS uid, 'Show, number ' || o_orderkey AS summary,
+_CALENDARS = f"""SELECT 'https://c.test/' || o_orderkey AS url_of_body, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'skip' ELSE 'candidate' END AS kind, 'uid-' || o_orderkey AS uid, 'Show, number ' || o_orderkey AS summary,
 CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 THEN strftime(timezone('UTC', timezone('Europe/London', {_LOCAL})), '%Y-%m-%dT%H:%M:%SZ') END AS start_at,
-CASE WHEN o_orderkey % 5 = 0 THEN 'cancelled' WHEN o_orderkey % 7 = 0 THEN 'all-day event' END AS reason FROM orders""")
-def calendar_files(spark, sf_dir):
-    """One calendar file for each order, written and read."""
+CASE WHEN o_orderkey % 5 = 0 THEN 'cancelled' WHEN o_orderkey % 7 = 0 THEN 'all-day event' END AS reason FROM orders"""
+
+
+def _calendars(spark, sf_dir):
+    """One calendar file for each order."""
     o = model.table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     text = key.cast("string")
@@ -208,7 +210,20 @@ def calendar_files(spark, sf_dir):
     start = F.when(key % 7 == 0, F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format(when, "yyyyMMdd"))).otherwise(F.concat(F.lit("DTSTART;TZID=Europe/London:"), F.date_format(when, "yyyyMMdd'T'HHmmss")))
     lines = (F.lit("BEGIN:VCALENDAR"), F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:uid-"), text), F.concat(F.lit("SUMMARY:Show\\, num\r\n ber "), text), start, F.when(key % 5 == 0, "STATUS:CANCELLED").otherwise("STATUS:CONFIRMED"), F.lit("END:VEVENT"), F.lit("END:VCALENDAR"))
     files = o.select(F.concat(F.lit("https://c.test/"), text).alias("url"), F.encode(F.concat_ws("\r\n", *lines), "UTF-8").alias("body"))
-    return extract.ics_candidates(files).select("url_of_body", "kind", "uid", "summary", "start_at", "reason")
+    return files
+
+
+@query(_CALENDARS)
+def calendar_files(spark, sf_dir):
+    """One calendar file for each order, written and read."""
+    return extract.ics_candidates(_calendars(spark, sf_dir)).select("url_of_body", "kind", "uid", "summary", "start_at", "reason")
+
+
+@query(_CALENDARS)
+def calendars_in_sql(spark, sf_dir):
+    """The same without Python."""
+    files = _calendars(spark, sf_dir).withColumnRenamed("url", "url_of_body")
+    return ics.ics_rows(files, ("url_of_body",)).select("url_of_body", "kind", "uid", "summary", "start_at", "reason")
 
 
 @query(f"""SELECT 'https://p.test/' || o_orderkey || '/' AS url_of_body, CASE WHEN o_orderkey % 5 = 0 THEN 'skip' ELSE 'candidate' END AS kind, 'Fish & Chips ' || o_orderkey AS summary,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.functions.text import same_word, trim
+
 VERSION = 1
 MAX_BODY = 2 << 20
 METADATA = "struct<url: string, final_url: string, status: string, status_code: int, content_type: string, content_length: long, body_bytes: int, captured_at: string>"
@@ -52,5 +54,5 @@ def run_detail(snapshots: DataFrame) -> DataFrame:
 def replayable(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Run id and why it can't be replayed (null if it can)."""
     n = snapshots.groupBy(F.col("import_run_id").alias("id")).agg(F.count("*").alias("n"))
-    error = F.when(F.col("finished_at").isNull(), "unfinished").when(F.lower(F.trim("status")) != "succeeded", "not succeeded").when(F.col("n").isNull(), "no snapshots")
+    error = F.when(F.col("finished_at").isNull(), "unfinished").when(~same_word(trim(F.col("status")), "succeeded"), "not succeeded").when(F.col("n").isNull(), "no snapshots")
     return runs.join(n, "id", "left").select("id", error.alias("error"))

@@ -524,3 +524,16 @@ def test_keys_of_sources(spark):
     wanted = spark.createDataFrame([(" ",), (None,), ("yellow-arch",), ("elsewhere",)], "key string")
     got = {r["key"]: (r["source_name"], r["error"]) for r in seed.configured(wanted, seed.registry(spark)).collect()}
     assert got[None] == got[" "] == ("Sidney & Matilda listings", None) and got["yellow-arch"][0] == "Yellow Arch listings" and got["elsewhere"] == (None, "unsupported source elsewhere")
+
+
+def test_words_of_any_case_by_simple_folding(spark):
+    from marquee.functions.text import same_word
+    from marquee.sources.extract import parse_ics_links
+
+    words = {"Kiss": True, "KIſſ": True, "kis": False, "kiß": False, "KISS": True, "kıss": False, "": False}
+    assert {w: one(spark, same_word(F.lit(w), "kiss")) for w in words} == words and one(spark, same_word(F.lit(None).cast("string"), "x")) is None
+    page = "".join(f"<a href='{i}.ics?format=ical'>{label}</a>" for i, label in enumerate(("ICſ", "ics", "icß", "Google Calendar ICſ", "googⅼe calendar ics")))
+    assert [r["url"] for r in parse_ics_links(page, "https://s.test/", 9)] == [f"https://s.test/{i}.ics?format=ical" for i in (0, 1, 3)]
+    runs = spark.createDataFrame([(1, "x", " ſUCCEEDED　"), (2, "x", "succeede")], "id long, finished_at string, status string")
+    shots = spark.createDataFrame([(1,), (2,)], "import_run_id long")
+    assert {r["id"]: r["error"] for r in envelope.replayable(runs, shots).collect()} == {1: None, 2: "not succeeded"}

@@ -240,3 +240,31 @@ def test_two_racing_resolves(spark, tmp_path):
         assert store.rows("events", m).count() == old.events.count() + more
         assert store.rows("choices", m).filter((F.col("group_id") == group) & (F.col("updated_at") == "2026-04-19T09:00:00Z")).count() == 9 * more
     assert store.rows("groups", store.manifest()).count() == old.groups.count() and reviews.FIELDS
+
+
+def test_counts_equal_the_full_queries_after_any_batches(spark, tmp_path):
+    import random
+
+    from marquee.operators import maintained, reviews, runs
+
+    rng = random.Random(4)
+    store = maintained.open_counts(spark, str(tmp_path / "counts"), 4)
+    notes = ["import run 1", "Manual ingest run 2 review", "import run 3x", None]
+    there = {"snap": [], "cand": [], "choice": [], "group": []}
+    schemas = {"snap": "import_run_id long", "cand": "group_id long", "choice": "group_id long, field string", "group": "notes string, status string"}
+    count = {"snap": maintained.count_snapshots, "cand": maintained.count_candidates, "choice": maintained.count_choices, "group": maintained.count_groups}
+    new = {"snap": lambda: (rng.choice([1, 2, 3, None]),), "cand": lambda: (rng.randrange(4),), "choice": lambda: (rng.randrange(4), rng.choice("abc")), "group": lambda: (rng.choice(notes), rng.choice(["open", "resolved", " ", "odd"]))}
+    for _ in range(3):
+        for name, rows in there.items():
+            went = [rows.pop(rng.randrange(len(rows))) for _ in range(rng.randrange(len(rows) + 1))]
+            came = [new[name]() for _ in range(rng.randrange(12))]
+            rows += came
+            changes = [(*r, 1) for r in came] + [(*r, -1) for r in went]
+            count[name](store, spark.createDataFrame(changes, schemas[name] + ", d int"))
+    table = {name: spark.createDataFrame(rows, schemas[name]) for name, rows in there.items()}
+    key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    headers, ids = spark.createDataFrame([(i,) for i in range(5)], "id long"), ("id", "candidate_count", "draft_count")
+    assert key(maintained.runs_with_counts(store, headers), "id", "snapshot_count") == key(runs.with_snapshot_count(headers, table["snap"]), "id", "snapshot_count")
+    assert key(maintained.groups_with_counts(store, headers), *ids) == key(reviews.with_counts(headers, table["cand"], table["choice"]), *ids)
+    assert key(maintained.status_summary(store, headers), "id", "summary") == key(reviews.status_summary(headers, table["group"]), "id", "summary")
+    assert store.rows("field_counts", store.manifest()).filter("n <= 0").isEmpty()
