@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from marquee.functions import tables
+from marquee.functions.address import resolved
 from marquee.operators import replay, runs
 from marquee.plans import model
 from marquee.plans.registry import query
@@ -291,3 +292,17 @@ def lateral_extract(spark, sf_dir):
         UNION ALL SELECT 'link', page_id, position, link FROM {p}, LATERAL ics_links(linked, 'https://p.test/', 5)
         UNION ALL SELECT 'event', page_id, ordinal, concat_ws(' ', summary, coalesce(start_at, reason)) FROM {p}, LATERAL ics_events(calendar)
         UNION ALL SELECT 'node', page_id, ordinal, coalesce(reason, concat_ws(' ', summary, url)) FROM {p}, LATERAL schema_org_events(scripted, 'https://p.test/', 5)""", p=rows)
+
+
+@query("""WITH part AS (SELECT page_id, url, unnest(string_split(html, '<a ')) AS p, generate_subscripts(string_split(html, '<a '), 1) AS i FROM pages),
+link AS (SELECT page_id, url, i, substr(p, strpos(p, 'href="') + 6) AS h FROM part WHERE i > 1 AND strpos(p, 'href="') > 0 AND strpos(p, '</a>') > 0),
+found AS (SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS position, substr(h, 1, strpos(h, '"') - 1) AS href FROM link)
+SELECT page_id, position, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/]*') || href ELSE regexp_extract(url, '^[a-z]+://[^/]*') || '/x/' || href END AS link,
+regexp_extract(url, '^[a-z]+://[^/]*') || '/b/' || CASE WHEN href LIKE '/%' THEN substr(href, 2) ELSE href END || '?q#f' AS dotted FROM found""")
+def resolved_links(spark, sf_dir):
+    """The links of pages as whole addresses, and others with dot segments, resolved without Python."""
+    p = model.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extract.anchors(p, "page_id").join(p.select("page_id", "url"), "page_id")
+    base = F.concat(F.regexp_extract("url", "^[a-z]+://[^/]*", 0), F.lit("/x/y?z"))
+    dotted = F.concat(F.lit("../a/.././b/./c/../"), F.regexp_replace("href", "^/", ""), F.lit("?q#f"))
+    return found.select("page_id", "position", resolved(base, F.col("href")).alias("link"), resolved(base, dotted).alias("dotted"))
