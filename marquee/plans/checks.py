@@ -148,7 +148,7 @@ UNION ALL SELECT 'group', grp.id, coalesce(c.n, 0) || ' ' || coalesce(d.n, 0) FR
 UNION ALL SELECT 'summary', run.id, coalesce(summary, 'none') FROM run LEFT JOIN t ON t.run = run.id""")
 def maintained_counts(spark, sf_dir):
     """Counts by batches: rows come in two parts, and some of them go again."""
-    store = maintained.open_counts(spark, new_path(spark, "counts"), 8)
+    store = maintained.open_counts(spark, new_path(spark, "counts"), 4)
     came, went = F.lit(1).alias("d"), F.lit(-1).alias("d")
     shots, e, g = model.snapshots(spark, sf_dir), model.events(spark, sf_dir), model.groups(spark, sf_dir)
     for part in ("id % 3 = 0", "id % 3 > 0"):

@@ -140,7 +140,7 @@ UNION ALL SELECT 'event', slug, name || ' ' || start_at FROM listing UNION ALL S
 def compacted_store(spark, sf_dir):
     """The store after a draft, a resolution, a rejection and the compaction of every second bucket."""
     old = _store(spark, sf_dir)
-    store = desk.open_desk(spark, new_path(spark, "desk"), 16)
+    store = desk.open_desk(spark, new_path(spark, "desk"), 8)
     tables = old._replace(choices=old.choices.withColumn("candidate_id", F.lit(0).cast("long")))._asdict()
     store.create(tables | {"candidates": model.candidates(spark, sf_dir)})
     choices, groups = model.choices(spark, sf_dir), tables["groups"]
