@@ -9,6 +9,7 @@ from itertools import product
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -183,3 +184,15 @@ def test_personal_data_edges(spark, edge, none):
     rows = find(edge.unionByName(edge.limit(1).selectExpr(*(f"'mail a@b.co é\U0001f600 c@d.ef' AS text" if c == "text" else c for c in edge.columns))), model).collect()
     assert len(rows) == edge.count() + 1 and find(none, model).count() == 0
     assert [[tuple(s) for s in r.spans] for r in rows if r.spans] == [[("email", 5, 11), ("email", 15, 21)]]
+
+
+def test_counts_are_those_of_the_base_spans(spark, tmp_path):
+    """The model finds a bare number that the patterns miss; the counts of the contract leave it out."""
+    from marquee.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = "call (743) 555-3824 or +1 743 555 3824 now"
+    docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn("text", F.lit(text))).write.parquet(f"{tmp_path}/documents.parquet")
+    r = QUERIES["op12_personal_data"](spark, str(tmp_path)).filter("doc_id = -1").first()
+    assert r.spans == "phone:5:19,phone:23:38" and r.base_sha256 == hashlib.sha256(b"phone:23:38").hexdigest()
+    assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [0, 0, 0, 1]
