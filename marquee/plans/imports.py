@@ -264,9 +264,9 @@ def fetch_results(spark, sf_dir):
         F.when(moves, onward).alias("location"), F.lit(None).cast("string").alias("target"), F.lit("2026-04-19T09:00:00Z").alias("captured_at"), F.encode(F.when(~moves, F.concat(F.lit("page "), text)).otherwise(""), "UTF-8").alias("body"))
     exchanges.register(spark)
     folder = new_path(spark, "exchanges")
-    rows.write.format("exchanges").mode("append").save(folder)
-    recorded, heads = (spark.read.format("exchanges").option("bodies", b).load(folder).filter(F.col("url").startswith("https://x.test/")) for b in (True, False))
-    got = exchanges.fetched(o.select("id", url(F.lit(0)).alias("url")), recorded, heads)
+    exchanges.recorded(rows, folder)
+    records, heads = (spark.read.format("exchanges").option("bodies", b).load(folder).filter(F.col("url").startswith("https://x.test/")) for b in (True, False))
+    got = exchanges.fetched(o.select("id", url(F.lit(0)).alias("url")), records, heads)
     return got.select("id", "final_url", "hops", "status", F.decode("body", "UTF-8").alias("body"), "error", "loop")
 
 

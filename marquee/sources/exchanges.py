@@ -9,24 +9,31 @@ records rows, a file for each task. register() makes the format known to a sessi
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from marquee.sources.envelope import MAX_BODY
 from marquee.sources.extract import resolve
 from marquee.store.place import written
 
 SCHEMA = "url string, status string, status_code int, content_type string, content_length long, location string, target string, captured_at string, body binary"
+_ARROW = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
+#: Rows, and bytes of bodies, of a batch that the reader gives.
+_BATCH_ROWS, _BATCH_BYTES = 2000, 8 << 20
 #: Responses that send a client on, and the request that a chain of them ends before.
 REDIRECTS, MOST_REQUESTS = (301, 302, 303, 307, 308), 10
 STOPPED, UNRECORDED = f"stopped after {MOST_REQUESTS} redirects", "no recorded exchange"
+#: Exchanges of a file that recorded() writes.
+FILE_ROWS = 100_000
 #: Bytes of a head at most.
 _HEAD = 1 << 20
 
@@ -165,12 +172,24 @@ class _Reader(DataSourceReader):
     def _keeps(self, url: str, code: int) -> bool:
         return (self.urls is None or url in self.urls) and (self.codes is None or code in self.codes) and all(url.startswith(s) for s in self.starts)
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if partition.path is None:
             return
         system, _ = _open(self.path)
+        rows, size = [], 0
         with system.open_input_file(partition.path) as stream:
-            yield from read_records(stream, self._keeps, self.bodies)
+            for row in read_records(stream, self._keeps, self.bodies):
+                rows.append(row)
+                size += len(row[-1] or b"")
+                if len(rows) == _BATCH_ROWS or size > _BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 class _Written(WriterCommitMessage):
@@ -178,18 +197,19 @@ class _Written(WriterCommitMessage):
         self.path = path
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
 
-    def write(self, rows: Iterator[Row]) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         """One file, under a name that no reader takes until the commit."""
         system, path = _open(self.path)
         system.create_dir(path, recursive=True)
         name = f"{path}/part-{uuid.uuid4().hex}.open"
         with system.open_output_stream(name) as out:
-            for r in rows:
-                out.write(record(r["url"], r["status"], r["content_type"] or "", r["location"], r["captured_at"] or "", bytes(r["body"] or b"")))
+            for b in batches:
+                for url, status, kind, location, at, body in zip(*(b.column(c).to_pylist() for c in ("url", "status", "content_type", "location", "captured_at", "body"))):
+                    out.write(record(url, status, kind or "", location, at or "", body or b""))
         return _Written(name)
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -224,6 +244,14 @@ class Exchanges(DataSource):
         return _Writer(self.options["path"], overwrite)
 
 
+def recorded(rows: DataFrame, folder: str) -> None:
+    """Records ``rows`` in files of at most about FILE_ROWS exchanges, and in as many as the session has cores:
+    a file is written, and read, by one task."""
+    spark = rows.sparkSession
+    files = max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / FILE_ROWS))
+    rows.repartition(files, "url").write.format("exchanges").mode("append").save(folder)
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Exchanges)
@@ -252,10 +280,10 @@ def fetched(wanted: DataFrame, exchanges: DataFrame, heads: DataFrame | None = N
     """What a client that follows redirects gets for each url of ``wanted``: final_url, hops, status,
     status_code, content_type, content_length, captured_at, body, truncated (over ``limit`` bytes), error and
     loop, beside the columns of ``wanted``. Of exchanges of one url the latest counts. Bodies are joined last,
-    by the final address alone; ``heads`` are the exchanges without bodies, for all that comes before. A url
-    that is null is not recorded."""
+    by the final address alone; ``heads`` are the exchanges without bodies, for all that comes before, and are
+    read once. A url that is null is not recorded."""
     names = ("status", "status_code", "content_type", "content_length", "captured_at", "body")
-    heads = exchanges if heads is None else heads
+    heads = written((exchanges if heads is None else heads).select("url", "status_code", "target", "captured_at"), "heads")
     found = ends(heads).withColumnsRenamed({"url": "_url", "final_url": "_final", "hops": "_hops"})
     at = wanted.join(found, wanted["url"] == F.col("_url"), "left")
     on_way = F.col("_url").isNotNull()

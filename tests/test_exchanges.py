@@ -116,3 +116,14 @@ def test_of_exchanges_of_one_url_the_latest_counts(spark):
     got = {r.url: r for r in fetched(spark.createDataFrame([("a",), ("m",)], "url string"), frame(spark, *rows), limit=4).collect()}
     assert bytes(got["a"].body) == b"new" and not got["a"].truncated and got["m"].final_url == "b" and bytes(got["m"].body) == b"bbbb" and got["m"].truncated
     assert ends(frame(spark).filter("false")).isEmpty() and fetched(spark.createDataFrame([("a",)], "url string"), frame(spark, row("b"))).first().error == UNRECORDED
+
+
+def test_recording_deals_exchanges_over_files(spark, tmp_path):
+    """One task's rows are dealt over files, so that tasks share the reading."""
+    from marquee.sources.exchanges import recorded
+
+    register(spark)
+    rows = spark.range(0, 200, 1, 1).selectExpr("concat('https://x.test/', id) AS url", "'200 OK' AS status", "200 AS status_code", "'text/plain' AS content_type", "-1L AS content_length", "cast(null AS string) AS location", "cast(null AS string) AS target", "'2026-04-19T09:00:00Z' AS captured_at", "cast('b' AS binary) AS body")
+    recorded(rows, str(tmp_path))
+    read = spark.read.format("exchanges").load(str(tmp_path))
+    assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and read.select("url").distinct().count() == 200
