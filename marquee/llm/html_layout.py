@@ -454,22 +454,67 @@ def _span(cell: Node, name: str, most: int) -> int:
     return min(n, most) if n > 0 else 1
 
 
+class Spans:
+    """Until which row each column is taken by cells that span rows: a tree over the columns whose nodes are made
+    where spans are, so that a span and a search take steps that grow with the logarithm of the columns."""
+
+    def __init__(self) -> None:
+        # by (level, place) of a node: the row until which all of it is taken at once, and the first row at which
+        # some column of it is free
+        self.levels, self.whole, self.free = 1, {}, {}
+
+    def take(self, first: int, columns: int, until: int) -> None:
+        """Takes ``columns`` from ``first`` on until row ``until``."""
+        while first + columns > 1 << self.levels:
+            # the root becomes the left half of a larger one
+            self.levels += 1
+        ends = set()
+        level, lo, hi = 0, first, first + columns
+        while lo < hi:
+            for place, odd in ((lo, lo & 1), (hi - 1, hi & 1)):
+                if odd and (node := (level, place)) not in ends:
+                    ends.add(node)
+                    self.whole[node] = max(self.whole.get(node, 0), until)
+                    self.free[node] = max(self.free.get(node, 0), until)
+            level, lo, hi = level + 1, (lo + 1) >> 1, hi >> 1
+        # nodes above those two runs of nodes, from the leaves up
+        left, right = first, first + columns - 1
+        for up in range(1, self.levels + 1):
+            left, right = left >> 1, right >> 1
+            for place in {left, right}:
+                below = min(self.free.get((up - 1, 2 * place), 0), self.free.get((up - 1, 2 * place + 1), 0))
+                self.free[up, place] = max(self.whole.get((up, place), 0), below)
+
+    def next_free(self, column: int, row: int) -> int:
+        """The first column, ``column`` or a later one, that is free in ``row``."""
+        if column >= 1 << self.levels:
+            return column
+        # past the highest node that is taken as a whole, then to the right, by nodes as high as they begin there,
+        # and down to the first free column
+        level = max((k for k in range(self.levels + 1) if self.whole.get((k, column >> k), 0) > row), default=0)
+        place = column >> level
+        while place < 1 << (self.levels - level):
+            if self.free.get((level, place), 0) > row:
+                place += 1
+                while not place & 1 and level < self.levels:
+                    level, place = level + 1, place >> 1
+            elif level == 0:
+                return place
+            else:
+                level, place = level - 1, 2 * place
+        return 1 << self.levels
+
+
 def _grid(table: Node, styles: Styles) -> list[list[tuple[int, int, list[str]]]]:
     """(first column, columns, lines) of the cells of each row. Cells that span rows keep their
     columns from the rows below."""
-    grid, busy, steps = [], [], 0  # busy: (first column, columns, row after its last), by column
-    n_cells = 0
+    grid, spans = [], None
     for r, row in enumerate(_rows(table, styles)):
-        cells, column = [], 0
-        steps += len(busy)
-        # spans whose rows would cost more than a hundred looks at each cell end early
-        busy = [b for b in busy if b[2] > r] if steps <= 100 * (n_cells + 100) else []
-        k, new = 0, []
+        cells, column, new = [], 0, []
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th") and not hidden(cell, styles):
-                while k < len(busy) and busy[k][0] <= column:
-                    column = max(column, busy[k][0] + busy[k][1])
-                    k += 1
+                if spans is not None:
+                    column = spans.next_free(column, r)
                 body = Node("div", {})
                 body.children = cell.children
                 across, down = _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", MOST_ROWS)
@@ -477,9 +522,9 @@ def _grid(table: Node, styles: Styles) -> list[list[tuple[int, int, list[str]]]]
                 if down > 1:
                     new.append((column, across, r + down))
                 column += across
-                n_cells += 1
-        if new:
-            busy = sorted(busy + new)
+        for taken in new:
+            spans = spans or Spans()
+            spans.take(*taken)
         if cells:
             grid.append(cells)
     return grid

@@ -1094,3 +1094,25 @@ def test_nested_style_sheets_take_linear_time(sheet):
     began = time.process_time()
     assert page_layout(build(f"<style>{sheet}</style>x")) == "x"
     assert time.process_time() - began < 4
+
+
+def test_row_spans_hold_to_their_last_row():
+    """Spans over many rows with few cells kept their columns for a bounded number of looks only."""
+    import random
+
+    from marquee.llm.html_layout import Spans, Styles, _grid, build
+
+    page = "<table><tr>" + "<td rowspan=65534>a" * 1000 + "<tr>" * 200 + "<tr><td>b</table>"
+    grid = _grid(next(c for c in build(page).children if c.tag == "table"), Styles([]))
+    assert len(grid) == 2 and [c[0] for c in grid[1]] == [1000]
+    rng = random.Random(4)
+    for _ in range(300):
+        spans, until = Spans(), {}
+        for _ in range(rng.randrange(1, 25)):
+            first, n, end = rng.randrange(40), rng.choice([1, 2, 3, 9]), rng.randrange(1, 12)
+            spans.take(first, n, end)
+            for c in range(first, first + n):
+                until[c] = max(until.get(c, 0), end)
+            column, row = rng.randrange(55), rng.randrange(12)
+            free = next(c for c in range(column, 100) if until.get(c, 0) <= row)
+            assert spans.next_free(column, row) == free
