@@ -49,9 +49,12 @@ def parsed_lines(pages: DataFrame, answers: DataFrame, bodies: DataFrame | None,
     rows = source_page_rows(pages, ("run_id", "page_snapshot"), limit)
     own = [F.col("body").alias("_body")] if bodies is None else []
     b = answers.select(*(F.col(c).alias(f"_{c}") for c in on), F.col("snapshot_id").alias("_snapshot"), "truncated", "status_code", *own)
-    link = F.col("_link") == trim(F.col("url"))
+    # Rows that are no link have a key of their own: nulls, and addresses that many share, would meet in one task.
+    alone = F.concat(F.lit("\0"), F.xxhash64(*(c for c, _ in rows.dtypes)).cast("string"))
+    rows = rows.withColumn("_key", F.when(F.col("kind") == "link", trim(F.col("url"))).otherwise(alone))
+    link = F.col("_link") == F.col("_key")
     same = (F.col("kind") == "link") & (link & (F.col("_run_id") == F.col("run_id")) if "run_id" in on else link)
-    joined = rows.join(b, same, "left")
+    joined = rows.join(b, same, "left").drop("_key")
     if bodies is not None:
         joined = with_bodies(joined, "_snapshot", bodies, "_body", outer=True)
     is_link = F.col("kind") == "link"

@@ -42,3 +42,14 @@ def test_nulls_and_long_paths(spark):
     assert of(spark, [(None, "x"), ("https://s.test/", None), (None, None)]) == [None] * 3
     path = "/a/.." * 3000 + "/end"
     assert spark.range(1).select(without_dots(F.lit(path)).alias("p")).first().p == "/end"
+
+
+def test_plain_addresses_equal_urllib():
+    from marquee.sources.extract import _resolved
+
+    rng = random.Random(9)
+    bases = ["https://s.test/a/b/c?x=1", "https://s.test/a/", "https://s.test", "https://s.test/a//b/", "https://s.test/./a/b", "http://h:80/x/y#f", "HTTPS://s.test/a"]
+    parts = ["a", "b.c", "..", ".", "", "e-1", "/", "//", "?", "#", "x=1", "https://h.test", ":", "%41", ";", "é"]
+    for _ in range(20000):
+        base, href = rng.choice(bases), "".join(rng.choices(parts, k=rng.randrange(6)))
+        assert resolve(base, href) == _resolved(base, href.strip()), (base, href)
