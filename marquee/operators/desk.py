@@ -94,3 +94,17 @@ def resolve(store: Store, wanted: DataFrame, now: Column, tries: int = 5) -> Dat
 def reject(store: Store, wanted: DataFrame, now: Column, tries: int = 5) -> DataFrame:
     """Closes the groups ``wanted`` (group_id) as rejected; group_id, status and error of each."""
     return _batch(store, wanted, lambda t, w: rejecting(t, w, now), tries)
+
+
+def restore_choices(store: Store, wanted: DataFrame, version: int, tries: int = 5) -> int:
+    """Gives the groups ``wanted`` (group_id) the choices that they had at an earlier version, as a version of
+    its own, whose number it returns; choices that they had not yet are deleted."""
+
+    def run(transaction: Transaction) -> dict[str, DataFrame]:
+        now = transaction.rows("choices", wanted).join(wanted, "group_id", "left_semi")
+        buckets = sorted(transaction.read["choices"])
+        then = store.rows("choices", store.manifest(version), buckets).join(wanted, "group_id", "left_semi")
+        new = now.join(then, ["group_id", "field"], "left_anti").withColumn("_deleted", F.lit(True))
+        return {"choices": then.withColumn("_deleted", F.lit(False)).unionByName(new)}
+
+    return transact(store, run, tries)
