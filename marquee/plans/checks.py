@@ -16,11 +16,14 @@ from marquee.store.place import new_path, written
 
 @query("SELECT page_id, sha256(html || chr(10)) AS sha256, octet_length(encode(html)) + 1 AS n FROM pages")
 def landed_pages(spark, sf_dir):
-    """Pages written as a file each, and landed."""
-    folder = new_path(spark, "landed")
-    model.table(spark, sf_dir, "pages").select("page_id", "html").repartition(8, "page_id").write.partitionBy("page_id").text(folder)
-    files = envelope.landed_files(spark, f"{folder}/page_id=*/*.txt")
-    return files.select(F.regexp_extract("url", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("n"))
+    """Pages written as a file each, and landed. A page without html has no file."""
+    pages = model.table(spark, sf_dir, "pages").select("page_id", "html")
+    named = pages.filter("html is not null").select(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(".html")).alias("name"), F.concat("html", F.lit("\n")).cast("binary").alias("content"))
+    folders = envelope.land(named.repartition("name"), new_path(spark, "landed"))
+    files = envelope.landed_files(spark, folders).coalesce(max(len(folders), spark.sparkContext.defaultParallelism))
+    page = F.expr(r"try_cast(regexp_extract(url, '/[0-9]+-(-?[0-9]*)[.]html$', 1) as long)")
+    rows = files.select(page.alias("page_id"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("n"))
+    return rows.unionByName(pages.filter("html is null").select("page_id", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("long").alias("n")))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 2 THEN 'Sidney & Matilda listings' WHEN o_orderkey % 5 = 2 THEN 'Yellow Arch listings' END AS source_name, CASE WHEN o_orderkey % 5 < 2 THEN 'linked_ics' WHEN o_orderkey % 5 = 2 THEN 'source_page' END AS page_mode,

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.text import same_word, trim
+from marquee.store.place import opened
 
 VERSION = 1
 MAX_BODY = 2 << 20
@@ -13,8 +18,33 @@ METADATA = "struct<url: string, final_url: string, status: string, status_code:
 ENVELOPE = f"struct<version: int, metadata: {METADATA}, sha256: string, truncated: boolean, body_base64: string>"
 
 
-def landed_files(spark: SparkSession, path: str) -> DataFrame:
-    """url (the file's path) and content of the files in a folder or glob, calendars and pages alike."""
+def land(rows: DataFrame, folder: str) -> list[str]:
+    """Writes content (binary) of ``rows`` as a file each, and returns the folders that hold them, one for each task.
+    A file's name ends in ``name``, a string without slashes, after a number, so names may repeat. The folder of
+    a task that failed or ran twice is not among those returned. Without rows it is one empty folder."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = opened(folder)
+        own, n = uuid.uuid4().hex, 0
+        for b in batches:
+            if not n:
+                system.create_dir(f"{path}/{own}", recursive=True)
+            for name, content in zip(b.column("name").to_pylist(), b.column("content")):
+                with system.open_output_stream(f"{path}/{own}/{n}-{name}", buffer_size=0) as out:
+                    out.write(content.as_buffer())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_pydict({"folder": [own]})
+
+    told = rows.select("name", "content").mapInArrow(write, "folder string").collect()
+    if not told:
+        system, path = opened(folder)
+        system.create_dir(path, recursive=True)
+    return sorted(f"{folder}/{r.folder}" for r in told) or [folder]
+
+
+def landed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """url (the file's path) and content of the files in a folder or glob, or in several, calendars and pages alike."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), "content")
 
 

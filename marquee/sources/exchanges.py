@@ -10,7 +10,6 @@ records rows, a file for each task. register() makes the format known to a sessi
 from __future__ import annotations
 
 import math
-import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from marquee.sources.envelope import MAX_BODY
 from marquee.sources.extract import resolve
-from marquee.store.place import written
+from marquee.store.place import opened, written
 
 SCHEMA = "url string, status string, status_code int, content_type string, content_length long, location string, target string, captured_at string, body binary"
 _ARROW = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
@@ -38,10 +37,6 @@ FILE_ROWS = 100_000
 _HEAD = 1 << 20
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
-
-
 def _head(lines: Iterator[bytes]) -> dict[str, str]:
     """Fields up to an empty line, by their names in lower case; the first of a name counts. Under the empty
     name stands that there was such a line."""
@@ -165,7 +160,7 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[_File]:
-        system, path = _open(self.path)
+        system, path = opened(self.path)
         found = system.get_file_info(fs.FileSelector(path, recursive=True))
         return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and x.path.endswith(".warc")]
 
@@ -175,7 +170,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if partition.path is None:
             return
-        system, _ = _open(self.path)
+        system, _ = opened(self.path)
         rows, size = [], 0
         with system.open_input_file(partition.path) as stream:
             for row in read_records(stream, self._keeps, self.bodies):
@@ -203,7 +198,7 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         """One file, under a name that no reader takes until the commit."""
-        system, path = _open(self.path)
+        system, path = opened(self.path)
         system.create_dir(path, recursive=True)
         name = f"{path}/part-{uuid.uuid4().hex}.open"
         with system.open_output_stream(name) as out:
@@ -213,7 +208,7 @@ class _Writer(DataSourceArrowWriter):
         return _Written(name)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        system, path = _open(self.path)
+        system, path = opened(self.path)
         if self.overwrite:
             for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
                 if x.path.endswith(".warc"):
@@ -223,7 +218,7 @@ class _Writer(DataSourceArrowWriter):
                 system.move(m.path, m.path.removesuffix(".open") + ".warc")
 
     def abort(self, messages: list[_Written | None]) -> None:
-        system, _ = _open(self.path)
+        system, _ = opened(self.path)
         for m in messages:
             if m is not None:
                 system.delete_file(m.path)
