@@ -19,7 +19,7 @@ def landed_pages(spark, sf_dir):
     """Pages written as a file each, and landed. A page without html has no file."""
     pages = model.table(spark, sf_dir, "pages").select("page_id", "html")
     named = pages.filter("html is not null").select(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(".html")).alias("name"), F.concat("html", F.lit("\n")).cast("binary").alias("content"))
-    folders = envelope.land(named.repartition("name"), new_path(spark, "landed"))
+    folders = envelope.land(named, new_path(spark, "landed"))
     files = envelope.landed_files(spark, folders).coalesce(max(len(folders), spark.sparkContext.defaultParallelism))
     page = F.expr(r"try_cast(regexp_extract(url, '/[0-9]+-(-?[0-9]*)[.]html$', 1) as long)")
     rows = files.select(page.alias("page_id"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("n"))
