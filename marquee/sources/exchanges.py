@@ -10,12 +10,14 @@ records rows, a file for each task. register() makes the format known to a sessi
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -33,8 +35,13 @@ REDIRECTS, MOST_REQUESTS = (301, 302, 303, 307, 308), 10
 STOPPED, UNRECORDED = f"stopped after {MOST_REQUESTS} redirects", "no recorded exchange"
 #: Exchanges of a file that recorded() writes.
 FILE_ROWS = 100_000
-#: Bytes of a head at most.
-_HEAD = 1 << 20
+#: Bytes of a line of a head at most, and of a head that is looked for as a whole.
+_HEAD, _WHOLE = 1 << 20, 1 << 16
+#: Both heads of a response as record() writes them, after empty lines; _Lines and _head() read all others.
+_OWN = re.compile(
+    rb"(?:\r\n)*+WARC/1\.[0-9]\r\nWARC-Type: response\r\nWARC-Record-ID: [^\r\n]*+\r\nWARC-Target-URI: ([^\r\n]*+)\r\nWARC-Date: ([^\r\n]*+)\r\nContent-Type: [^\r\n]*+\r\nContent-Length: ([0-9]{1,15})\r\n\r\n"
+    rb"(HTTP/1\.[0-9] ([^\r\n]*+)\r\nContent-Type: ([^\r\n]*+)\r\nContent-Length: ([0-9]{0,15})\r\n(?:Location: ([^\r\n]*+)\r\n)?\r\n)"
+)
 
 
 def _head(lines: Iterator[bytes]) -> dict[str, str]:
@@ -53,14 +60,24 @@ def _head(lines: Iterator[bytes]) -> dict[str, str]:
 class _Lines:
     """Buffered lines and bytes of a stream, read forward."""
 
-    def __init__(self, stream: object, chunk: int = 1 << 16):
-        self._stream, self._chunk, self._data, self._at = stream, chunk, b"", 0
+    def __init__(self, stream: object, chunk: int = 1 << 20):
+        self._stream, self._chunk, self._data, self._at, self._ended = stream, chunk, b"", 0, False
 
     def _more(self) -> bool:
         found = self._stream.read(self._chunk)
-        self._data, self._at = self._data[self._at :] + found, 0
+        self._data, self._at, self._ended = self._data[self._at :] + found, 0, not found
         return bool(found)
 
+    def own(self) -> tuple[bytes, ...] | None:
+        """The groups of _OWN if such heads come next, which are then passed."""
+        while len(self._data) - self._at < _WHOLE and not self._ended:
+            self._more()
+        m = _OWN.match(self._data, self._at, self._at + _WHOLE)
+        if m is None or m.end(4) - m.start(4) > int(m[3]):
+            return None
+        self._at = m.end()
+        return m.groups()
+
     def line(self) -> bytes:
         end = self._data.find(b"\n", self._at)
         while end < 0 and len(self._data) - self._at < _HEAD:
@@ -87,6 +104,7 @@ class _Lines:
         self._at += own
         if own < n:
             self._stream.seek(self._stream.tell() + n - own)
+            self._ended = False
 
 
 def read_records(stream: object, keeps: Callable[[str, int], bool] = lambda url, code: True, bodies: bool = True) -> Iterator[tuple]:
@@ -94,48 +112,94 @@ def read_records(stream: object, keeps: Callable[[str, int], bool] = lambda url,
     record whose body is cut off at the end, or that is no response, is left out; without ``bodies`` none is
     read, and a cut is not seen."""
     source = _Lines(stream)
-    while line := source.line():
-        if not line.startswith(b"WARC/"):
-            continue
-        head = _head(source.lines())
-        if "" not in head:
-            return
-        size = int(head["content-length"]) if head.get("content-length", "").isdigit() else 0
-        if head.get("warc-type", "").lower() != "response" or "warc-target-uri" not in head:
-            source.skip(size)
-            continue
-        before: list[int] = []
-
-        def counted() -> Iterator[bytes]:
-            while sum(before) < size and (x := source.line()):
-                before.append(len(x))
-                yield x
-
-        http = counted()
-        first = next(http, b"").decode("utf-8", "replace").split(None, 1)
-        fields = _head(http)
-        if sum(before) < size and "" not in fields:
-            return
-        status = first[1].strip() if len(first) > 1 else ""
+    while True:
+        own = source.own()
+        if own is not None:
+            url, at, size, http, status, kind, length, location = own
+            url, left, status = url.decode("utf-8", "replace").strip().strip("<>"), int(size) - len(http), status.decode("utf-8", "replace").strip()
+            at, kind, location = at.decode("utf-8", "replace").strip(), kind.decode("utf-8", "replace").strip(), location.decode("utf-8", "replace").strip() if location is not None else None
+        else:
+            line = source.line()
+            if not line:
+                return
+            if not line.startswith(b"WARC/"):
+                continue
+            head = _head(source.lines())
+            if "" not in head:
+                return
+            size = int(head["content-length"]) if head.get("content-length", "").isdigit() else 0
+            if head.get("warc-type", "").lower() != "response" or "warc-target-uri" not in head:
+                source.skip(size)
+                continue
+            before: list[int] = []
+
+            def counted() -> Iterator[bytes]:
+                while sum(before) < size and (x := source.line()):
+                    before.append(len(x))
+                    yield x
+
+            http = counted()
+            first = next(http, b"").decode("utf-8", "replace").split(None, 1)
+            fields = _head(http)
+            if sum(before) < size and "" not in fields:
+                return
+            status = first[1].strip() if len(first) > 1 else ""
+            url, left = head["warc-target-uri"].strip("<>"), max(0, size - sum(before))
+            at, kind, length, location = head.get("warc-date", ""), fields.get("content-type", ""), fields.get("content-length", ""), fields.get("location")
         code = int(status[:3]) if status[:3].isdigit() else 0
-        url, left = head["warc-target-uri"].strip("<>"), max(0, size - sum(before))
         if not keeps(url, code):
             source.skip(left)
             continue
         body = source.take(left) if bodies else source.skip(left)
         if bodies and len(body) < left:
             return
-        location = fields.get("location")
-        length = fields.get("content-length", "")
-        yield url, status, code, fields.get("content-type", ""), int(length) if length.isdigit() else -1, location, (resolve(url, location) or "").partition("#")[0] or None if location else None, head.get("warc-date", ""), body
+        yield url, status, code, kind, int(length) if length.isdigit() else -1, location, (resolve(url, location) or "").partition("#")[0] or None if location else None, at, body
+
+
+_BYTES = pa.large_binary()
+
+
+def _joined(*parts: str | pa.Array) -> pa.Array:
+    """Texts and columns of texts put together, row by row."""
+    return pc.binary_join_element_wise(*(pa.scalar(p.encode(), _BYTES) if isinstance(p, str) else p for p in parts), pa.scalar(b"", _BYTES))
+
+
+def _records(rows: pa.RecordBatch, ids: str, first: int = 0) -> pa.Array:
+    """The record of each of ``rows`` (columns of SCHEMA), numbered from ``first`` behind the id that they share.
+    Null texts are empty; line ends in heads are spaces."""
+
+    def text(name: str) -> pa.Array:
+        own = pc.fill_null(rows.column(name).cast(pa.large_string()), "")
+        for mark in "\r\n":
+            own = pc.replace_substring(own, mark, " ")
+        return own.cast(_BYTES)
+
+    digits = lambda numbers: numbers.cast(pa.large_string()).cast(_BYTES)
+    body = pc.fill_null(rows.column("body").cast(_BYTES), b"")
+    place = text("location")
+    location = pc.if_else(pc.equal(pc.binary_length(place), 0), pa.scalar(b"", _BYTES), _joined("\r\nLocation: ", place))
+    http = _joined("HTTP/1.1 ", text("status"), "\r\nContent-Type: ", text("content_type"), "\r\nContent-Length: ", digits(pc.binary_length(body)), location, "\r\n\r\n")
+    number = pa.array([b"%012x" % i for i in range(first, first + rows.num_rows)], _BYTES)
+    size = digits(pc.add(pc.binary_length(http), pc.binary_length(body)))
+    return _joined(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{ids[:24]}", number, ">\r\nWARC-Target-URI: ", text("url"), "\r\nWARC-Date: ", text("captured_at"), "\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: ", size, "\r\n\r\n", http, body, "\r\n\r\n")
+
+
+def _slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``rows`` in parts whose bodies have _BATCH_BYTES at most, or of one row."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(rows.column("body")), 0).to_pylist()):
+        if i > start and size + n > _BATCH_BYTES:
+            yield rows.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < rows.num_rows:
+        yield rows.slice(start)
 
 
 def record(url: str, status: str, content_type: str, location: str | None, captured_at: str, body: bytes) -> bytes:
-    fields = [f"HTTP/1.1 {status}", f"Content-Type: {content_type}", f"Content-Length: {len(body)}", *([f"Location: {location}"] if location else [])]
-    clean = lambda x: x.replace("\r", " ").replace("\n", " ")
-    http = ("\r\n".join(map(clean, fields)) + "\r\n\r\n").encode() + body
-    head = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Target-URI: {url}", f"WARC-Date: {captured_at}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http)}"]
-    return ("\r\n".join(map(clean, head)) + "\r\n\r\n").encode() + http + b"\r\n\r\n"
+    own = {"url": url, "status": status, "content_type": content_type, "location": location, "captured_at": captured_at, "body": body}
+    rows = pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary() if k == "body" else pa.string()) for k, v in own.items()})
+    return _records(rows, str(uuid.uuid4()))[0].as_py()
 
 
 class _File(InputPartition):
@@ -201,10 +265,14 @@ class _Writer(DataSourceArrowWriter):
         system, path = opened(self.path)
         system.create_dir(path, recursive=True)
         name = f"{path}/part-{uuid.uuid4().hex}.open"
+        ids, n = str(uuid.uuid4()), 0
         with system.open_output_stream(name) as out:
             for b in batches:
-                for url, status, kind, location, at, body in zip(*(b.column(c).to_pylist() for c in ("url", "status", "content_type", "location", "captured_at", "body"))):
-                    out.write(record(url, status, kind or "", location, at or "", body or b""))
+                for rows in _slices(b):
+                    own = _records(rows, ids, n)
+                    # one buffer holds the column's records one behind the other
+                    out.write(own.buffers()[2].slice(0, pc.sum(pc.binary_length(own)).as_py()))
+                    n += rows.num_rows
         return _Written(name)
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -252,41 +320,76 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Exchanges)
 
 
-def ends(exchanges: DataFrame) -> DataFrame:
-    """url, final_url and hops of every address that sends on; hops is null in a loop, and on the way to one.
+def _sends_on() -> Column:
+    return F.coalesce(F.col("status_code").isin(*REDIRECTS) & F.col("target").isNotNull(), F.lit(False))
+
+
+def _jumps(exchanges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The addresses that send on (id, url, target), and where each leads (id, at, steps, moving): ``at`` is the last
+    address of its way that sends on, by id, ``steps`` away. In a loop, and on the way to one, it is ``moving``.
 
     By pointer jumping: in each round every address takes over where the address that it points at points, so a
     chain of n takes log n rounds. Addresses that are still on the way after a round in which none arrived
-    never will.
+    never will. Addresses are compared as text once, and rounds join their numbers; only those still on the way
+    are joined and written again.
     """
-    hop = exchanges.filter(F.col("status_code").isin(*REDIRECTS) & F.col("target").isNotNull()).groupBy("url").agg(F.max_by("target", "captured_at").alias("final_url"))
-    jumps, left = written(hop.withColumn("hops", F.lit(1).cast("long")), "jumps"), None
-    while True:
-        onward = jumps.select(F.col("url").alias("_url"), F.col("final_url").alias("_next"), F.col("hops").alias("_hops"))
-        further = jumps.join(onward, F.col("final_url") == F.col("_url"), "left")
-        state = written(further.select("url", F.coalesce("_next", "final_url").alias("final_url"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_url").isNotNull().alias("moving")), "jumps")
-        still = state.filter("moving").count()
-        if still == left or not still:
-            return state.select("url", "final_url", F.when(~F.col("moving"), F.col("hops")).alias("hops"))
-        jumps, left = state.drop("moving"), still
+    # dealt by url before it is grouped, which sorts the rows once
+    last = exchanges.repartition("url").groupBy("url").agg(F.max(F.struct("captured_at", "status_code", "target")).alias("_last")).select("url", "_last.status_code", "_last.target")
+    hops = written(last.filter(_sends_on()).select(F.monotonically_increasing_id().alias("id"), "url", "target"), "hops")
+    onward = hops.select(F.col("url").alias("_url"), F.col("id").alias("_next"))
+    first = hops.join(onward, F.col("target") == F.col("_url"), "left")
+    moving = F.col("_next").isNotNull()
+    state = written(first.select("id", F.coalesce("_next", "id").alias("at"), moving.cast("long").alias("steps"), moving.alias("moving")), "jumps")
+    arrived, left = state.filter("not moving"), state.filter("moving").count()
+    while left:
+        way = state.filter("moving")
+        known = arrived.unionByName(way).select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("moving").alias("_moving"))
+        further = way.join(known, F.col("at") == F.col("_id"))
+        state = written(further.select("id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_moving").alias("moving")), "jumps")
+        arrived, before, left = arrived.unionByName(state.filter("not moving")), left, state.filter("moving").count()
+        if left == before:
+            break
+    return hops, arrived.unionByName(state.filter("moving"))
+
+
+def _led(rows: DataFrame, url: str, exchanges: DataFrame) -> DataFrame:
+    """``rows`` with _final, the address that their column ``url`` leads to, and _hops; both are null for one that doesn't
+    send on. In a loop, and on the way to one, _hops is null alone."""
+    hops, jumps = _jumps(exchanges)
+    own = hops.select(F.col("id").alias("_id"), F.col("url").alias("_url"))
+    ways = jumps.select(F.col("id").alias("_from"), F.col("at").alias("_to"), "steps", "moving")
+    last = hops.select(F.col("id").alias("_last"), F.col("target").alias("_final"))
+    at = rows.join(own, rows[url] == F.col("_url"), "left").join(ways, F.col("_id") == F.col("_from"), "left").join(last, F.col("_to") == F.col("_last"), "left")
+    return at.select(*(rows[c] for c in rows.columns), "_final", F.when(~F.col("moving"), F.col("steps") + 1).alias("_hops"))
+
+
+def ends(exchanges: DataFrame) -> DataFrame:
+    """url, final_url and hops of every address that sends on; hops is null in a loop, and on the way to one. Of
+    exchanges of one url the latest counts."""
+    every = exchanges.filter(_sends_on()).select("url").distinct()
+    return _led(every, "url", exchanges).filter("_final is not null").withColumnsRenamed({"_final": "final_url", "_hops": "hops"})
 
 
 def fetched(wanted: DataFrame, exchanges: DataFrame, heads: DataFrame | None = None, limit: int = MAX_BODY) -> DataFrame:
     """What a client that follows redirects gets for each url of ``wanted``: final_url, hops, status,
     status_code, content_type, content_length, captured_at, body, truncated (over ``limit`` bytes), error and
     loop, beside the columns of ``wanted``. Of exchanges of one url the latest counts. Bodies are joined last,
-    by the final address alone; ``heads`` are the exchanges without bodies, for all that comes before, and are
-    read once. A url that is null is not recorded."""
+    by the final address alone. Exchanges are read once, and written with the bodies of those that don't send on; given
+    ``heads``, the exchanges without bodies, for all that comes before, they are read again for the bodies instead. A url
+    that is null is not recorded."""
     names = ("status", "status_code", "content_type", "content_length", "captured_at", "body")
-    heads = written((exchanges if heads is None else heads).select("url", "status_code", "target", "captured_at"), "heads")
-    found = ends(heads).withColumnsRenamed({"url": "_url", "final_url": "_final", "hops": "_hops"})
-    at = wanted.join(found, wanted["url"] == F.col("_url"), "left")
-    on_way = F.col("_url").isNotNull()
-    loop = on_way & F.col("_hops").isNull()
+    head = ("url", "status_code", "target", "captured_at")
+    if heads is None:
+        exchanges = heads = written(exchanges.select("url", "target", *names[:-1], F.when(~_sends_on(), F.col("body")).alias("body")), "exchanges")
+    else:
+        heads = written(heads.select(*head), "heads")
+    at = _led(wanted, "url", heads.select(*head))
+    loop = F.col("_final").isNotNull() & F.col("_hops").isNull()
     stopped = loop | (F.coalesce("_hops", F.lit(0)) >= MOST_REQUESTS)
     at = at.select(*(wanted[c] for c in wanted.columns), F.when(stopped, None).otherwise(F.coalesce("_final", wanted["url"])).alias("final_url"), F.when(~stopped, F.coalesce("_hops", F.lit(0))).alias("hops"), stopped.alias("_stopped"), loop.alias("loop"))
-    last = heads.groupBy(F.col("url").alias("_at")).agg(F.max("captured_at").alias("_when"))
-    one = exchanges.join(last, (F.col("url") == F.col("_at")) & F.col("captured_at").eqNullSafe(F.col("_when"))).dropDuplicates(["_at"]).select("_at", *(F.col(n).alias(f"_{n}") for n in names))
+    # whatever sends on last is no final address, so what doesn't send on is compared among itself
+    last = F.max(F.struct("captured_at", *(n for n in names if n != "captured_at"))).alias("_row")
+    one = exchanges.filter(~_sends_on()).repartition("url").groupBy(F.col("url").alias("_at")).agg(last).select("_at", *(F.col(f"_row.{n}").alias(f"_{n}") for n in names))
     joined = at.join(one, F.col("final_url") == F.col("_at"), "left")
     error = F.when(F.col("_stopped"), STOPPED).when(F.col("_at").isNull(), UNRECORDED)
     own = [F.col(f"_{n}").alias(n) for n in names if n != "body"]

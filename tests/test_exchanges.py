@@ -127,3 +127,45 @@ def test_recording_deals_exchanges_over_files(spark, tmp_path):
     recorded(rows, str(tmp_path))
     read = spark.read.format("exchanges").load(str(tmp_path))
     assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and read.select("url").distinct().count() == 200
+
+
+def test_records_by_the_batch_are_read_as_any_others(spark, tmp_path):
+    """What the writer puts together by column is what the reader of any heads finds, and so are records whose heads it knows as a whole."""
+    texts = ["", "x", " 200 OK", "a: b", "https://a.test/z", "../q#r", "<b>", "WARC/1.0", "é", "a\r\nb", None]
+    rows = [row(f"https://a.test/{k}", 200 + k % 200, texts[k % 11], (b"", b"x\r\n\r\nWARC/1.0\r\n", b"y" * 3_000_000)[k % 3 if k < 9 else k % 2], texts[k % 7] or "") for k in range(300)]
+    register(spark)
+    frame(spark, *rows).repartition(2).write.format("exchanges").mode("append").save(str(tmp_path))
+    data = b"".join(f.read_bytes() for f in sorted(tmp_path.iterdir()))
+    own = list(read_records(io.BytesIO(data)))
+    other = list(read_records(io.BytesIO(data.replace(b"WARC/1.0\r\nWARC-Type: response", b"WARC/1.0\r\nwarc-type: response"))))
+    assert own == other and len({x for x in data.split() if x.startswith(b"<urn:uuid:")}) == 300
+    got = {r[0]: r for r in own}
+    for url, status, code, kind, length, location, _, at, body in rows:
+        r = got[url]
+        assert (r[1], r[2], r[3], r[4], r[7], bytes(r[8])) == (status, code, kind, length, at.replace("\r", " ").replace("\n", " ").strip(), bytes(body))
+        assert r[5] == (location.replace("\r", " ").replace("\n", " ").strip() if location else None)
+    assert data.count(b"Record-ID: <urn:uuid:") == 300
+
+
+def test_an_older_redirect_of_a_url_does_not_count(spark):
+    """Nor does an older answer where the latest sends on; exchanges are read once, or again for their bodies."""
+    old = "2026-01-01T00:00:00Z"
+    rows = [row("twice", 302, "0", at=old), row("twice", body=b"late"), row("sent", 302, "twice"), row("moved", body=b"old", at=old), row("moved", 302, "0"), row("0", body=b"zero"), row("undated", 302, "0", at=None), row("lost", 301)]
+    wanted = spark.createDataFrame([(u,) for u in ("twice", "sent", "moved", "undated", "lost", "twice")], "url string")
+    every = frame(spark, *rows)
+    for heads in (None, every.drop("body")):
+        got = sorted((r.url, r.final_url, r.hops, bytes(r.body), r.loop) for r in fetched(wanted, every, heads).collect())
+        assert got == [("lost", "lost", 0, b"x", False), ("moved", "0", 1, b"zero", False), ("sent", "twice", 1, b"late", False), ("twice", "twice", 0, b"late", False), ("twice", "twice", 0, b"late", False), ("undated", "0", 1, b"zero", False)]
+    led = {r.url: (r.final_url, r.hops) for r in ends(every).collect()}
+    assert led == {"sent": ("twice", 1), "moved": ("0", 1), "undated": ("0", 1)}
+
+
+def test_rounds_join_numbers_alone(spark, monkeypatch):
+    """Of an address's text there is one join before the rounds; rounds write numbers, and only of ways that had not ended."""
+    from marquee.sources import exchanges
+
+    told = []
+    monkeypatch.setattr(exchanges, "written", lambda rows, name: told.append((name, [t for _, t in rows.dtypes], rows.count())) or rows.localCheckpoint())
+    ends(frame(spark, *(row(f"{n}-{i}", 302, f"{n}-{i + 1}") for n in range(3) for i in range(20))))
+    rounds = [(types, n) for name, types, n in told if name == "jumps"]
+    assert all(types == ["bigint", "bigint", "bigint", "boolean"] for types, _ in rounds) and [n for _, n in rounds] == [60, 57, 54, 48, 36, 12]
