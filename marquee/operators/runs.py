@@ -82,7 +82,7 @@ def error_line() -> Column:
 def notes_of(counts: dict[str, Column], errors: Column, lines: Column, details: int = 3) -> Column:
     """The totals, the run's errors (array), then the first of its calendars' error lines (array)."""
     summary = F.concat_ws(" ", *(F.concat(F.lit(f"{c}="), n.cast("string")) for c, n in counts.items()))
-    first = F.transform(F.slice(F.array_sort(lines), 1, details), lambda x: x["line"])
+    first = F.transform(F.slice(F.sort_array(lines), 1, details), lambda x: x["line"])
     more = F.when(F.size(lines) > details, F.concat(F.lit("... and "), (F.size(lines) - details).cast("string"), F.lit(" more calendar errors")))
     return F.concat_ws("; ", summary, errors, first, more)
 

@@ -58,14 +58,15 @@ def ingest_runs(spark, sf_dir):
     cut or hold errors."""
     key = F.concat(F.lit("s"), F.col("id").cast("string"))
     url = F.concat(F.lit("https://s.test/"), F.col("id").cast("string"), F.lit("/"))
-    pages = model.run_pages(spark, sf_dir)
+    files = written(model.linked_files(spark, sf_dir).filter("id % 2 = 0"), "files")
+    pages = model.run_pages(spark, sf_dir, files)
     mode = F.when(F.col("id") % 2 == 0, "linked_ics").otherwise("source_page")
     registry = pages.select(key.alias("key"), url.alias("url"), mode.alias("page_mode"))
     landed_page = pages.filter("id % 11 > 0").select(url.alias("url"), url.alias("final_url"), F.lit(200).alias("status_code"), (F.col("id") % 13 == 0).alias("truncated"), "body")
-    calendars = model.linked_files(spark, sf_dir).filter("not gone and id % 2 = 0")
-    landed = landed_page.unionByName(calendars.select("url", F.col("url").alias("final_url"), F.when(F.col("http_500"), 500).otherwise(200).alias("status_code"), F.col("cut").alias("truncated"), "body"))
+    calendars = files.filter("not gone")
+    landed = written(landed_page.unionByName(calendars.select("url", F.col("url").alias("final_url"), F.when(F.col("http_500"), 500).otherwise(200).alias("status_code"), F.col("cut").alias("truncated"), "body")), "landed")
     wanted = pages.select(F.col("id").alias("run_id"), key.alias("source"))
-    report = replay.ingest(wanted, landed, registry, 0, keep=partial(written, name="lines"))
+    report = replay.ingest(wanted, landed, registry, 0, keep_pages=partial(written, name="pages"))
     return report.runs.select("run_id", "links", "snapshots", "candidates", "skips", "errors", "status", "notes")
 
 

@@ -147,8 +147,10 @@ def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id (of a run), n, url and body of a calendar for each run and line number: c events, s cancelled
     ones and, if bad, a stray end; gone, cut and http_500 say how it is stored."""
     i = table(spark, sf_dir, "lineitem")
+    flag = F.col("l_returnflag")
+    # that the last flag is R, in truth values: Spark sorts the rows for a maximum of texts
     own = i.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n")).agg(
-        (F.min("l_quantity").cast("long") % 4).alias("c"), (F.max("l_returnflag") == "R").alias("bad"), (F.min("l_partkey") % 50 == 0).alias("gone"), (F.min("l_suppkey") % 20 == 0).alias("cut"))
+        (F.min("l_quantity").cast("long") % 4).alias("c"), (F.bool_or(flag == "R") & ~F.bool_or(flag > "R")).alias("bad"), (F.min("l_partkey") % 50 == 0).alias("gone"), (F.min("l_suppkey") % 20 == 0).alias("cut"))
     url = F.concat(F.lit("https://c.test/"), F.col("id").cast("string"), F.lit("-"), F.col("n").cast("string"), F.lit(".ics"))
     event = lambda k, more: F.concat(F.lit("BEGIN:VEVENT\r\nUID:u"), (F.col("id") % 5).cast("string"), F.lit("-"), k.cast("string"), F.lit("\r\nSUMMARY:Show\r\nDTSTART:20260501T19000"), F.col("n").cast("string"), F.lit(f"Z\r\n{more}END:VEVENT"))
     upto = lambda n: F.sequence(F.lit(1), n.cast("int"))
@@ -159,11 +161,11 @@ def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", "n", "gone", "cut", (F.col("n") == 5).alias("http_500"), url.alias("url"), F.encode(body, "UTF-8").alias("body"))
 
 
-def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, key of the source, url and body of the page of each run."""
+def run_pages(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """id, key of the source, url and body of the page of each run. ``files`` are its linked_files(), if they are kept."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     anchor = F.concat(F.lit("<a href='"), F.col("url"), F.lit("'>Google Calendar ICS</a>"))
-    linked = linked_files(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", anchor.alias("a")))).alias("links"))
+    linked = (linked_files(spark, sf_dir) if files is None else files).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", anchor.alias("a")))).alias("links"))
     name = lambda k: F.concat(F.lit("Show "), k.cast("string"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
     node = lambda k, end: F.struct(F.lit("Event").alias("@type"), name(k).alias("name"), F.concat(F.lit("e/"), k.cast("string")).alias("url"), F.lit("2026-05-10T19:30").alias("startDate"), end.alias("endDate"), F.lit("Hall").alias("location"))

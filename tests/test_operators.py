@@ -557,3 +557,55 @@ def test_rows_that_are_no_link_are_dealt_over_all_tasks(spark):
         for k, v in was.items():
             spark.conf.set(k, v)
     assert sum(r["count"] for r in skips) == 200 and max(r["count"] for r in skips) < 120
+
+
+def test_runs_are_counted_where_bodies_are_parsed(spark):
+    """What a run over files says comes from counts by calendar, a row each, and equals what its lines give; pages, which
+    take long for their size, are dealt over all tasks and read once."""
+    from marquee.operators import replay
+
+    rows = [("a", "https://a.test/", "linked_ics"), ("b", "https://b.test/x/", "source_page"), ("c", "https://c.test/", "odd"), ("d", "https://[d", "linked_ics"), ("e", "https://e.test/", "linked_ics"), ("f", "https://f.test/", "source_page"), ("g", "https://g.test/", "linked_ics")]
+    registry = spark.createDataFrame(rows, "key string, url string, page_mode string")
+    links = "".join(f"<a href='{k}.ics'>Google Calendar ICS</a>" for k in (1, 2, 3, 4, 5, 1))
+    event = "BEGIN:VEVENT\nSUMMARY:x\nDTSTART:20260501T190000Z\n{}END:VEVENT\n"
+    bad = '<script type="application/ld+json">[{"@type":"Event","name":"a","location":"h","startDate":"2026-05-10T19:30","endDate":"2026-05-10T23:00","url":"http://[x"},{"@type":"Event","name":"b"}]</script><script type="application/ld+json">{</script>'
+    bodies = {"https://a.test/": links, "https://b.test/x/": bad, "https://c.test/": "x", "https://[d": links, "https://e.test/": "no", "https://f.test/": "<p>", "https://a.test/1.ics": event.format("") * 3 + event.format("STATUS:CANCELLED\n"), "https://a.test/2.ics": "END:VEVENT\nBEGIN:VEVENT\nBEGIN:VEVENT", "https://a.test/3.ics": "", "https://a.test/4.ics": event.format(" folded\n")}
+    files = landed(spark, *((u, None, 200, u.endswith("3.ics"), b.encode()) for u, b in bodies.items()))
+    wanted = spark.createDataFrame([(i, k) for i, k in enumerate("abcdefgab")] + [(0, "b"), (3, "c")], "run_id long, source string")
+    dealt = []
+    counted = replay.ingest(wanted, files, registry, 4, keep_pages=lambda df: dealt.append(df.rdd.getNumPartitions()) or df)
+    told = replay.ingest(wanted, files, registry, 4, keep=lambda df: df)
+    columns = ["run_id", "source", "links", "snapshots", "candidates", "skips", "errors", "status", "notes"]
+    got = sorted(map(tuple, counted.runs.select(columns).collect()))
+    assert got == sorted(map(tuple, told.runs.select(columns).collect())) and len(got) == 11
+    assert sorted(map(tuple, counted.lines.select("run_id", "kind", "ordinal").collect())) == sorted(map(tuple, told.lines.select("run_id", "kind", "ordinal").collect()))
+    plan = counted.runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "start_at" not in plan and "start_at" in told.runs._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt == [max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))]
+
+
+def test_regular_calendars_and_pages_are_read_as_all_others():
+    """Whole events by one pattern, and what was read before by its text, give what reading line by line gives."""
+    import random
+
+    from marquee.functions import markup
+
+    rnd = random.Random(4)
+    lines = ["BEGIN:VEVENT", "END:VEVENT", "BEGIN:VCALENDAR", "END:VCALENDAR", "SUMMARY:Show", "SUMMARY;A=b:Sh\\, ow", "DTSTART:20260501T190000Z", "STATUS:CANCELLED", " folded", "", "begin:vevent", "End:VEVENT ", "BEG\u0131N:VEVENT", "UID:u", "BEGIN:VALARM", "EXDATE:1", "no colon", "BEGIN:VEVENTX", "BEGIN;A=1:VEVENT", "\x0bA:1", "\x85"]
+    regular = 0
+    for _ in range(4000):
+        end = rnd.choice(["\r\n", "\n", "\r"])
+        parts = []
+        for _ in range(rnd.randint(0, 5)):
+            own = [rnd.choice(lines[4:8] + lines[13:14] if rnd.random() < 0.9 else lines) for _ in range(rnd.randint(0, 4))]
+            parts += ["BEGIN:VEVENT", *own, "END:VEVENT"] if rnd.random() < 0.8 else own
+        text = end.join(parts) + rnd.choice(["", end])
+        regular += extract._REGULAR.fullmatch(text) is not None
+        assert extract.parse_ics(text.encode()) == extract._parse_ics(text), text
+    assert 1000 < regular < 3900
+    for _ in range(2):
+        page = "<a href='x'>ICS</a><a href=\"/y?a='>'\">Google <b>Calendar</b> ICS</a><A HREF = 'z' >&amp;</a><a href='q' href='r'>t</a><a href=u>v</a><a href='w'><a href='n'>m</a>"
+        assert list(markup.links(page)) == [("x", "ICS"), ("/y?a='>'", "Google <b>Calendar</b> ICS"), ("z", "&amp;"), ("q", "t"), ("u", "v"), ("w", "<a href='n'>m")]
+        for base in ("https://a.test/", "https://b.test/x/"):
+            script = '<script type="application/ld+json">{"@type":"Event","name":"a","location":"h","startDate":"2026-05-10T19:30","endDate":"2026-05-10T23:00","url":"e"}</script>'
+            assert [r["url"] for r in extract.parse_jsonld(script, base, 1)] == [base + "e"]
