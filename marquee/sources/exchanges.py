@@ -13,6 +13,7 @@ import math
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,8 +36,8 @@ REDIRECTS, MOST_REQUESTS = (301, 302, 303, 307, 308), 10
 STOPPED, UNRECORDED = f"stopped after {MOST_REQUESTS} redirects", "no recorded exchange"
 #: Exchanges of a file that recorded() writes.
 FILE_ROWS = 100_000
-#: Bytes of a line of a head at most, and of a head that is looked for as a whole.
-_HEAD, _WHOLE = 1 << 20, 1 << 16
+#: Bytes of a line of a head at most, and of heads that are looked for as a whole.
+_HEAD, _WHOLE = 1 << 20, 1 << 13
 #: Both heads of a response as record() writes them, after empty lines; _Lines and _head() read all others.
 _OWN = re.compile(
     rb"(?:\r\n)*+WARC/1\.[0-9]\r\nWARC-Type: response\r\nWARC-Record-ID: [^\r\n]*+\r\nWARC-Target-URI: ([^\r\n]*+)\r\nWARC-Date: ([^\r\n]*+)\r\nContent-Type: [^\r\n]*+\r\nContent-Length: ([0-9]{1,15})\r\n\r\n"
@@ -57,6 +58,12 @@ def _head(lines: Iterator[bytes]) -> dict[str, str]:
     return out
 
 
+@lru_cache(1 << 10)
+def _known(value: bytes) -> str:
+    """A field whose values repeat, as text."""
+    return value.decode("utf-8", "replace").strip()
+
+
 class _Lines:
     """Buffered lines and bytes of a stream, read forward."""
 
@@ -116,8 +123,8 @@ def read_records(stream: object, keeps: Callable[[str, int], bool] = lambda url,
         own = source.own()
         if own is not None:
             url, at, size, http, status, kind, length, location = own
-            url, left, status = url.decode("utf-8", "replace").strip().strip("<>"), int(size) - len(http), status.decode("utf-8", "replace").strip()
-            at, kind, location = at.decode("utf-8", "replace").strip(), kind.decode("utf-8", "replace").strip(), location.decode("utf-8", "replace").strip() if location is not None else None
+            url, left = url.decode("utf-8", "replace").strip().strip("<>"), int(size) - len(http)
+            status, kind, at, location = _known(status), _known(kind), _known(at), location.decode("utf-8", "replace").strip() if location is not None else None
         else:
             line = source.line()
             if not line:
@@ -352,6 +359,11 @@ def _jumps(exchanges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hops, arrived.unionByName(state.filter("moving"))
 
 
+def _alone(rows: DataFrame) -> Column:
+    """A negative number for each row, to join by where it has no key: nulls would meet in one task."""
+    return -1 - F.pmod(F.xxhash64(*(rows[c] for c, kind in rows.dtypes if "map<" not in kind)), F.lit(1 << 40))
+
+
 def _led(rows: DataFrame, url: str, exchanges: DataFrame) -> DataFrame:
     """``rows`` with _final, the address that their column ``url`` leads to, and _hops; both are null for one that doesn't
     send on. In a loop, and on the way to one, _hops is null alone."""
@@ -359,7 +371,9 @@ def _led(rows: DataFrame, url: str, exchanges: DataFrame) -> DataFrame:
     own = hops.select(F.col("id").alias("_id"), F.col("url").alias("_url"))
     ways = jumps.select(F.col("id").alias("_from"), F.col("at").alias("_to"), "steps", "moving")
     last = hops.select(F.col("id").alias("_last"), F.col("target").alias("_final"))
-    at = rows.join(own, rows[url] == F.col("_url"), "left").join(ways, F.col("_id") == F.col("_from"), "left").join(last, F.col("_to") == F.col("_last"), "left")
+    started = rows.join(own, rows[url] == F.col("_url"), "left").withColumn("_start", F.coalesce("_id", _alone(rows)))
+    led = started.join(ways, F.col("_start") == F.col("_from"), "left").withColumn("_end", F.coalesce("_to", _alone(rows)))
+    at = led.join(last, F.col("_end") == F.col("_last"), "left")
     return at.select(*(rows[c] for c in rows.columns), "_final", F.when(~F.col("moving"), F.col("steps") + 1).alias("_hops"))
 
 
@@ -390,7 +404,8 @@ def fetched(wanted: DataFrame, exchanges: DataFrame, heads: DataFrame | None = N
     # whatever sends on last is no final address, so what doesn't send on is compared among itself
     last = F.max(F.struct("captured_at", *(n for n in names if n != "captured_at"))).alias("_row")
     one = exchanges.filter(~_sends_on()).repartition("url").groupBy(F.col("url").alias("_at")).agg(last).select("_at", *(F.col(f"_row.{n}").alias(f"_{n}") for n in names))
-    joined = at.join(one, F.col("final_url") == F.col("_at"), "left")
+    keyed = at.withColumn("_key", F.coalesce("final_url", _alone(at).cast("string")))
+    joined = keyed.join(one, F.col("final_url").isNotNull() & (F.col("_key") == F.col("_at")), "left")
     error = F.when(F.col("_stopped"), STOPPED).when(F.col("_at").isNull(), UNRECORDED)
     own = [F.col(f"_{n}").alias(n) for n in names if n != "body"]
     return joined.select(*at.drop("_stopped", "loop").columns, *own, F.substring("_body", 1, limit).alias("body"), (F.length("_body") > limit).alias("truncated"), error.alias("error"), "loop")

@@ -169,3 +169,19 @@ def test_rounds_join_numbers_alone(spark, monkeypatch):
     ends(frame(spark, *(row(f"{n}-{i}", 302, f"{n}-{i + 1}") for n in range(3) for i in range(20))))
     rounds = [(types, n) for name, types, n in told if name == "jumps"]
     assert all(types == ["bigint", "bigint", "bigint", "boolean"] for types, _ in rounds) and [n for _, n in rounds] == [60, 57, 54, 48, 36, 12]
+
+
+def test_urls_without_an_end_are_dealt_over_all_tasks(spark):
+    """Those in loops, and those that don't send on, have no key in some joins: their nulls met in one task."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [row(f"{k}", 301, f"{k}") for k in range(200)]
+        wanted = spark.createDataFrame([(f"{k}",) for k in range(400)], "url string")
+        got = fetched(wanted, frame(spark, *rows))
+        counts = {loop: [r["count"] for r in got.filter(F.col("loop") == loop).groupBy(F.spark_partition_id()).count().collect()] for loop in (True, False)}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert all(sum(n) == 200 and max(n) < 120 for n in counts.values())
